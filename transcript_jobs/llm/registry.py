@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from transcript_jobs.llm import quality_rules
+from transcript_jobs.llm import merkle, mixing, preferences, quality_rules, sharding
 
 _MODULES = {
+    "op4_preferences": preferences,
+    "op6_sharding": sharding,
+    "op7_merkle": merkle,
+    "op8_mixing": mixing,
     "op10_quality_rules": quality_rules,
 }
 
