@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from transcript_jobs.llm import merkle, mixing, preferences, quality_rules, sharding
+from transcript_jobs.llm import merkle, mixing, packing, preferences, quality_rules, sharding
 
 _MODULES = {
+    "op1_packing": packing,
     "op4_preferences": preferences,
     "op6_sharding": sharding,
     "op7_merkle": merkle,
