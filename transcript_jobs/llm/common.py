@@ -17,14 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared checkpoint folder, so that a lost executor costs a read only.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where none is set (tests on one machine), one is made."""
+    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not own:
+        own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(own)
+    return own
+
 
-    The folder is the session's spark.checkpoint.dir; where none is set (tests on one machine), one is made.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the shared folder, so that a lost executor costs a read only."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -196,7 +196,7 @@ def pack_stream(batches: Iterator[tuple[list, list[str]]], enc: Ids, length: int
             "doc_tokens": np.array(totals)[doc],
             "sequence": sequence + seq,
             "offset": a - cuts[seq],
-            "ids": [ids[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)],
+            "ids": [ids[x:y].view(np.int32) for x, y in zip(a.tolist(), b.tolist(), strict=True)],
         }
         sequence += len(cuts) - 1
         left = int(np.searchsorted(ends, stop, side="right"))
@@ -248,7 +248,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
 
     schema = f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
-    return rows.mapInPandas(run, schema + (", ids array<long>" if with_ids else "")).withColumnRenamed("k", key)
+    return rows.mapInPandas(run, schema + (", ids array<int>" if with_ids else "")).withColumnRenamed("k", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

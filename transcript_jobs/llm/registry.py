@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
-from transcript_jobs.llm import merkle, mixing, packing, preferences, quality_rules, sharding
+from pyspark.sql import DataFrame, SparkSession
+
+from transcript_jobs.llm import (
+    merkle,
+    mixing,
+    near_dups,
+    packing,
+    preferences,
+    quality_model,
+    quality_rules,
+    sharding,
+    toxicity,
+)
 
 _MODULES = {
     "op1_packing": packing,
+    "op2_near_dups": near_dups,
     "op4_preferences": preferences,
+    "op5_toxicity": toxicity,
     "op6_sharding": sharding,
     "op7_merkle": merkle,
     "op8_mixing": mixing,
+    "op9_quality_model": quality_model,
     "op10_quality_rules": quality_rules,
 }
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: m.query for name, m in _MODULES.items()}
+    return {name: m.query for name, m in _MODULES.items()} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict:
