@@ -24,7 +24,8 @@ NGRAMS, BUCKETS, WIDTH, WINDOW = (3, 4, 5), 1 << 16, 4, 8
 #: An n-gram counts if it is in so many documents of the sample: else vectors of rare words learn documents by heart.
 LEAST_DOCUMENTS = 4
 #: Rounds of training: first on all windows, then on the highest of each document and as many others.
-ROUNDS, BATCH, RATE = 8, 512, 0.2
+#: Windows a step, at most; fewer for a small sample, so that it gets STEPS steps.
+ROUNDS, BATCH, STEPS, RATE = 8, 512, 400, 0.2
 KEPT_WORDS = 1_000_000
 
 
@@ -121,7 +122,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
     soft = rng.uniform(-1, 1, (WIDTH, 1)) * np.array([[-1.0, 1.0]]) * WINDOW / 4
     state = [np.zeros_like(x) for x in (vec, vec, soft, soft, bias, bias)]
     every = [(i, at) for i, d in enumerate(docs) for at in range(0, max(1, len(d) - WINDOW // 2), WINDOW)]
-    total, done = len(every) + (ROUNDS - 1) * 2 * len(docs), 0
+    total, step = len(every) + (ROUNDS - 1) * (2 * len(docs) - int(labels.sum())), 0
+    batch = max(16, min(BATCH, total // STEPS))
 
     def shares() -> np.ndarray:
         line = vec @ (soft[:, 1] - soft[:, 0])
@@ -134,8 +136,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
             windows = [(i, highest(own[d])[1]) for i, d in enumerate(docs)]
             windows += [(i, int(rng.integers(0, max(1, len(d) - WINDOW + 1)))) for i, d in enumerate(docs) if not labels[i]]
         mixed = rng.permutation(len(windows))
-        for at in range(0, len(mixed), BATCH):
-            part = [windows[k] for k in mixed[at : at + BATCH]]
+        for at in range(0, len(mixed), batch):
+            part = [windows[k] for k in mixed[at : at + batch]]
             words = [docs[i][x : x + WINDOW] for i, x in part]
             edges = np.cumsum([0, *map(len, words)])
             uniq, word = np.unique(np.concatenate(words), return_inverse=True)
@@ -151,8 +153,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
             g_word = np.stack([np.bincount(word, g_doc[:, k], len(uniq)) for k in range(WIDTH)], axis=1) / sizes[:, None]
             spread = np.repeat(g_word, sizes, axis=0)
             g_vec = np.stack([np.bincount(grams, spread[:, k], BUCKETS) for k in range(WIDTH)], axis=1) * counts
-            done += len(part)
-            rate, step = RATE * max(0.05, 1 - done / total), done // BATCH + 1
+            step += 1
+            rate = RATE * max(0.05, 1 - step * batch / total)
             for k, (x, g) in enumerate(((vec, g_vec), (soft, dv.T @ prob), (bias, prob.sum(axis=0)))):
                 m, v = state[2 * k], state[2 * k + 1]
                 m += 0.1 * (g - m)
