@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from transcript_jobs.llm import (
+    html_text,
     merkle,
     mixing,
     near_dups,
@@ -19,6 +20,7 @@ from transcript_jobs.llm import (
 _MODULES = {
     "op1_packing": packing,
     "op2_near_dups": near_dups,
+    "op3_html_text": html_text,
     "op4_preferences": preferences,
     "op5_toxicity": toxicity,
     "op6_sharding": sharding,
