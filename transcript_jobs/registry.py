@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from transcript_jobs.queries import REGISTERED
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in REGISTERED.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTERED.items() if sql}
