@@ -18,7 +18,7 @@ from transcript_jobs.llm.common import table, text_or_empty
 from transcript_jobs.llm.labelled import held_out, sample
 
 #: Labelled rows that the model is trained on, at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 10_000
 ACCEPT = 0.7
 NGRAMS, BUCKETS, WIDTH, WINDOW = (3, 4, 5), 1 << 16, 4, 8
 #: An n-gram counts if it is in so many documents of the sample: else vectors of rare words learn documents by heart.
@@ -102,11 +102,17 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
     if len(labels) < 2 or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), float(bias[1]))
     ids: dict[str, int] = {}
-    docs = [np.fromiter((ids.setdefault(w, len(ids)) for w in tokens(t)), np.int64) for t in texts]
+    docs = [np.fromiter((ids.setdefault(w, len(ids)) for w in tokens(t)), np.int32) for t in texts]
     docs, labels = [d for d in docs if len(d)], labels[[i for i, d in enumerate(docs) if len(d)]]
-    gw, gb = word_ngrams(list(ids))
-    order = np.argsort(gw, kind="stable")
-    gb, n_grams = gb[order].astype(np.int32), np.bincount(gw, minlength=len(ids))
+    names, parts, sizes_of = list(ids), [], []
+    ids.clear()
+    for at in range(0, len(names), 20_000):  # in parts, as the driver has little room
+        gw, gb = word_ngrams(names[at : at + 20_000])
+        parts.append(gb[np.argsort(gw, kind="stable")].astype(np.int32))
+        sizes_of.append(np.bincount(gw))
+    del names
+    gb, n_grams = np.concatenate(parts), np.concatenate(sizes_of)
+    del parts
     first = np.cumsum(n_grams) - n_grams
 
     def grams_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,11 +170,17 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """The model, trained on at most ``rows`` labelled documents, which are sent to the driver."""
+    """The model, trained on at most ``rows`` labelled documents, by one task: the driver gets the model alone."""
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = sorted(x for b in batches for x in zip(b["t"].tolist(), b["y"].tolist(), strict=True))  # the same in every run
+        model = train([t for t, _ in got], np.array([y for _, y in got], int))
+        yield pd.DataFrame({"share": [model.share.tobytes()], "bias": [model.bias]})
+
     chosen = F.broadcast(sample(labels, label, rows, key))
-    got = docs.select(F.col(key).alias(key), text_or_empty(text).alias("t")).join(chosen, key).select("t", "y").toPandas()
-    got = got.sort_values(["t", "y"], ignore_index=True)  # the order of arrival must not change the model
-    return train(got["t"].tolist(), got["y"].to_numpy(int))
+    own = docs.select(F.col(key).alias(key), text_or_empty(text).alias("t")).join(chosen, key).select("t", "y")
+    made = own.repartition(1).mapInPandas(learn, "share binary, bias double").head()
+    return Model(np.frombuffer(made["share"]), made["bias"]) if made else train([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
