@@ -144,19 +144,42 @@ def components(edges: DataFrame) -> DataFrame:
     Each turn takes the least label among the neighbours' and then the label's own label, so long chains shorten
     by doubling; the turns are written to the shared folder, and only a count reaches the driver.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "id"))
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "id")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         own = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "comp", F.least("comp", "near").alias("least"))
         up = own.select(F.col("id").alias("least"), F.col("least").alias("up"))
         new = cut(own.join(up, "least").select("id", F.least("least", "up").alias("comp"), (F.least("least", "up") != F.col("comp")).alias("moved")))
-        moved = new.filter("moved").limit(1).count()
         labels = new.select("id", "comp")
-        if not moved:
+        if not new.filter("moved").limit(1).count():
             return labels
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, comp) after the links (a, b) between their ids: only the graph of the components is gone through."""
+    a, b = (labels.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")) for c in ("a", "b"))
+    between = links.join(a, "a").join(b, "b").filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    between = cut(between)
+    if not between.limit(1).count():
+        return labels
+    of = components(between).select(F.col("id").alias("comp"), F.col("comp").alias("least"))
+    return cut(labels.join(of, "comp", "left").select("id", F.coalesce("least", "comp").alias("comp")))
+
+
+def _runs(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, comp) of all ids of the entries: in the first tree's order, entries linked to the one before are one run."""
+    linked = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.lit(True).alias("linked"))
+    e = entries.filter("tree = 0").withColumn("_a", F.least("id", "next")).withColumn("_b", F.greatest("id", "next"))
+    e = e.join(linked, ["_a", "_b"], "left").withColumn("linked", F.coalesce("linked", F.col("next") == F.col("id"), F.lit(False)))
+    order = Window.partitionBy("region").orderBy("deeper", "id")
+    e = e.withColumn("_first", (~F.coalesce(F.lag("linked").over(order), F.lit(False))).cast("long"))
+    e = e.withColumn("_run", F.sum("_first").over(order))
+    runs = e.select("id", F.min("id").over(Window.partitionBy("region", "_run")).alias("comp"))
+    least = runs.groupBy("id").agg(F.min("comp").alias("comp"))
+    return entries.select("id").distinct().join(least, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of distinct ids whose full sets are similar enough."""
     first = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
@@ -236,22 +259,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     signed = cut(_signed(docs, key, text))
     usable = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())
     # texts with equal sets are one class, told by its smallest id
-    classes = cut(usable.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")))
+    classes = usable.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
     sigs = cut(
         usable.join(classes, ["n", "k1", "k2"])
         .filter(F.col("id") == F.col("rep"))
         .select("id", "n", "sig")
         .dropDuplicates(["id", "n", "sig"])
     )
-    entries = _trees(sigs)
     region = Window.partitionBy("tree", "region")
     order = region.orderBy("deeper", "id")
-    entries = cut(
-        entries.select("*", F.count("*").over(region).alias("size"), F.lead("id").over(order).alias("next")).filter("size > 1")
-    )
-    pairs = entries.filter((F.col("tree") < FIRST_TREES) & F.col("next").isNotNull() & (F.col("next") != F.col("id")))
-    pairs = pairs.select(*_ordered("id", "next")).distinct()
-    near = cut(_equal_hashes(pairs, sigs))
+    entries = _trees(sigs).select("*", F.count("*").over(region).alias("size"), F.lead("id").over(order).alias("next"))
+    entries = cut(entries.filter("size > 1"))
     # only documents that share a region are looked at again: their full sets are made once, and kept
     asked = entries.select("id").distinct()
     texts = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("t")).join(asked, "id", "left_semi")
@@ -261,21 +279,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield pd.DataFrame({"id": b["id"], "set": [shingles(t).view(np.int64) for t in b["t"]]})
 
     sets = cut(texts.mapInPandas(sets_of, "id long, set array<long>"))
-    links = cut(_confirm(near, sets))
-    found = components(links)
-
-    def with_comp(e: DataFrame) -> DataFrame:
-        return e.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    # round 1
+    pairs = entries.filter((F.col("tree") < FIRST_TREES) & (F.col("next") != F.col("id")))
+    pairs = pairs.select(*_ordered("id", "next")).distinct()
+    links = cut(_confirm(_equal_hashes(pairs, sigs), sets))
+    found = _merged(cut(_runs(entries, links)), links)
 
     def mixed(e: DataFrame) -> DataFrame:
-        """Entries of regions that hold more than one component, with their number and main (most frequent) component."""
+        """Entries with comp of regions that hold more than one component, with their number and main (most frequent) component."""
         by = ["tree", "region"]
+        e = e.join(found, "id")
         sums = e.groupBy(*by, "comp").agg(F.count("*").alias("_c"))
         of = sums.groupBy(*by).agg(F.sum("_c").alias("size"), F.count("*").alias("_k"), F.max(F.struct("_c", "comp")).alias("_m"))
-        return e.drop("size").join(of.filter("_k > 1").select(*by, "size", F.col("_m.comp").alias("main")), by)
+        return e.join(of.filter("_k > 1").select(*by, "size", F.col("_m.comp").alias("main")), by)
 
     # round 2
-    m = cut(mixed(with_comp(entries.drop("next", "comp"))))
+    m = cut(mixed(entries.select("tree", "region", "deeper", "id")))
     ahead = F.collect_list(F.struct("id", "comp")).over(order.rowsBetween(1, WINDOW))
     pairs = (
         m.withColumn("_o", ahead)
@@ -284,17 +303,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .select(*_ordered("id", "o.id"))
         .distinct()
     )
-    more = cut(_confirm(cut(_equal_hashes(pairs, sigs)), sets))
-    links = cut(links.union(more))
-    found = components(links)
+    found = _merged(found, _confirm(_equal_hashes(pairs, sigs), sets))
     # round 3
-    dense = cut(m.filter(F.col("size") > WINDOW + 1).select("tree", "region", "id"))
+    dense = m.filter(F.col("size") > WINDOW + 1).select("tree", "region", "id")
     if dense.limit(1).count():
-        rest = mixed(with_comp(dense))
-        pairs = _block_pairs(rest.join(sigs, "id")).distinct()
-        more = cut(_confirm(pairs, sets))
-        if more.limit(1).count():
-            found = components(cut(links.union(more)))
+        pairs = _block_pairs(mixed(dense).join(sigs, "id")).distinct()
+        found = _merged(found, _confirm(pairs, sets))
     of = usable.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).select("id", "n", "rep")
     done = of.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("comp", "rep").alias("c"))
     lone = signed.filter((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("c"))
