@@ -1,0 +1,188 @@
+"""Invariants and examples of the operators on transcripts."""
+
+import json
+import math
+
+import numpy as np
+import pytest
+from conftest import SF
+from pyspark.sql import functions as F
+
+from transcript_jobs.jobs import flows
+from transcript_jobs.operators import chat, chunking, index, models, quality, questions, retrieval, segments, summaries
+from transcript_jobs.sources import tables
+from transcript_jobs.sources import testdata as D
+from transcript_jobs.streaming import arrivals
+
+SEG = "video_id string, seg_idx int, start double, end double, text string"
+RAW = "video_id string, pos int, start double, end double, text string"
+
+
+def segs(spark, texts, video="v", step=2.0):
+    return spark.createDataFrame([(video, i, i * step, (i + 1) * step, t) for i, t in enumerate(texts)], SEG)
+
+
+def chunks_of(spark, texts, most, **kw):
+    return sorted(map(tuple, chunking.chunk_segments(segs(spark, texts, **kw), most).drop("video_id").collect()))
+
+
+def test_clean_segments(spark):
+    rows = [("v", 0, 0.0, 2.0, " a  b "), ("v", 1, None, 2.0, "x"), ("v", 2, math.nan, 3.0, "x"), ("v", 3, 0.0, math.inf, "x"), ("v", 4, -1.0, 2.0, "x"), ("v", 5, 3.0, 2.0, "x"), ("v", 6, 2.0, 2.0, "ok"), ("v", 7, 2.0, 3.0, " \n"), ("v", 8, 2.0, 3.0, None)]
+    raw = spark.createDataFrame(rows, RAW)
+    assert [tuple(r) for r in segments.clean_segments(raw).orderBy("seg_idx").collect()] == [("v", 0, 0.0, 2.0, "a b"), ("v", 1, 2.0, 2.0, "ok")]
+    assert sum(r["dropped"] for r in segments.rejected_segments(raw).collect()) == 7
+    assert segments.clean_segments(raw.limit(0)).count() == 0
+
+
+def test_chunk_examples(spark):
+    assert chunks_of(spark, ["a b c", "d e f"], 10, step=1.0) == [(1, 0.0, 2.0, "a b c d e f", 6)]
+    assert [c[4] for c in chunks_of(spark, ["a b c d e", "f g h i j"], 5)] == [5, 5]
+    long = " ".join(f"w{i}" for i in range(1200))
+    got = chunks_of(spark, [long], 500, step=120.0)
+    assert [(c[1], c[2], c[4]) for c in got] == [(0.0, 50.0, 500), (50.0, 100.0, 500), (100.0, 120.0, 200)]
+    mixed = chunks_of(spark, ["a b", "c", " ".join("x" * 8), "d", "e f"], 4)
+    assert [c[3] for c in mixed] == ["a b c", "x x x x", "x x x x", "d e f"]
+
+
+@pytest.mark.parametrize("most", [3, 50, 500])
+def test_chunks_lose_no_word(spark, most):
+    clean = segments.clean_segments(D.segments(spark, SF)).toPandas()
+    got = chunking.chunk_segments(spark.createDataFrame(clean), most).toPandas()
+    assert got.word_count.max() <= most
+    for v, c in got.sort_values("chunk_id").groupby("video_id"):
+        s = clean[clean.video_id == v].sort_values("seg_idx")
+        assert " ".join(c.text) == " ".join(s.text) and list(c.chunk_id) == list(range(1, len(c) + 1))
+        assert c.start.min() >= s.start.min() and c.end.max() <= s.end.max()
+
+
+def test_windows(spark):
+    got = questions.question_windows(segs(spark, ["Now we have discussed the basics.", "Well.", "So what happens when the model overfits", "It is bad."])).collect()
+    assert [(r["start"], r["segment_index"], r["text"]) for r in got] == [(4.0, 2, "Well. So what happens when the model overfits It is bad.")]
+    got = questions.question_windows(segs(spark, ["What is machine learning?", "Why does it matter?", "A statement."])).collect()
+    assert len(got) == 1 and got[0]["start"] == 0.0
+    far = spark.createDataFrame([("v", 0, 0.0, 1.0, "Why so?"), ("v", 1, 3.0, 4.0, "Why is it?"), ("v", 2, 6.1, 7.0, "How can it be?")], SEG)
+    assert sorted((r["segment_index"], r["end"]) for r in questions.question_windows(far).collect()) == [(0, 4.0), (2, 7.0)]
+
+
+def test_caps_and_ranks(spark):
+    w = spark.createDataFrame([("v", i, float(i), float(i), "x?" if i % 20 == 19 else "x") for i in range(80)], "video_id string, segment_index int, start double, end double, text string")
+    kept = [r["segment_index"] for r in questions.cap_candidates(w).orderBy("segment_index").collect()]
+    assert len(kept) == 60 and {19, 39, 59, 79} <= set(kept)
+    q = spark.createDataFrame([("v", f"Topic {i} {'word ' * (i % 5)}is it?", float(i), float(i), i) for i in range(17)], "video_id string, question string, start double, end double, segment_index int")
+    assert questions.rank_questions(q).count() == 12
+    assert [r["id"] for r in questions.serialize_questions(q).orderBy("start").collect()] == list(range(1, 18))
+
+
+def test_dedupe_is_greedy(spark):
+    q = spark.createDataFrame([("v", "What is a model?", 1.0, 1.0, 1), ("v", "what is a model?", 5.0, 5.0, 3), ("v", "Why does rain fall?", 3.0, 3.0, 2), ("w", "What is a model?", 9.0, 9.0, 1)], "video_id string, question string, start double, end double, segment_index int")
+    got = questions.dedupe_questions(q).collect()
+    assert sorted((r["video_id"], r["start"]) for r in got) == [("v", 1.0), ("v", 3.0), ("w", 9.0)]
+
+
+@pytest.mark.parametrize("output", ["None (this is a statement)", "NONE", "", None, "What is it, this assumes x?", "Two words?", "Is the moon made of cheese today?", "Okay?"])
+def test_rejected_answers(spark, output):
+    row = spark.createDataFrame([("we ask what is gradient descent and why", output)], "text string, output string")
+    assert questions.accept_questions(row).count() == 0
+
+
+def test_retrieval(spark):
+    unit = lambda i: [1.0 if j == i else 0.0 for j in range(4)]
+    c = spark.createDataFrame([("v", i + 1, 0.0, 1.0, f"t{i}", unit(i)) for i in range(3)] + [("w", 1, 0.0, 1.0, "other", unit(1)), ("v", 9, 0.0, 1.0, "zero", [0.0] * 4)], "video_id string, chunk_id int, start double, end double, text string, embedding array<float>")
+    q = spark.createDataFrame([(7, "v", unit(1))], "question_id long, video_id string, embedding array<float>")
+    for f in (retrieval.retrieve_chunks, retrieval.retrieve_chunks_blocked):
+        got = f(q, c).orderBy("rank").collect()
+        assert [(r["video_id"], r["chunk_id"], r["similarity"]) for r in got] == [("v", 2, 1.0), ("v", 1, 0.0), ("v", 3, 0.0)]
+    assert retrieval.relevant_chunks(retrieval.retrieve_chunks(q, c)).count() == 1
+
+
+def test_word_budget(spark):
+    r = spark.createDataFrame([(1, "v", 1, 0.9, 1, 0.0, 1.0, "w " * 1000), (1, "v", 2, 0.8, 2, 0.0, 1.0, "w " * 1000), (1, "v", 3, 0.7, 3, 0.0, 1.0, "w " * 300), (2, "v", 1, 0.9, 1, 0.0, 1.0, "w " * 5000)], "question_id long, video_id string, chunk_id int, similarity double, rank int, start double, end double, text string")
+    got = {x["question_id"]: [(c["chunk_id"], len(c["text"].split())) for c in x["chunks"]] for x in retrieval.fit_word_budget(r).collect()}
+    assert got == {1: [(1, 1000), (3, 300)], 2: [(1, 1300)]}
+
+
+class Picky:
+    """Fails for batches above two, and for one text always."""
+
+    def load(self):
+        def run(batch):
+            if len(batch) > 2:
+                raise MemoryError
+            if any("bad" in m[-1]["content"] for m in batch):
+                raise ValueError("bad")
+            return [m[-1]["content"].upper() for m in batch]
+
+        return run
+
+
+def test_generation(spark):
+    rows = spark.createDataFrame([(x,) for x in ("a", "bb", "bad", "dd")], "t string")
+    asked = rows.withColumn("messages", questions.messages(F.lit("s"), F.col("t")))
+    got = {r["t"]: (r["output"], r["error"]) for r in models.generate_column(asked, "messages", Picky()).collect()}
+    assert got["a"] == ("A", None) and got["dd"] == ("DD", None) and got["bad"][0] is None and "bad" in got["bad"][1]
+
+
+def test_embedder(spark):
+    got = models.embed_column(spark.createDataFrame([("a b a",), ("",), (None,)], "t string"), "t").collect()
+    assert all(len(r["embedding"]) == 384 for r in got)
+    assert abs(np.linalg.norm(got[0]["embedding"]) - 1) < 1e-6 and not any(got[1]["embedding"]) and not any(got[2]["embedding"])
+
+
+def test_summaries(spark):
+    c = spark.createDataFrame([(v, i, "w " * 10) for v, n in (("a", 12), ("b", 5), ("c", 2)) for i in range(n)] + [("d", 1, " ")], "video_id string, chunk_id int, text string")
+    assert {r["video_id"]: r["max_tokens"] for r in summaries.summary_plan(c).collect()} == {"a": 120, "b": 160, "c": 240}
+    b = summaries.batch_stats(summaries.length_batches(c.filter("video_id = 'b'"), 2)).orderBy("batch_id").collect()
+    assert [r["chunks"] for r in b] == [2, 2, 1]
+    first = spark.createDataFrame([("x", ("\n".join("abcdef"), None)), ("y", ("\n".join("abcdefgh"), None)), ("z", ("raw", "raw"))], "video_id string, summary struct<summary: string, raw_output: string>")
+    retry = spark.createDataFrame([("x", ("\n".join("abcdefghijklmnop"), None)), ("y", ("\n".join("abcde"), None)), ("z", ("a\nb", None))], first.schema)
+    assert {r["video_id"] for r in summaries.needs_retry(first).collect()} == {"x", "y"}
+    got = {r["video_id"]: len(r["summary"]["summary"].split("\n")) for r in summaries.select_attempt(first, retry).collect()}
+    assert got == {"x": 16, "y": 8, "z": 1}
+
+
+def test_agreement(spark):
+    a = spark.createDataFrame([("v", "r", "the cat sat"), ("w", "r", "")], "video_id string, run string, text string")
+    b = spark.createDataFrame([("v", "The cat sat down"), ("w", None)], "video_id string, text string")
+    assert {r["video_id"]: round(r["agreement"], 4) for r in quality.transcript_agreement(a, b).collect()} == {"v": round(6 / 7, 4), "w": 1.0}
+
+
+def test_sessions(spark):
+    s = spark.createDataFrame([("s1", "v")], "session_id string, video_id string")
+    r = spark.createDataFrame([("s1", "v"), ("s1", "w"), (None, "v"), ("x", "v")], s.schema)
+    got = [x["session_id"] for x in chat.resolve_sessions(r, s).collect()]
+    assert got.count("s1") == 1 and len({*got}) == 4 and None not in got
+
+
+def test_flows(spark):
+    raw = D.segments(spark, SF).filter("doc_id < 40")
+    out = flows.ingest(raw, 50)
+    assert out["chunks"].count() >= out["full_text"].count() > 0
+    chunks = flows.index_videos(raw, models.HashEmbedder(64), 50)
+    mined = flows.mine_questions(out["segments"])
+    assert mined.groupBy("video_id").count().agg(F.max("count")).head()[0] <= 12
+    m = out["chunks"].filter("chunk_id = 1").select(F.abs(F.xxhash64("video_id")).alias("question_id"), F.lit("s").alias("session_id"), "video_id", F.col("text").alias("message"))
+    history = spark.createDataFrame([], "session_id string, place int, role string, message string")
+    got = flows.answer_questions(m, history, chunks, embedder=models.HashEmbedder(64)).toPandas()
+    assert len(got) == m.count() and got.success.all() and (got.sources.map(len) > 0).mean() > 0.9
+    done = flows.summarize_videos(out["chunks"]).toPandas()
+    assert len(done) == out["full_text"].count() and all(s["summary"] for s in done.summary)
+
+
+def test_tables_and_streams(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "tables")
+    src.mkdir()
+    one = lambda v, n: json.dumps({"video_id": v, "segments": [{"start": i, "end": i + 1, "text": f"what is number {i} of {v}?"} for i in range(n)] + [7, {"start": True, "end": 2, "text": "x"}]})
+    (src / "a.json").write_text(one("v1", 3) + "\n" + one("v2", 2) + "\nnot json\n")
+    arrivals.stream_index(spark, str(src), out, str(tmp_path / "c1")).awaitTermination()
+    (src / "b.json").write_text(one("v2", 5) + "\n" + one("v3", 1) + "\n")
+    arrivals.stream_index(spark, str(src), out, str(tmp_path / "c1")).awaitTermination()
+    s = tables.load_table(spark, out, "segments")
+    assert {r["video_id"]: r["count"] for r in s.groupBy("video_id").count().collect()} == {"v1": 3, "v2": 2, "v3": 1}
+    c = tables.load_table(spark, out, "chunks")
+    assert c.count() == 3 and len(c.head()["embedding"]) == 384
+    arrivals.stream_questions(spark, out, str(tmp_path / "c2")).awaitTermination()
+    q = tables.load_table(spark, out, "questions")
+    assert {r["video_id"] for r in q.collect()} == {"v1", "v2", "v3"}
+    v = spark.createDataFrame([("v1", "u")], "video_id string, url string")
+    indexed = index.indexed_videos(v.withColumn("status", F.lit("ready")), c)
+    assert indexed.count() == 1 and index.videos_to_process(v, indexed).count() == 0 and index.videos_to_process(v, indexed, True).count() == 1

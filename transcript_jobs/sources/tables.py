@@ -27,9 +27,12 @@ def video_bucket(n: int = BUCKETS):
     return F.pmod(F.xxhash64("video_id"), F.lit(n)).cast("int")
 
 
-def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table with its fixed schema; no inference."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+def load_table(spark: SparkSession, folder: str, name: str, bucket: bool = False) -> DataFrame:
+    """A table with its fixed schema; no inference. ``bucket``: with video_bucket too, by which files are skipped."""
+    if "video_id" not in SCHEMAS[name]:
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+    df = spark.read.schema(SCHEMAS[name] + ", video_bucket int").parquet(f"{folder}/{name}")
+    return df if bucket else df.drop("video_bucket")
 
 
 def save_table(df: DataFrame, folder: str, name: str, mode: str = "append") -> None:
