@@ -88,7 +88,7 @@ def accept_questions(answered: DataFrame) -> DataFrame:
 
 
 def dedupe_questions(questions: DataFrame, threshold: float = P.DEDUPE, embedder=None) -> DataFrame:
-    """Questions without those whose cosine to an earlier kept one of the video reaches ``threshold``.
+    """Questions without those whose cosine to an earlier kept one of the video reaches ``threshold`` (but for rounding).
 
     cap_candidates bounds a video's questions, so a group is small.
     """
@@ -97,7 +97,7 @@ def dedupe_questions(questions: DataFrame, threshold: float = P.DEDUPE, embedder
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start", "segment_index"], ignore_index=True)
         v = np.stack(pdf["_v"]).astype(float)
-        near, kept = v @ v.T >= threshold, []
+        near, kept = v @ v.T >= threshold - 1e-6, []
         for i in range(len(pdf)):
             if not near[i, kept].any():
                 kept.append(i)

@@ -294,7 +294,36 @@ def rank_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.rank_questions(_accepted(spark, sf_dir), SMALL_RANK)
 
 
-@register("dedupe_questions")
+_GREEDY = r"""q AS (
+  SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start, segment_index) AS i FROM grounded
+), w AS (
+  SELECT video_id, i, unnest(list_filter(regexp_split_to_array(lower(question), '\s+'), lambda x: x <> '')) AS w FROM q
+), t AS (
+  SELECT video_id, i, ('0x' || left(md5(w), 8))::BIGINT % 384 AS b, sum(1 - 2 * (('0x' || substr(md5(w), 9, 1))::BIGINT % 2))::DOUBLE AS v FROM w GROUP BY ALL
+), norms AS (
+  SELECT video_id, i, nullif(sqrt(sum(v * v)), 0) AS n FROM t GROUP BY ALL
+), alike AS (
+  SELECT a.video_id, a.i, c.i AS j, sum(a.v * c.v) / (max(x.n) * max(y.n)) AS s
+  FROM t a JOIN t c ON c.video_id = a.video_id AND c.b = a.b AND c.i < a.i
+       JOIN norms x ON x.video_id = a.video_id AND x.i = a.i JOIN norms y ON y.video_id = c.video_id AND y.i = c.i
+  GROUP BY ALL HAVING s >= 0.8 - 1e-6
+), before AS (
+  SELECT video_id, i, list(j) AS js FROM alike GROUP BY ALL
+), walk AS (
+  SELECT video_id, i, [i] AS kept FROM q WHERE i = 1
+  UNION ALL
+  SELECT q.video_id, q.i, CASE WHEN list_has_any(k.kept, coalesce(b.js, [])) THEN k.kept ELSE list_append(k.kept, q.i) END
+  FROM walk k JOIN q ON q.video_id = k.video_id AND q.i = k.i + 1 LEFT JOIN before b ON b.video_id = q.video_id AND b.i = q.i
+), last AS (
+  SELECT video_id, arg_max(kept, i) AS kept FROM walk GROUP BY video_id
+)"""
+
+
+@register(
+    "dedupe_questions",
+    f"""{_REC}, {_CAP}, {_ANSWERED}, {_GREEDY}
+SELECT q.video_id, segment_index, start, "end", question FROM q JOIN last USING (video_id) WHERE list_contains(kept, i)""",
+)
 def dedupe_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.dedupe_questions(_accepted(spark, sf_dir))
 
