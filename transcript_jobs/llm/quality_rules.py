@@ -30,7 +30,7 @@ RULES = (
     Rule("symbols", "10 * n_symbols > n_words"),
     Rule("long_words", "word_chars > 25 * n_words"),
     Rule("short_words", "word_chars < 2 * n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule("shouting", "10 * n_upper > 6 * n_letters"),
 )
 
@@ -197,7 +197,7 @@ WITH d AS (
           + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
           + CASE WHEN word_chars > 25 * n_words THEN 8 ELSE 0 END
           + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END
-          + CASE WHEN 10 * n_dup_lines > 3 * len(l) THEN 32 ELSE 0 END
+          + CASE WHEN 2 * n_dup_lines > len(l) THEN 32 ELSE 0 END
           + CASE WHEN 10 * n_upper > 6 * n_letters THEN 64 ELSE 0 END)::BIGINT AS bits
   FROM b
 )
