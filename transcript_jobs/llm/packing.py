@@ -32,7 +32,7 @@ HARD_FROM, HARD_STEP = 32, 8
 #: Tokens that are packed together; the last sequence of a block is carried into the next.
 BLOCK = 1 << 19
 #: Word pieces whose ids a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 
 
 def default_tokenizer() -> str:

@@ -1,8 +1,9 @@
 """Toxicity: a window's vector is the mean of its words', a word's the mean of its character n-grams'; a softmax reads it.
 
 A text is scored in all its windows of WINDOW words (a shorter one is filled up with zeros), and its highest
-window is its score: a few words do not vanish in the mean of a long text. Vectors and softmax are trained jointly in numpy on a bounded sample on the driver. As all is linear up to the
-softmax, each n-gram's share of the score is one number, so a task needs one array and keeps the words it has seen.
+window is its score: a few words do not vanish in the mean of a long text. Vectors and softmax are trained jointly
+in numpy on a bounded sample, by one task. As all is linear up to the softmax, each n-gram's share of the score is
+one number, so a task needs one array, and keeps the words it has seen.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ LEAST_DOCUMENTS = 4
 #: Rounds of training: first on all windows, then on the highest of each document and as many others.
 #: Windows a step, at most; fewer for a small sample, so that it gets STEPS steps.
 ROUNDS, BATCH, STEPS, RATE = 8, 512, 400, 0.2
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 
 
 def tokens(text: str) -> list[str]:
