@@ -14,7 +14,7 @@ from transcript_jobs.llm.common import WHITE_CLASS, md5_unit, table, text_or_emp
 #: Weights of the sources in order, repeating; the share of all words; the most epochs of a source.
 WEIGHTS, SHARE, MOST_EPOCHS = (5, 2, 1), 1.5, 2
 SEED = 17
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 10_000
 
 
 def quality_weight(text: Column, size: Column) -> Column:
