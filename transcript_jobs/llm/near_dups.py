@@ -4,10 +4,10 @@ Each tree orders the documents' signatures by its own run of hash values. Docume
 reaches the least depth lie in one region of a tree; where a region is dense, its order goes deeper and
 neighbours are those of the longest prefix. Every candidate pair is confirmed on the full shingle sets.
 
-Rounds: (1) direct neighbours of the first trees; (2) in all trees, the WINDOW next entries of another component;
-(3) where a region has more entries than a window and more than one component, every entry outside its largest
-component against all its entries, in blocks. After (3) no pair within a region is left out, so a link is lost
-only if its documents share no region of any tree: (1 - 0.85 ** 4) ** 24 = 2e-8 at the threshold, less above.
+Rounds: (1) direct neighbours of the first trees; (2) in all trees, regions of up to WINDOW + 1 entries and more
+than one component, every pair of different components; (3) in larger such regions, every entry outside the largest
+component against all entries, in blocks. So no pair within a region is left out, and a link is lost only if its
+documents share no region of any tree: (1 - 0.85 ** 4) ** 24 = 2e-8 at the threshold, less above.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ SHINGLE = 5
 PERCENT = 85
 TREES, DEPTH = 24, 4
 HASHES = TREES * DEPTH
-FIRST_TREES, WINDOW, BLOCK = 2, 16, 1024
+#: Trees of round 1, neighbours of round 2; entries and shingles of a block of round 3.
+FIRST_TREES, WINDOW, BLOCK, BLOCK_SHINGLES = 2, 8, 2048, 1_000_000
 #: Equal hash values that a pair must have to be confirmed: five standard deviations below PERCENT.
 LEAST_EQUAL = int(HASHES * (PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / HASHES) ** 0.5))
 
@@ -212,40 +213,68 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _block_pairs(entries: DataFrame) -> DataFrame:
-    """Candidate pairs of round 3 from entries (tree, region, id, comp, size, main, n, sig).
+def _agreeing(sig: np.ndarray, q: np.ndarray, d: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Equal hash values of each pair (q, d) of rows of sig, and whether ``tree`` is the first whose region they share."""
+    same, first = np.zeros((len(q), len(d)), np.uint8), np.ones((len(q), len(d)), bool)
+    for t in range(TREES):
+        region = np.ones_like(first)
+        for i in range(t * DEPTH, (t + 1) * DEPTH):
+            equal = sig[q, i][:, None] == sig[d, i][None, :]
+            same += equal
+            region &= equal
+        if t < tree:
+            first &= ~region
+    return same, first
 
-    A region's entries are dealt by hash into blocks of about BLOCK; a task compares one block with the entries
-    outside the main component of one block. Only pairs of different components and enough equal hash values come out.
+
+def _block_links(entries: DataFrame) -> DataFrame:
+    """Links (a, b) of round 3 from entries (tree, region, id, comp, size, shingles, main, n, sig, set).
+
+    A region's entries are dealt by hash into blocks of bounded entries and shingles; a task compares the entries
+    outside the main component of one block with all entries of one block. A pair is looked at in the first tree
+    whose region it shares, pairs with the most equal hash values first, and only as long as the links found so
+    far do not connect it; so no more links come out than there are components.
     """
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), HASHES)
         asks = pdf["asks"].to_numpy()
         q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
         ids, comp, n = (pdf[c].to_numpy() for c in ("id", "comp", "n"))
-        found = []
+        found = [np.zeros((0, 3), np.int64)]
         for lo in range(0, len(q), 256):
             part = q[lo : lo + 256]
-            same = np.zeros((len(part), len(d)), np.uint8)
-            for i in range(HASHES):
-                same += sig[part, i][:, None] == sig[d, i][None, :]
+            same, first = _agreeing(sig, part, d, key[0])
             small, big = np.minimum(n[part][:, None], n[d][None, :]), np.maximum(n[part][:, None], n[d][None, :])
-            x, y = np.nonzero((same >= LEAST_EQUAL) & (comp[part][:, None] != comp[d][None, :]) & (100 * small >= PERCENT * big))
-            found.append(np.stack([ids[part][x], ids[d][y]], axis=1))
-        out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": out.min(axis=1, initial=2**63 - 1), "b": out.max(axis=1, initial=-(2**63))})
+            x, y = np.nonzero(first & (same >= LEAST_EQUAL) & (comp[part][:, None] != comp[d][None, :]) & (100 * small >= PERCENT * big))
+            found.append(np.stack([same[x, y].astype(np.int64), part[x], d[y]], axis=1))
+        pairs = np.concatenate(found)
+        pairs = pairs[np.argsort(-pairs[:, 0], kind="stable")]
+        sets, up, links = [np.asarray(x) for x in pdf["set"]], {}, []
+
+        def root(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        for x, y in pairs[:, 1:].tolist():
+            cx, cy = root(comp[x]), root(comp[y])
+            if cx == cy:
+                continue
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= PERCENT * (len(sets[x]) + len(sets[y]) - both):
+                up[max(cx, cy)] = min(cx, cy)
+                links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     e = entries.withColumn("_n", blocks).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("_n") - 1)
-    asked = e.withColumn("_other", F.explode(every)).select(
-        "tree", "region", F.col("_other").alias("q"), F.col("_own").alias("d"), F.lit(False).alias("asks"), "id", "comp", "n", "sig"
+    e = e.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    part = lambda df, x, y, asks: df.select(
+        "tree", "region", F.col(x).alias("q"), F.col(y).alias("d"), F.lit(asks).alias("asks"), "id", "comp", "n", "sig", "set"
     )
-    asking = e.filter("comp != main").withColumn("_other", F.explode(every)).select(
-        "tree", "region", F.col("_own").alias("q"), F.col("_other").alias("d"), F.lit(True).alias("asks"), "id", "comp", "n", "sig"
-    )
-    return asked.union(asking).groupBy("tree", "region", "q", "d").applyInPandas(compare, "a long, b long")
+    both = part(e, "_other", "_own", False).union(part(e.filter("comp != main"), "_own", "_other", True))
+    return both.groupBy("tree", "region", "q", "d").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,19 +314,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = cut(_confirm(_equal_hashes(pairs, sigs), sets))
     found = _merged(cut(_runs(entries, links)), links)
 
+    sizes = sigs.groupBy("id").agg(F.max("n").alias("_s"))
+
     def mixed(e: DataFrame) -> DataFrame:
         """Entries with comp of regions that hold more than one component, with their number and main (most frequent) component."""
         by = ["tree", "region"]
-        e = e.join(found, "id")
-        sums = e.groupBy(*by, "comp").agg(F.count("*").alias("_c"))
-        of = sums.groupBy(*by).agg(F.sum("_c").alias("size"), F.count("*").alias("_k"), F.max(F.struct("_c", "comp")).alias("_m"))
-        return e.join(of.filter("_k > 1").select(*by, "size", F.col("_m.comp").alias("main")), by)
+        e = e.join(found, "id").join(sizes, "id")
+        sums = e.groupBy(*by, "comp").agg(F.count("*").alias("_c"), F.sum("_s").alias("_s"))
+        of = sums.groupBy(*by).agg(F.sum("_c").alias("size"), F.sum("_s").alias("shingles"), F.count("*").alias("_k"), F.max(F.struct("_c", "comp")).alias("_m"))
+        return e.drop("_s").join(of.filter("_k > 1").select(*by, "size", "shingles", F.col("_m.comp").alias("main")), by)
 
     # round 2
     m = cut(mixed(entries.select("tree", "region", "deeper", "id")))
     ahead = F.collect_list(F.struct("id", "comp")).over(order.rowsBetween(1, WINDOW))
     pairs = (
-        m.withColumn("_o", ahead)
+        m.filter(F.col("size") <= WINDOW + 1)
+        .withColumn("_o", ahead)
         .select("id", "comp", F.explode("_o").alias("o"))
         .filter("comp != o.comp")
         .select(*_ordered("id", "o.id"))
@@ -305,10 +337,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     found = _merged(found, _confirm(_equal_hashes(pairs, sigs), sets))
     # round 3
-    dense = m.filter(F.col("size") > WINDOW + 1).select("tree", "region", "id")
-    if dense.limit(1).count():
-        pairs = _block_pairs(mixed(dense).join(sigs, "id")).distinct()
-        found = _merged(found, _confirm(pairs, sets))
+    dense = mixed(m.filter(F.col("size") > WINDOW + 1).select("tree", "region", "id"))
+    own = sigs.select("id", "n", "sig").join(sets, "id")
+    found = _merged(found, _block_links(dense.join(own, "id")).distinct())
     of = usable.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).select("id", "n", "rep")
     done = of.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("comp", "rep").alias("c"))
     lone = signed.filter((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("c"))
