@@ -28,6 +28,8 @@ LEAST_DOCUMENTS = 4
 #: Windows a step, at most; fewer for a small sample, so that it gets STEPS steps.
 ROUNDS, BATCH, STEPS, RATE = 8, 512, 400, 0.2
 KEPT_WORDS = 300_000
+#: Texts whose words are held at once.
+TEXTS_AT_ONCE = 256
 
 
 def tokens(text: str) -> list[str]:
@@ -72,6 +74,10 @@ class Model:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """The likelihood of label 1 of each whole text; of a text without words, that of the bias alone."""
+        parts = [self._score(texts[at : at + TEXTS_AT_ONCE]) for at in range(0, len(texts), TEXTS_AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _score(self, texts: list[str]) -> np.ndarray:
         split = [tokens(t) for t in texts]
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
