@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from transcript_jobs.llm import mixing, near_dups, packing, quality_model, toxicity
 from transcript_jobs.llm.common import shared_dir, table
 
+#: Near copies have a similarity of 0.8 or more (op2 alone links from 0.85 on).
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality trees accept, trained on the labelled ones among them."""
@@ -29,7 +32,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest doc_id; of rows with one doc_id, one. Rows without stay."""
-    kept = near_dups.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = near_dups.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 

@@ -7,7 +7,8 @@ neighbours are those of the longest prefix. Every candidate pair is confirmed on
 Rounds: (1) direct neighbours of the first trees; (2) in all trees, regions of up to WINDOW + 1 entries and more
 than one component, every pair of different components; (3) in larger such regions, every entry outside the largest
 component against all entries, in blocks. So no pair within a region is left out, and a link is lost only if its
-documents share no region of any tree: (1 - 0.85 ** 4) ** 24 = 2e-8 at the threshold, less above.
+documents share no region of any tree, (1 - 0.85 ** 4) ** 24 = 2e-8 at a threshold of 85 percent and 3e-6 at one of
+80, less above, or if too few of their hash values agree (see least_equal).
 """
 
 from __future__ import annotations
@@ -22,14 +23,12 @@ from pyspark.sql import functions as F
 from transcript_jobs.llm.common import cut, table, text_or_empty
 
 SHINGLE = 5
-#: A pair is linked if 100 * |intersection| >= PERCENT * |union|.
+#: A pair is linked if 100 * |intersection| >= percent * |union|; PERCENT is that of op2.
 PERCENT = 85
 TREES, DEPTH = 24, 4
 HASHES = TREES * DEPTH
 #: Trees of round 1, neighbours of round 2; entries and shingles of a block of round 3.
 FIRST_TREES, WINDOW, BLOCK, BLOCK_SHINGLES = 2, 8, 2048, 1_000_000
-#: Equal hash values that a pair must have to be confirmed: five standard deviations below PERCENT.
-LEAST_EQUAL = int(HASHES * (PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / HASHES) ** 0.5))
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWER = np.uint64(0x100000001B3)
@@ -43,6 +42,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def least_equal(percent: int) -> int:
+    """Equal hash values that a pair must have to be confirmed: five standard deviations below percent."""
+    return int(HASHES * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5))
+
+
 def _scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -181,7 +185,7 @@ def _runs(entries: DataFrame, links: DataFrame) -> DataFrame:
     return entries.select("id").distinct().join(least, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of distinct ids whose full sets are similar enough."""
     first = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     second = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
@@ -189,23 +193,24 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return (
         pairs.join(first, "a")
         .join(second, "b")
-        .filter(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both))
+        .filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
         .select("a", "b")
     )
 
 
-def _equal_hashes(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with at least LEAST_EQUAL equal hash values, and sizes that allow a link."""
+def _equal_hashes(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with at least least_equal(percent) equal hash values, and sizes that allow a link."""
+    least = least_equal(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if len(p):
                 x, y = (np.frombuffer(b"".join(p[c]), np.uint16).reshape(len(p), HASHES) for c in ("xs", "ys"))
-                yield p.loc[(x == y).sum(axis=1) >= LEAST_EQUAL, ["a", "b"]]
+                yield p.loc[(x == y).sum(axis=1) >= least, ["a", "b"]]
 
     x = sigs.select(F.col("id").alias("a"), F.col("sig").alias("xs"), F.col("n").alias("xn"))
     y = sigs.select(F.col("id").alias("b"), F.col("sig").alias("ys"), F.col("n").alias("yn"))
-    fit = 100 * F.least("xn", "yn") >= PERCENT * F.greatest("xn", "yn")
+    fit = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
     return pairs.join(x, "a").join(y, "b").filter(fit).select("a", "b", "xs", "ys").mapInPandas(run, "a long, b long")
 
 
@@ -227,7 +232,7 @@ def _agreeing(sig: np.ndarray, q: np.ndarray, d: np.ndarray, tree: int) -> tuple
     return same, first
 
 
-def _block_links(entries: DataFrame) -> DataFrame:
+def _block_links(entries: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of round 3 from entries (tree, region, id, comp, size, shingles, main, n, sig, set).
 
     A region's entries are dealt by hash into blocks of bounded entries and shingles; a task compares the entries
@@ -235,6 +240,7 @@ def _block_links(entries: DataFrame) -> DataFrame:
     whose region it shares, pairs with the most equal hash values first, and only as long as the links found so
     far do not connect it; so no more links come out than there are components.
     """
+    least = least_equal(percent)
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), HASHES)
@@ -246,7 +252,7 @@ def _block_links(entries: DataFrame) -> DataFrame:
             part = q[lo : lo + 256]
             same, first = _agreeing(sig, part, d, key[0])
             small, big = np.minimum(n[part][:, None], n[d][None, :]), np.maximum(n[part][:, None], n[d][None, :])
-            x, y = np.nonzero(first & (same >= LEAST_EQUAL) & (comp[part][:, None] != comp[d][None, :]) & (100 * small >= PERCENT * big))
+            x, y = np.nonzero(first & (same >= least) & (comp[part][:, None] != comp[d][None, :]) & (100 * small >= percent * big))
             found.append(np.stack([same[x, y].astype(np.int64), part[x], d[y]], axis=1))
         pairs = np.concatenate(found)
         pairs = pairs[np.argsort(-pairs[:, 0], kind="stable")]
@@ -262,7 +268,7 @@ def _block_links(entries: DataFrame) -> DataFrame:
             if cx == cy:
                 continue
             both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * both >= PERCENT * (len(sets[x]) + len(sets[y]) - both):
+            if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
                 up[max(cx, cy)] = min(cx, cy)
                 links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
@@ -277,10 +283,10 @@ def _block_links(entries: DataFrame) -> DataFrame:
     return both.groupBy("tree", "region", "q", "d").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """key, n_shingles, component_id, kept: one row per row of ``docs``.
 
-    component_id is the smallest key reachable by links; kept marks that document. A null or empty text has no
+    component_id is the smallest key reachable by links (similarity of percent or more); kept marks that document. A null or empty text has no
     shingles and is linked with nothing; a row without a key is a component of its own (component_id null, kept).
     Rows with one key count as one document: they share a component, and a repeated row is kept as often as it
     stands there. Keys are integers. Columns other than key and text are not looked at.
@@ -311,7 +317,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # round 1
     pairs = entries.filter((F.col("tree") < FIRST_TREES) & (F.col("next") != F.col("id")))
     pairs = pairs.select(*_ordered("id", "next")).distinct()
-    links = cut(_confirm(_equal_hashes(pairs, sigs), sets))
+    links = cut(_confirm(_equal_hashes(pairs, sigs, percent), sets, percent))
     found = _merged(cut(_runs(entries, links)), links)
 
     sizes = sigs.groupBy("id").agg(F.max("n").alias("_s"))
@@ -335,11 +341,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .select(*_ordered("id", "o.id"))
         .distinct()
     )
-    found = _merged(found, _confirm(_equal_hashes(pairs, sigs), sets))
+    found = _merged(found, _confirm(_equal_hashes(pairs, sigs, percent), sets, percent))
     # round 3
     dense = mixed(m.filter(F.col("size") > WINDOW + 1).select("tree", "region", "id"))
     own = sigs.select("id", "n", "sig").join(sets, "id")
-    found = _merged(found, _block_links(dense.join(own, "id")).distinct())
+    found = _merged(found, _block_links(dense.join(own, "id"), percent).distinct())
     of = usable.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).select("id", "n", "rep")
     done = of.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("comp", "rep").alias("c"))
     lone = signed.filter((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("c"))
