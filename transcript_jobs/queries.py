@@ -243,16 +243,16 @@ _CAP = f"""{_WINDOWS}, capped AS (
 
 
 @register("cap_candidates", f"{_SEG}, {_CAP} SELECT * FROM capped")
-def cap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions.cap_candidates(_windows(spark, sf_dir), SMALL_CAP)
+def cap_candidates(spark: SparkSession, sf_dir: str, cap: int = SMALL_CAP) -> DataFrame:
+    return questions.cap_candidates(_windows(spark, sf_dir), cap)
 
 
 @register(
     "question_prompts",
     f"""{_SEG}, {_CAP} SELECT video_id, segment_index, 2 AS n_messages, 'Transcript excerpt:' || chr(10) || chr(10) || text AS user_message FROM capped""",
 )
-def question_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = questions.question_prompts(cap_candidates(spark, sf_dir))
+def question_prompts(spark: SparkSession, sf_dir: str, cap: int = SMALL_CAP) -> DataFrame:
+    q = questions.question_prompts(cap_candidates(spark, sf_dir, cap))
     return q.select("video_id", "segment_index", F.size("messages").alias("n_messages"), F.col("messages")[1]["content"].alias("user_message"))
 
 
@@ -272,15 +272,15 @@ _ANSWERED = rf"""answered AS (
 )"""
 
 
-def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = questions.question_prompts(cap_candidates(spark, sf_dir))
+def _accepted(spark: SparkSession, sf_dir: str, cap: int = SMALL_CAP) -> DataFrame:
+    prompts = questions.question_prompts(cap_candidates(spark, sf_dir, cap))
     out = models.generate_column(prompts, "messages", models.FirstQuestionGenerator(), batch_size=P.VALIDATION_BATCH)
     return questions.accept_questions(out).select("video_id", "segment_index", "start", "end", "question")
 
 
 @register("accept_questions", f"{_SEG}, {_CAP}, {_ANSWERED} SELECT * FROM grounded")
-def accept_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _accepted(spark, sf_dir)
+def accept_questions(spark: SparkSession, sf_dir: str, cap: int = SMALL_CAP) -> DataFrame:
+    return _accepted(spark, sf_dir, cap)
 
 
 _SCORE = f"""({_of(_WORDS, "rtrim(question, '?')")} + CASE WHEN list_contains([{", ".join(f"'{w}'" for w in P.CONCEPTUAL)}], lower(string_split(rtrim(question, '?'), ' ')[1])) THEN 5 ELSE 0 END)"""
@@ -290,8 +290,8 @@ _SCORE = f"""({_of(_WORDS, "rtrim(question, '?')")} + CASE WHEN list_contains([{
     "rank_questions",
     f"{_SEG}, {_CAP}, {_ANSWERED} SELECT * FROM grounded QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY {_SCORE} DESC, start, segment_index) <= {SMALL_RANK}",
 )
-def rank_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions.rank_questions(_accepted(spark, sf_dir), SMALL_RANK)
+def rank_questions(spark: SparkSession, sf_dir: str, cap: int = SMALL_CAP, rank: int = SMALL_RANK) -> DataFrame:
+    return questions.rank_questions(_accepted(spark, sf_dir, cap), rank)
 
 
 _GREEDY = r"""q AS (
@@ -324,8 +324,8 @@ _GREEDY = r"""q AS (
     f"""{_REC}, {_CAP}, {_ANSWERED}, {_GREEDY}
 SELECT q.video_id, segment_index, start, "end", question FROM q JOIN last USING (video_id) WHERE list_contains(kept, i)""",
 )
-def dedupe_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions.dedupe_questions(_accepted(spark, sf_dir))
+def dedupe_questions(spark: SparkSession, sf_dir: str, cap: int = SMALL_CAP) -> DataFrame:
+    return questions.dedupe_questions(_accepted(spark, sf_dir, cap))
 
 
 @register(
@@ -335,8 +335,8 @@ SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start, segmen
        'https://www.youtube.com/watch?v=' || video_id || '&t=' || floor(start)::BIGINT || 's' AS youtube_url
 FROM grounded""",
 )
-def serialize_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions.serialize_questions(_accepted(spark, sf_dir))
+def serialize_questions(spark: SparkSession, sf_dir: str, cap: int = SMALL_CAP) -> DataFrame:
+    return questions.serialize_questions(_accepted(spark, sf_dir, cap))
 
 
 @register(
@@ -344,11 +344,20 @@ def serialize_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{_SEG}, {_CAP}, {_ANSWERED}, q AS (SELECT video_id, string_agg(question, chr(10) ORDER BY start, segment_index) AS questions FROM grounded GROUP BY video_id)
 SELECT 'vid' || lpad(doc_id::VARCHAR, 8, '0') AS video_id, questions FROM documents LEFT JOIN q ON q.video_id = 'vid' || lpad(doc_id::VARCHAR, 8, '0')""",
 )
-def cached_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = index.cached_questions(D.videos(spark, sf_dir), _accepted(spark, sf_dir))
+def cached_questions(spark: SparkSession, sf_dir: str, cap: int = SMALL_CAP) -> DataFrame:
+    out = index.cached_questions(D.videos(spark, sf_dir), _accepted(spark, sf_dir, cap))
     return out.select("video_id", F.array_join(F.transform("questions", lambda x: x["question"]), "\n").alias("questions"))
 
 
+# The same chain with the operators' own limits, which the names end with; small limits are reached by more videos.
+_OWN_CAP = _CAP.replace(f"<= {SMALL_CAP}\n", f"<= {P.CANDIDATES}\n")
+_OWN = {f.__name__: (f, {}) for f in (cap_candidates, question_prompts, accept_questions, dedupe_questions, serialize_questions, cached_questions)}
+for _name, (_f, _limits) in (_OWN | {"rank_questions": (rank_questions, {"rank": P.QUESTIONS})}).items():
+    register(
+        f"{_name}_{_limits.get('rank', P.CANDIDATES)}", REGISTERED[_name][1].replace(_CAP, _OWN_CAP).replace(f"<= {SMALL_RANK}", f"<= {P.QUESTIONS}")
+    )(lambda spark, sf_dir, f=_f, limits=_limits: f(spark, sf_dir, P.CANDIDATES, **limits))
+
+
 @register(
     "grounding_overlap",
     f"""{_SEG}, {_WINDOWS}, p AS (SELECT w.video_id, segment_index, {_of(_CONTENT, "left(text, 80)")} AS a, {_of(_CONTENT, "right(text, 160)")} AS b FROM windows w)
