@@ -24,17 +24,42 @@ def pipeline_outcomes(results: DataFrame) -> DataFrame:
     return g.select("video_id", ok.alias("success"), F.col("f.stage").alias("failed_stage"), F.col("f.error").alias("error"), (ok & ~F.coalesce("no_chat", F.lit(False))).alias("chat_available"))
 
 
+def _matching(a: str | None, b: str | None) -> tuple[SequenceMatcher, int]:
+    """The matcher of two texts' lower-cased words, and how many words they have together."""
+    x, y = (a or "").lower().split(), (b or "").lower().split()
+    return SequenceMatcher(None, x, y, autojunk=False), len(x) + len(y)
+
+
 def transcript_agreement(runs: DataFrame, baseline: DataFrame) -> DataFrame:
     """(video_id, run, agreement) of rows (video_id, run, text): 2M/T of matching word blocks with the baseline's text.
 
-    Texts are compared in a task each; give the rows in slices (fixed_windows) for long videos.
+    Texts are compared in a task each; for long videos use sliced_agreement.
     """
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(
-            [SequenceMatcher(None, (x or "").lower().split(), (y or "").lower().split(), autojunk=False).ratio() for x, y in zip(a, b, strict=True)]
-        )
+        return pd.Series([_matching(x, y)[0].ratio() for x, y in zip(a, b, strict=True)])
 
     b = baseline.select("video_id", F.col("text").alias("_b"))
     return runs.join(b, "video_id").select("video_id", "run", ratio(F.col("_b"), F.col("text")).alias("agreement"))
+
+
+def sliced_agreement(runs: DataFrame, baseline: DataFrame) -> DataFrame:
+    """transcript_agreement of runs (video_id, run, n, text) and a baseline (video_id, n, text) cut into slices n.
+
+    A row compares a slice; matches and words are summed to a ratio of each video and run. A slice that one side
+    lacks counts with its words.
+    """
+
+    @F.pandas_udf("matches long, words long")
+    def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = [_matching(x, y) for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame({"matches": [sum(block.size for block in m.get_matching_blocks()) for m, _ in found], "words": [n for _, n in found]}, dtype="int64")
+
+    b = baseline.select("video_id", "n", F.col("text").alias("_b"))
+    every = runs.select("video_id", "run").distinct().join(b, "video_id")
+    known = runs.join(b.select("video_id").distinct(), "video_id", "left_semi")
+    both = every.join(known, ["video_id", "run", "n"], "full").select("video_id", "run", compare(F.col("_b"), F.col("text")).alias("c"))
+    words = F.sum("c.words")
+    ratio = F.when(words > 0, 2.0 * F.sum("c.matches") / words).otherwise(1.0)
+    return both.groupBy("video_id", "run").agg(ratio.alias("agreement"))

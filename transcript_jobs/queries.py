@@ -16,6 +16,7 @@ from transcript_jobs.sources import testdata as D
 #: name -> (query, SQL or None)
 REGISTERED: dict = {}
 SMALL_CAP, SMALL_CHUNK, SMALL_RANK = 5, 50, 3
+AGREEMENT_SLICE = 600.0
 
 
 def register(name: str, sql: str | None = None):
@@ -744,6 +745,46 @@ def salvage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outputs(spark, sf_dir).filter("doc_id % 4 = 0").select("doc_id", F.greatest(n, F.lit(0)).cast("long").alias("n"))
 
 
+def _whole_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model outputs made of all lines of every text: plain, fenced and cut JSON, and prose."""
+    lines = F.filter(F.split(F.translate("text", '"\\', ""), "\n"), lambda x: F.trim(x) != "")
+    body = F.concat(F.lit('{"summary_lines": ["'), F.array_join(lines, '",\n"'), F.lit('"], "main_topics": ["a", " b "], "key_points": [], "conclusions": ["c"]}'))
+    k = F.col("doc_id") % 4
+    out = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 2, F.expr("left(body, length(body) - 2)")).otherwise(F.col("text"))
+    return D.documents(spark, sf_dir).withColumn("body", body).select("doc_id", out.alias("raw"))
+
+
+_WHOLE_OUTPUTS = """WITH l AS (
+  SELECT doc_id, doc_id % 4 AS k, text, list_filter(string_split(replace(replace(text, '"', ''), chr(92), ''), chr(10)), lambda x: trim(x) <> '') AS lines FROM documents
+), b AS (
+  SELECT *, '{"summary_lines": ["' || array_to_string(lines, '",' || chr(10) || '"') || '"], "main_topics": ["a", " b "], "key_points": [], "conclusions": ["c"]}' AS body FROM l
+), o AS (
+  SELECT doc_id, k, k < 3 AND len(lines) > 0 AS parsed, len(lines) AS n, array_to_string(list_transform(lines, lambda x: trim(x)), chr(10)) AS summary,
+         CASE k WHEN 0 THEN body WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 2 THEN left(body, length(body) - 2) ELSE text END AS raw
+  FROM b
+)"""
+
+
+@register("parse_summary_whole", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN summary END AS summary, CASE WHEN parsed THEN 'a,b' END AS topics FROM o""")
+def parse_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _whole_outputs(spark, sf_dir).withColumn("p", J.parse_summary(F.col("raw")))
+    return p.select("doc_id", F.col("p.summary").alias("summary"), F.array_join("p.main_topics", ",").alias("topics"))
+
+
+@register("final_summary_whole", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN summary ELSE raw END AS summary, raw IS NOT NULL AND NOT parsed AS raw FROM o""")
+def final_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document, those that nothing can be read of too."""
+    f = _whole_outputs(spark, sf_dir).withColumn("f", J.final_summary(F.col("raw")))
+    return f.select("doc_id", F.col("f.summary").alias("summary"), F.col("f.raw_output").isNotNull().alias("raw"))
+
+
+@register("salvage_lines_whole", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN greatest(n - CASE k WHEN 2 THEN 1 ELSE 2 END, 0) ELSE 0 END::BIGINT AS n FROM o""")
+def salvage_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole rows between the first and the last of JSON, plain or fenced; cut JSON ends in a quote, so its last row counts too. Prose has none."""
+    lines = J.salvage_lines(F.col("raw"))
+    return _whole_outputs(spark, sf_dir).select("doc_id", F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n"))
+
+
 @register("summary_stats", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS n_lines, " + _of(_WORDS, "text") + "::BIGINT AS n_words FROM documents")
 def summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.documents(spark, sf_dir).select("doc_id", T.summary_line_count(F.col("text")).cast("long").alias("n_lines"), T.summary_words(F.col("text")).cast("long").alias("n_words"))
@@ -850,12 +891,29 @@ def pipeline_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("transcript_agreement")
 def transcript_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each cleaned segment against itself without every 25th word of the transcript."""
-    s = _clean(spark, sf_dir).select(F.concat_ws(":", "video_id", F.col("seg_idx").cast("string")).alias("video_id"), "text")
-    less = F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 25 != 24), " ")
-    return quality.transcript_agreement(s.select("video_id", F.lit("thinned").alias("run"), less.alias("text")), s)
+    """Each transcript against itself without its every 25th word, in slices of 10 minutes."""
+    s = _clean(spark, sf_dir)
+    words = F.split("text", " ")
+    before = F.sum(F.size(words)).over(Window.partitionBy("video_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("_before", F.coalesce(before, F.lit(0)))
+    less = F.array_join(F.filter(words, lambda w, i: (F.col("_before") + i) % 25 != 24), " ")
+    windows = segments.fixed_windows(s.groupBy("video_id").agg(F.max("end").alias("duration")), AGREEMENT_SLICE).groupBy("video_id").agg(F.max("n").alias("last"))
+    # a segment lies in the window of its start, an empty one at the very end in the last
+    n = F.least(F.floor(F.col("start") / AGREEMENT_SLICE).cast("int"), F.coalesce("last", F.lit(0)))
+    s = s.withColumn("thin", less).join(windows, "video_id", "left").withColumn("n", n)
+
+    def whole(column: str) -> DataFrame:
+        parts = F.array_sort(F.collect_list(F.struct("seg_idx", column)))
+        return s.filter(F.col(column) != "").groupBy("video_id", "n").agg(F.array_join(F.transform(parts, lambda x: x[column]), " ").alias("text"))
+
+    return quality.sliced_agreement(whole("thin").withColumn("run", F.lit("thinned")), whole("text"))
 
 
 @register("usable_chunks", """SELECT doc_id FROM documents WHERE regexp_replace(left(text, 3), '\\s', '', 'g') <> ''""")
 def usable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.usable_chunks(D.documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 3).alias("text"))).select("doc_id")
+
+
+@register("usable_chunks_whole", """SELECT doc_id FROM documents WHERE regexp_replace(text, '\\s', '', 'g') <> ''""")
+def usable_chunks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.usable_chunks(D.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id")
