@@ -27,7 +27,11 @@ BLOCK_TAGS = set(
 # Elements that hold running text themselves.
 PROSE_TAGS = set("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption caption summary".split())
 # Elements whose content is never text of a page.
-SILENT = "script style noscript template svg math iframe object canvas audio video textarea title datalist".split()
+SILENT = set("script style noscript template svg math iframe object canvas audio video textarea title datalist".split())
+# Those that hold no elements and, without an end tag, reach to the end of the page.
+RAW_TAGS = set("script style textarea title".split())
+# Those that "/>" closes, and within which it closes anything.
+FOREIGN_TAGS = set("svg math".split())
 # Elements without content.
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
 # Elements and words of class, id and role that mark what is not the article.
@@ -45,47 +49,102 @@ ASIDE_WORDS = set(
     "respond responses disqus discussion share sharing social popup modal overlay search searchbox form dialog".split()
 )
 MAIN_WORDS = set("article post entry content story main maincontent articlebody".split())
+# Parts of a name that tell what an element has around or within it, not what it is (has-sidebar, comments-open).
+STATE_WORDS = set("has with no without open closed enabled disabled".split())
+# Those of ASIDE_WORDS that, as part of a longer name, may name a layout (sidebar-left).
+LAYOUT_WORDS = set("sidebar sidebars rail".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<silent>" + "|".join(SILENT) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=silent)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>|\Z", re.I) for tag in RAW_TAGS}
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _PART = re.compile(r"[a-z]+")
 
 NOT_MAIN, OPEN, MAIN = 0, 1, 2
 
 
-def _zone(tag: str, attrs: str, zone: int, hard: bool) -> tuple[int, bool]:
-    """Zone and firmness within an element, from those around it. Nothing within a firm zone is the article."""
-    names = set()
+#: Firmness of a zone: by words of a layout, by other words of a class, id or role, for good. A wrapper may have words too.
+LAYOUT, BY_WORDS, FIRM = 1, 2, 3
+
+
+def _tokens(page: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, "/" of an end tag, tag, attributes) of the marks of a page; a comment or silent element is one mark without a tag.
+
+    A silent element without an end tag is only its start tag, unless it is of RAW_TAGS.
+    """
+    out: list[tuple[int, int, str, str, str]] = []
+    inside: list[tuple[str, int]] = []  # open silent elements and where their marks begin in out
+    depth = dict.fromkeys(SILENT, 0)
+    at = 0
+    while m := _TOKEN.search(page, at):
+        start, at, tag = m.start(), m.end(), (m["tag"] or "").lower()
+        if tag not in SILENT:
+            out.append((start, at, m["close"] or "", tag, m["attrs"] or ""))
+            continue
+        if m["close"]:
+            while depth[tag]:
+                name, first = inside.pop()
+                depth[name] -= 1
+                if name == tag:
+                    start = out[first][0]
+                    del out[first:]
+                    break
+        elif m["attrs"].endswith("/") and (tag in FOREIGN_TAGS or any(depth[f] for f in FOREIGN_TAGS)):
+            pass
+        elif tag in RAW_TAGS:
+            at = _RAW_END[tag].search(page, at).end()
+        else:
+            inside.append((tag, len(out)))
+            depth[tag] += 1
+        out.append((start, at, "", "", ""))
+    return out
+
+
+def _zone(tag: str, attrs: str, zone: int, hard: int, lone: bool) -> tuple[int, int]:
+    """Zone and firmness within an element, from those around it. Nothing within a firm zone is the article.
+
+    A main leads out of a zone that is firm by words, and a page's ``lone`` article out of one that is by words of a layout.
+    """
+    names, aside, tokens = set(), set(), set()
     if tag not in ("html", "body") and attrs and not attrs.isspace():
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return NOT_MAIN, True
+                return NOT_MAIN, FIRM
             if name in ("class", "id", "role"):
-                names.update(_PART.findall(_HUMP.sub(" ", value).lower()))
-    if hard or tag in ASIDE_TAGS or names & ASIDE_WORDS:
-        return NOT_MAIN, True
-    if tag in ("article", "main"):
-        return MAIN, False
-    if tag == "footer" or tag in ("nav", "menu") or (tag in OUTER_TAGS or names & OUTER_WORDS) and zone != MAIN:
-        return NOT_MAIN, False
+                for token in value.split():
+                    parts = set(_PART.findall(_HUMP.sub(" ", token).lower()))
+                    names |= parts
+                    tokens.add(token.lower())
+                    if not parts & STATE_WORDS:
+                        aside |= parts
+    if tag in ASIDE_TAGS:
+        return NOT_MAIN, FIRM
+    if hard and not (tag == "main" and hard < FIRM or tag == "article" and lone and hard == LAYOUT):
+        layout = hard == LAYOUT and not aside & ASIDE_WORDS - LAYOUT_WORDS
+        return NOT_MAIN, LAYOUT if layout else max(hard, BY_WORDS)
+    if tag == "main" or tag == "article" and not (tokens & ASIDE_WORDS and not names & MAIN_WORDS):
+        return MAIN, 0
+    if hard or aside & ASIDE_WORDS:
+        layout = aside & ASIDE_WORDS <= LAYOUT_WORDS and not tokens & ASIDE_WORDS
+        return NOT_MAIN, LAYOUT if layout else BY_WORDS
+    if tag == "footer" or tag in ("nav", "menu") or (tag in OUTER_TAGS or aside & OUTER_WORDS) and zone != MAIN:
+        return NOT_MAIN, 0
     if names & MAIN_WORDS and zone != NOT_MAIN:
-        return MAIN, False
+        return MAIN, 0
     return zone, hard
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool]]:
     """(text, words within links, zone, whether in a running-text element) of each block of a page, in order."""
     out: list[tuple[str, int, int, bool]] = []
-    stack: list[tuple[str, int, bool]] = [("", OPEN, False)]
+    stack: list[tuple[str, int, int]] = [("", OPEN, 0)]
     text: list[str] = []
     linked: list[str] = []
     prose, in_link, at = False, 0, 0
@@ -103,10 +162,12 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
             text.append(piece)
             linked.append(piece if in_link else " ")
 
-    for m in _TOKEN.finditer(page):
-        take(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+    tokens = _tokens(page)
+    starts = [tag for _, _, close, tag, _ in tokens if not close]
+    lone = starts.count("article") == 1 and "main" not in starts
+    for start, stop, close, tag, attrs in tokens:
+        take(page[at:start])
+        at = stop
         if not tag:
             continue
         if tag == "br":
@@ -114,9 +175,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
             continue
         if tag in BLOCK_TAGS:
             end()
-            prose = tag in PROSE_TAGS and not m["close"]
+            prose = tag in PROSE_TAGS and not close
             in_link = 0
-        if m["close"]:
+        if close:
             if tag == "a":
                 in_link = 0
             for i in range(len(stack) - 1, 0, -1):
@@ -134,7 +195,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
             while len(stack) > 1 and stack[-1][0] in ("p", "option") or tag == stack[-1][0] in ("li", "dt", "dd", "tr", "td", "th"):
                 stack.pop()
         _, zone, hard = stack[-1]
-        new = _zone(tag, m["attrs"], zone, hard)
+        new = _zone(tag, attrs, zone, hard, lone)
         if tag in BLOCK_TAGS or new != (zone, hard):
             if tag not in BLOCK_TAGS:
                 end()
