@@ -60,3 +60,12 @@ def test_pipeline_stage_drops_at_80(spark):
     rows, _ = pairs_at(random.Random(5), 20, 104, 11)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in C.dedup(spark, docs, "").collect()) == [2 * k for k in range(20)]
+
+
+def test_least_equal_loses_less_than_the_forest():
+    import math
+
+    for percent in (80, 85):
+        p, least = percent / 100, near_dups.least_equal(percent)
+        tail = [sum(math.comb(near_dups.HASHES, k) * p**k * (1 - p) ** (near_dups.HASHES - k) for k in range(n)) for n in (least, least + 1)]
+        assert tail[0] < (1 - p**near_dups.DEPTH) ** near_dups.TREES <= tail[1]

@@ -13,6 +13,7 @@ documents share no region of any tree, (1 - 0.85 ** 4) ** 24 = 2e-8 at a thresho
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,11 @@ _LOWER[65:91] += 32
 
 
 def least_equal(percent: int) -> int:
-    """Equal hash values that a pair must have to be confirmed: five standard deviations below percent."""
-    return int(HASHES * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5))
+    """Equal hash values that a pair must have to be confirmed: fewer are less likely, at percent, than that the forest misses the pair."""
+    p, tail, k = percent / 100, 0.0, 0
+    while k < HASHES and (tail := tail + math.comb(HASHES, k) * p**k * (1 - p) ** (HASHES - k)) < (1 - p**DEPTH) ** TREES:
+        k += 1
+    return k
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
