@@ -168,16 +168,68 @@ def test_near_duplicates_brute_force(spark, monkeypatch):
     rows = list(enumerate(t))
     want = near_truth(rows)
     assert near_case(spark, rows) == want
-    # with narrow windows, nearly all is left to the last round
-    monkeypatch.setattr(near_dups, "WINDOW", 1)
-    monkeypatch.setattr(near_dups, "FIRST_TREES", 1)
+    # without neighbours, all is left to the blocks, and these are small
+    monkeypatch.setattr(near_dups, "FIRST_TREES", 0)
     monkeypatch.setattr(near_dups, "BLOCK", 16)
     assert near_case(spark, rows) == want
 
 
+def test_near_duplicates_in_a_dense_region(spark, monkeypatch):
+    """Texts that share a long passage but are no near copies stand among near copies; every link is found, and no other."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    fresh = lambda n: [rng.choice(words) for _ in range(n)]
+    passage = fresh(160)
+    t = [" ".join(passage + fresh(rng.choice((8, 12, 16, 20)))) for _ in range(90)] + list(family(rng, passage, 60, 3, words)) + list(family(rng, passage + fresh(30), 30, 1, words))
+    rows = list(enumerate(t))
+    want = near_truth(rows)
+    assert 10 < len({c for _, _, c in want}) < 120
+    assert near_case(spark, rows) == want
+    monkeypatch.setattr(near_dups, "BLOCK", 20)
+    monkeypatch.setattr(near_dups, "FIRST_TREES", 1)
+    assert near_case(spark, rows) == want
+
+
+def test_near_duplicates_of_repeated_keys(spark):
+    """Two texts under one key link their groups; a repeated row changes nothing."""
+    a, b, c = ("alpha beta gamma delta one two", "some other words that are here now", "nothing of this is in the others")
+    rows = [(3, b), (5, a), (5, b), (5, b), (8, a), (9, c), (9, c), (10, None), (10, c), (11, "")]
+    assert near_case(spark, rows) == near_truth(rows)
+
+
+def test_parts_grow():
+    order = np.sort(np.random.default_rng(1).integers(0, 3, (5000, 4)).astype(">u2"), axis=0)
+    order = order[np.lexsort(order.T[::-1])]
+    deeper = np.ascontiguousarray(order).view(">i8")[:, 0].astype(np.int64)
+    edges = [*near_dups._parts(deeper), len(deeper)]
+    sizes = np.diff(edges)
+    assert edges[0] == 0 and (sizes > 0).all() and sizes.max() <= near_dups.PART
+    whole = {int(x): int(n) for x, n in zip(*np.unique(deeper, return_counts=True))}
+    assert all(deeper[e - 1] != deeper[e] or whole[int(deeper[e])] > near_dups.PART for e in edges[1:-1])
+
+
+def test_forest_spans():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        m = int(rng.integers(3, 30))
+        alike = np.triu(rng.integers(40, 97, (m, m)), 1)
+        alike[rng.random((m, m)) < 0.8] = 0
+        alike = (alike + alike.T).astype(np.uint8)
+        pairs = near_dups._forest(alike, 82, 60)
+        assert all(alike[p] >= 60 for p in pairs) and len(pairs) < m
+
+        def parts(links):
+            of = list(range(m))
+            for x, y in links:
+                of = [of[x] if o == of[y] else o for o in of]
+            return len(set(of))
+
+        assert parts(pairs) == parts(zip(*np.nonzero(alike >= 60))) == m - len(pairs)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 90)]
-    got = dict(near_dups.components(spark.createDataFrame(chain, "a long, b long")).collect())
+    got = dict(near_dups.components(spark.createDataFrame(chain, "a long, b long"), near_dups.Scratch(spark, "test"), "c").collect())
     assert all(got[i] == 0 for i in range(41)) and got[90] == 0 and got[100] == got[200] == got[150] == 100
 
 

@@ -1,8 +1,9 @@
-"""What the operators share: reading a table, cutting lineage, the word class, summing over buckets."""
+"""What the operators share: reading a table, tables written on the way, a filter by bitmap, the word class."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,19 +19,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where none is set (tests on one machine), one is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, one is made on a single machine only."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+class Scratch:
+    """Tables that a job writes to the shared folder and reads again, so that a lost executor costs a read only."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table."""
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        self.names.add(name)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more."""
+        for name in self.names & set(names):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.names -= set(names)
+
+    def keep(self, *names: str) -> None:
+        """Deletes all other tables."""
+        self.drop(*(self.names - set(names)))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared folder, so that a lost executor costs a read only."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df``, computed once and kept in the shared folder."""
+    return Scratch(df.sparkSession, "cut").put(df, "rows")
+
+
+#: Bits of the bitmap of maybe_among: 4 MB in all, whatever it stands for.
+BITMAP_BITS = 1 << 25
+
+
+def maybe(column: str, ids: DataFrame) -> tuple[Column, DataFrame]:
+    """A condition that is true for every row whose ``column`` is among ``ids`` (and some others), and the bitmap that it needs joined.
+
+    The bitmap has one bit per hash and BITMAP_BITS at most, in rows of 4 KB, so it may be broadcast however many ids
+    there are; it saves the more the fewer there are.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS)) + 1
+    made = (
+        ids.groupBy(F.bitmap_bucket_number(place(ids.columns[0])).alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(ids.columns[0]))).alias("_bits"))
+    )
+    at = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)), made
+
+
+def maybe_among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not among ``ids``, without a shuffle: a filter before an exact join."""
+    found, bitmap = maybe(column, ids)
+    bucket = F.bitmap_bucket_number(F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS)) + 1)
+    return rows.withColumn("_bucket", bucket).join(F.broadcast(bitmap), "_bucket", "left").filter(found).drop("_bucket", "_bits")
 
 
 def text_or_empty(text: str = "text") -> Column:

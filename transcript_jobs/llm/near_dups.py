@@ -1,14 +1,19 @@
 """MinHash near-duplicates by an LSH forest.
 
 Each tree orders the documents' signatures by its own run of hash values. Documents whose longest common prefix
-reaches the least depth lie in one region of a tree; where a region is dense, its order goes deeper and
-neighbours are those of the longest prefix. Every candidate pair is confirmed on the full shingle sets.
-
-Rounds: (1) direct neighbours of the first trees; (2) in all trees, regions of up to WINDOW + 1 entries and more
-than one component, every pair of different components; (3) in larger such regions, every entry outside the largest
-component against all entries, in blocks. So no pair within a region is left out, and a link is lost only if its
-documents share no region of any tree, (1 - 0.85 ** 4) ** 24 = 2e-8 at a threshold of 85 percent and 3e-6 at one of
-80, less above, or if too few of their hash values agree (see least_equal).
+reaches the least depth lie in one region of a tree. A region's entries stand in the order of longer prefixes;
+where it is dense, the prefix grows by a hash value at a time until the part that shares it is small enough.
+
+First, in FIRST_TREES trees, the neighbours within such parts are candidates: each part gives the pairs of a
+spanning forest of its alike signatures, not all its pairs. Then, in all trees, a region that still holds more than
+one component is gone through to the end: entries outside its largest component against all its entries, in blocks
+of bounded size, by signatures; what they leave is compared on full sets, again in blocks. Every link is confirmed
+on full sets. So no pair within a region is left out, and a link is lost only if its documents share no region of
+any tree, (1 - 0.85 ** 4) ** 24 = 2e-8 at a threshold of 85 percent and 3e-6 at one of 80, less above, or if too few
+of their hash values agree (see least_equal).
+
+What crosses the network is narrow: an entry is its place and id; signatures follow where a region has company, and
+sets where signatures agree.
 """
 
 from __future__ import annotations
@@ -18,18 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transcript_jobs.llm.common import cut, table, text_or_empty
+from transcript_jobs.llm.common import Scratch, maybe_among, table, text_or_empty
 
 SHINGLE = 5
 #: A pair is linked if 100 * |intersection| >= percent * |union|; PERCENT is that of op2.
 PERCENT = 85
 TREES, DEPTH = 24, 4
 HASHES = TREES * DEPTH
-#: Trees of round 1, neighbours of round 2; entries and shingles of a block of round 3.
-FIRST_TREES, WINDOW, BLOCK, BLOCK_SHINGLES = 2, 8, 2048, 1_000_000
+#: Trees of the neighbours; entries of a part whose prefix need not grow.
+FIRST_TREES, PART = 4, 512
+#: Entries and shingles of a block; pairs of signatures that a task compares at once.
+BLOCK, BLOCK_SHINGLES, PAIRS_AT_ONCE = 2048, 1_000_000, 1 << 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWER = np.uint64(0x100000001B3)
@@ -105,7 +113,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, id, n, k1, k2, sig) per row: number of shingles, two numbers that tell the set, the signature."""
+    """(id, n, k1, k2, sig) per row: number of shingles, two numbers that tell the set, the signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -114,8 +122,8 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 {
                     "id": b["id"].astype("Int64"),
                     "n": [len(s) for s in sets],
-                    "k1": [int(np.add.reduce(s, dtype=np.uint64).view(np.int64)) for s in sets],
-                    "k2": [int(np.add.reduce(_scramble(s), dtype=np.uint64).view(np.int64)) for s in sets],
+                    "k1": [told(s) for s in sets],
+                    "k2": [told(_scramble(s)) for s in sets],
                     "sig": [signature(s).tobytes() if len(s) else b"" for s in sets],
                 }
             )
@@ -124,167 +132,334 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInPandas(run, "id long, n long, k1 long, k2 long, sig binary")
 
 
+def told(s: np.ndarray) -> int:
+    """A 64-bit number that tells a set of hashes."""
+    return int(np.add.reduce(s, dtype=np.uint64).view(np.int64))
+
+
 def _trees(reps: DataFrame) -> DataFrame:
-    """(tree, region, deeper, id): an entry per tree; region is the prefix of the least depth, deeper the next hash values."""
+    """(tree, region, deeper, id, v, n): an entry per tree; region is the prefix of the least depth, deeper the DEPTH hash values after it.
+
+    Both are big-endian numbers, so their order is that of the hash values, the first of them first.
+    """
+    places = (np.arange(TREES)[:, None] * DEPTH + np.arange(2 * DEPTH)[None, :]) % HASHES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             sig = np.frombuffer(b"".join(b["sig"]), np.uint16).reshape(len(b), HASHES)
-            around = np.concatenate([sig, sig[:, :DEPTH]], axis=1)
-            for t in range(TREES):
-                at = t * DEPTH
-                yield pd.DataFrame(
-                    {
-                        "tree": np.full(len(b), t, np.int32),
-                        "region": np.ascontiguousarray(around[:, at : at + DEPTH]).view(np.int64)[:, 0],
-                        "deeper": np.ascontiguousarray(around[:, at + DEPTH : at + 2 * DEPTH]).view(np.int64)[:, 0],
-                        "id": b["id"].to_numpy(),
-                    }
-                )
+            keys = np.ascontiguousarray(sig[:, places].astype(">u2")).view(">i8").astype(np.int64)
+            rows = {"tree": np.tile(np.arange(TREES, dtype=np.int32), len(b)), "region": keys[:, :, 0].ravel(), "deeper": keys[:, :, 1].ravel()}
+            yield pd.DataFrame(rows | {c: np.repeat(b[c].to_numpy(), TREES) for c in ("id", "v", "n")})
+
+    return reps.select("id", "v", "n", "sig").mapInPandas(run, "tree int, region long, deeper long, id long, v long, n long")
+
+
+def _whole_runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """The rows of a sorted split in frames that end where a run of equal ``by`` ends, each with the run of its rows, from 0."""
+
+    def numbered(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        new = np.zeros(len(rows), bool)
+        for c in by:
+            x = rows[c].to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return rows, np.cumsum(new)
+
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        if held:
+            last = [held[-1][c].iloc[-1] for c in by]
+            fresh = np.flatnonzero(np.any([b[c].to_numpy() != x for c, x in zip(by, last, strict=True)], axis=0))
+            if not len(fresh):
+                held.append(b)
+                continue
+        at = int(np.flatnonzero(np.all([b[c].to_numpy() == b[c].iloc[-1] for c in by], axis=0))[0])
+        done = [*held, b.iloc[:at]]
+        held = [b.iloc[at:]]
+        rows = pd.concat(done, ignore_index=True)
+        if len(rows):
+            yield numbered(rows)
+    if held:
+        yield numbered(pd.concat(held, ignore_index=True))
+
+
+def _parts(deeper: np.ndarray, depth: int = 0) -> list[int]:
+    """Where the parts of one region begin, its entries in order: the prefix grows until PART entries or fewer share it."""
+    if len(deeper) <= PART:
+        return [0]
+    if depth == DEPTH:
+        return list(range(0, len(deeper), PART))
+    prefix = deeper >> np.int64(16 * (DEPTH - 1 - depth))
+    edges = np.flatnonzero(np.diff(prefix, prepend=prefix[0] - 1))
+    return [int(a) + x for a, b in zip(edges, np.append(edges[1:], len(deeper)), strict=True) for x in _parts(deeper[a:b], depth + 1)]
+
+
+def _with_company(entries: DataFrame) -> DataFrame:
+    """(tree, region, part, id, v, n) of the entries that share a region: one sort of all, dealt out by ranges of the whole order.
+
+    So a dense region is split over tasks; a region that a range's border may cut is kept, whatever its size.
+    ``part`` tells the neighbours that are looked at first.
+    """
 
-    return reps.select("id", "sig").mapInPandas(run, "tree int, region long, deeper long, id long")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split, part, before = TaskContext.get().partitionId(), 0, None
+        for rows, run in _whole_runs(batches, ["tree", "region"]):
+            if before is not None:  # the run before was the split's last so far
+                yield before
+            size = np.bincount(run)
+            if part == 0:
+                size[0] += 1
+            keep = size[run] > 1
+            keep[run == run[-1]] = True
+            rows, run = rows[keep], run[keep]
+            first = np.flatnonzero(np.diff(run, prepend=-1))
+            starts = np.zeros(len(rows), bool)
+            starts[first] = True
+            for a, b in zip(first, np.append(first[1:], len(run)), strict=True):
+                if b - a > PART:
+                    starts[a + np.array(_parts(rows["deeper"].to_numpy()[a:b]))] = True
+            number = part + np.cumsum(starts)
+            part = int(number[-1])
+            before = rows.assign(part=(split << 40) + number)[["tree", "region", "part", "id", "v", "n"]]
+        if before is not None:
+            yield before
+
+    order = ["tree", "region", "deeper", "id", "v"]
+    return entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(
+        walk, "tree int, region long, part long, id long, v long, n long"
+    )
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, comp) of every id in the edges (a, b): comp is the smallest id reachable.
+def components(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
+    """(id, comp) of every id in the edges (a, b): comp is the smallest id reachable. A table of ``work``, called ``name``.
 
     Each turn takes the least label among the neighbours' and then the label's own label, so long chains shorten
-    by doubling; the turns are written to the shared folder, and only a count reaches the driver.
+    by doubling; the turns are written to the shared folder, and only whether a label moved reaches the driver.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "id")
+    both = work.put(both, f"{name}-edges")
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("comp"))
+    turn = 0
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        own = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "comp", F.least("comp", "near").alias("least"))
-        up = own.select(F.col("id").alias("least"), F.col("least").alias("up"))
-        new = cut(own.join(up, "least").select("id", F.least("least", "up").alias("comp"), (F.least("least", "up") != F.col("comp")).alias("moved")))
-        labels = new.select("id", "comp")
-        if not new.filter("moved").limit(1).count():
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "comp", F.lit(None).cast("long").alias("old"))
+        own = near.union(labels.select("id", "comp", F.col("comp").alias("old"))).groupBy("id").agg(F.min("comp").alias("comp"), F.max("old").alias("old"))
+        up = own.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
+        new = work.put(own.join(up, "comp").select("id", F.least("comp", "up").alias("comp"), (F.least("comp", "up") != F.col("old")).alias("moved")), f"{name}-{turn}")
+        work.drop(f"{name}-{turn - 1}")
+        labels, turn = new.select("id", "comp"), turn + 1
+        if new.filter("moved").isEmpty():
+            work.drop(f"{name}-edges")
             return labels
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (id, comp) after the links (a, b) between their ids: only the graph of the components is gone through."""
-    a, b = (labels.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")) for c in ("a", "b"))
-    between = links.join(a, "a").join(b, "b").filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    between = cut(between)
-    if not between.limit(1).count():
-        return labels
-    of = components(between).select(F.col("id").alias("comp"), F.col("comp").alias("least"))
-    return cut(labels.join(of, "comp", "left").select("id", F.coalesce("least", "comp").alias("comp")))
+def _unpacked(sig: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sig), np.uint16).reshape(len(sig), HASHES)
+
+
+def _fit(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be linked."""
+    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
 
 
-def _runs(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, comp) of all ids of the entries: in the first tree's order, entries linked to the one before are one run."""
-    linked = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.lit(True).alias("linked"))
-    e = entries.filter("tree = 0").withColumn("_a", F.least("id", "next")).withColumn("_b", F.greatest("id", "next"))
-    e = e.join(linked, ["_a", "_b"], "left").withColumn("linked", F.coalesce("linked", F.col("next") == F.col("id"), F.lit(False)))
-    order = Window.partitionBy("region").orderBy("deeper", "id")
-    e = e.withColumn("_first", (~F.coalesce(F.lag("linked").over(order), F.lit(False))).cast("long"))
-    e = e.withColumn("_run", F.sum("_first").over(order))
-    runs = e.select("id", F.min("id").over(Window.partitionBy("region", "_run")).alias("comp"))
-    least = runs.groupBy("id").agg(F.min("comp").alias("comp"))
-    return entries.select("id").distinct().join(least, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+def _forest(alike: np.ndarray, likely: int, least: int) -> list[tuple[int, int]]:
+    """Pairs of a spanning forest of a part's entries, from the matrix of their equal hash values.
+
+    Likely links first, breadth first from the entry that comes first, so that what is alike hangs on few entries;
+    what these leave apart is joined by the most equal of the other candidates.
+    """
+    pairs, root = [], np.full(len(alike), -1)
+    sure = alike >= likely
+    for start in range(len(alike)):
+        if root[start] >= 0:
+            continue
+        root[start], reached = start, [start]
+        while reached:
+            at = reached.pop(0)
+            new = np.flatnonzero(sure[at] & (root < 0))
+            root[new] = start
+            pairs += [(at, int(x)) for x in new]
+            reached += new.tolist()
+    x, y = np.nonzero(np.triu(alike >= least, 1) & (root[:, None] != root[None, :]))
+    for i in np.argsort(-alike[x, y].astype(int), kind="stable").tolist():
+        a, b = root[x[i]], root[y[i]]
+        if a != b:
+            root[root == max(a, b)] = min(a, b)
+            pairs.append((int(x[i]), int(y[i])))
+    return pairs
+
+
+def _neighbours(company: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, av, b, bv), a < b: spanning forests of the parts of the first trees."""
+    least, likely = least_equal(percent), -(-HASHES * percent // 100)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, part in _whole_runs(batches, ["part"]):
+            sig, n = _unpacked(rows["sig"]), rows["n"].to_numpy()
+            size = np.bincount(part)
+            first = np.cumsum(size) - size
+            two = first[size == 2]
+            two = two[((sig[two] == sig[two + 1]).sum(axis=1) >= least) & _fit(n[two], n[two + 1], percent)]
+            found = [np.stack([two, two + 1], axis=1)]
+            for at, m in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                s, k = sig[at : at + m], n[at : at + m]
+                alike = np.zeros((m, m), np.uint8)
+                for h in range(HASHES):
+                    alike += s[:, h][:, None] == s[:, h][None, :]
+                alike[~_fit(k[:, None], k[None, :], percent)] = 0
+                np.fill_diagonal(alike, 0)
+                found.append(at + np.array(_forest(alike, likely, least), int).reshape(-1, 2))
+            x, y = np.concatenate(found).T
+            ids, v = rows["id"].to_numpy(), rows["v"].to_numpy()
+            x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+            out = pd.DataFrame({"a": ids[x], "av": v[x], "b": ids[y], "bv": v[y]})
+            yield out[out["a"] != out["b"]]
+
+    rows = company.filter(F.col("tree") < FIRST_TREES).join(sigs, ["id", "v"]).select("part", "id", "v", "n", "sig")
+    return rows.repartition("part").sortWithinPartitions("part", "id", "v").mapInPandas(run, "a long, av long, b long, bv long").distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of distinct ids whose full sets are similar enough."""
-    first = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    second = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    """The pairs (a, b) whose full sets are similar enough."""
+    first = sets.select(F.col("id").alias("a"), F.col("v").alias("av"), F.col("set").alias("sa"))
+    second = sets.select(F.col("id").alias("b"), F.col("v").alias("bv"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return (
-        pairs.join(first, "a")
-        .join(second, "b")
+        pairs.join(first, ["a", "av"])
+        .join(second, ["b", "bv"])
         .filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
         .select("a", "b")
     )
 
 
-def _equal_hashes(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with at least least_equal(percent) equal hash values, and sizes that allow a link."""
-    least = least_equal(percent)
+def _blocks(company: DataFrame, comps: DataFrame) -> DataFrame:
+    """(tree, region, q, d, asks, id, v, n, comp): the entries of regions of more than one component, dealt into pairs of blocks.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            if len(p):
-                x, y = (np.frombuffer(b"".join(p[c]), np.uint16).reshape(len(p), HASHES) for c in ("xs", "ys"))
-                yield p.loc[(x == y).sum(axis=1) >= least, ["a", "b"]]
-
-    x = sigs.select(F.col("id").alias("a"), F.col("sig").alias("xs"), F.col("n").alias("xn"))
-    y = sigs.select(F.col("id").alias("b"), F.col("sig").alias("ys"), F.col("n").alias("yn"))
-    fit = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
-    return pairs.join(x, "a").join(y, "b").filter(fit).select("a", "b", "xs", "ys").mapInPandas(run, "a long, b long")
-
-
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def _agreeing(sig: np.ndarray, q: np.ndarray, d: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Equal hash values of each pair (q, d) of rows of sig, and whether ``tree`` is the first whose region they share."""
-    same, first = np.zeros((len(q), len(d)), np.uint8), np.ones((len(q), len(d)), bool)
-    for t in range(TREES):
-        region = np.ones_like(first)
-        for i in range(t * DEPTH, (t + 1) * DEPTH):
-            equal = sig[q, i][:, None] == sig[d, i][None, :]
-            same += equal
-            region &= equal
-        if t < tree:
-            first &= ~region
-    return same, first
-
-
-def _block_links(entries: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of round 3 from entries (tree, region, id, comp, size, shingles, main, n, sig, set).
-
-    A region's entries are dealt by hash into blocks of bounded entries and shingles; a task compares the entries
-    outside the main component of one block with all entries of one block. A pair is looked at in the first tree
-    whose region it shares, pairs with the most equal hash values first, and only as long as the links found so
-    far do not connect it; so no more links come out than there are components.
+    Entries outside a region's largest component ask; they are dealt into as many blocks q as they need, all
+    entries into blocks d, and each asking block meets each other. A region's counts are summed before they are
+    shuffled.
     """
+    e = company.drop("part").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    by = ["tree", "region"]
+    sums = e.groupBy(*by, "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    of = sums.groupBy(*by).agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("k"), F.max(F.struct("c", "comp", "s")).alias("m"))
+    blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    of = of.filter("k > 1").select(
+        *by, F.col("m.comp").alias("main"), blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("nq"), blocks(F.col("c"), F.col("s")).alias("nd")
+    )
+    e = e.join(of, by)
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    met = F.transform(every("nq"), lambda q: F.struct(q.alias("q"), deal("nd").alias("d"), F.lit(False).alias("asks")))
+    ask = F.transform(every("nd"), lambda d: F.struct(deal("nq").alias("q"), d.alias("d"), F.lit(True).alias("asks")))
+    both = F.when(F.col("comp") != F.col("main"), F.concat(met, ask)).otherwise(met)
+    return e.withColumn("b", F.explode(both)).select(*by, "b.*", "id", "v", "n", "comp")
+
+
+_TASK = ["tree", "region", "q", "d"]
+_ENTRY = "tree int, region long, q int, d int, asks boolean, id long, v long, n long, comp long"
+
+
+def _by_task(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_TASK).sortWithinPartitions(*_TASK, "asks", "id", "v")
+
+
+def _meetings(rows: pd.DataFrame, run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y): rows that ask and rows of their task that do not, of different components; two that both ask meet once.
+
+    So many at a time as PAIRS_AT_ONCE, or those of one row.
+    """
+    asks, ids, comp = rows["asks"].to_numpy(), rows["id"].to_numpy(), rows["comp"].to_numpy()
+    size, met = np.bincount(run), np.bincount(run, ~asks).astype(int)
+    first = np.cumsum(size) - size
+    q = np.flatnonzero(asks)
+    n = met[run[q]]
+    both = set(zip(run[q].tolist(), ids[q].tolist(), strict=True)) if len(q) else set()
+    opens = np.fromiter(((r, i) in both for r, i in zip(run.tolist(), ids.tolist(), strict=True)), bool, len(run)) & ~asks
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(q):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+        x = np.repeat(q[at:stop], n[at:stop])
+        y = np.arange(len(x)) - np.repeat(np.cumsum(n[at:stop]) - n[at:stop], n[at:stop]) + np.repeat(first[run[q[at:stop]]], n[at:stop])
+        ok = (comp[x] != comp[y]) & ~(opens[y] & (ids[y] < ids[x]))
+        yield x[ok], y[ok]
+        at = stop
+
+
+def _candidates(blocks: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The rows of the blocks that have a candidate in their task: a pair is looked at in the first tree whose region it shares."""
     least = least_equal(percent)
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), HASHES)
-        asks = pdf["asks"].to_numpy()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, task in _whole_runs(batches, _TASK):
+            sig, n, tree = _unpacked(rows["sig"]), rows["n"].to_numpy(), rows["tree"].to_numpy()
+            has = np.zeros(len(rows), bool)
+            for x, y in _meetings(rows, task):
+                fit = _fit(n[x], n[y], percent)
+                x, y = x[fit], y[fit]
+                same = sig[x] == sig[y]
+                some = same.sum(axis=1) >= least
+                x, y, same = x[some], y[some], same[some]
+                first = same.reshape(len(x), TREES, DEPTH).all(axis=2).argmax(axis=1) == tree[x]
+                has[x[first]] = has[y[first]] = True
+            yield rows.loc[has].drop(columns="sig")
+
+    return _by_task(blocks.join(sigs, ["id", "v"]).select(*_TASK, "asks", "id", "v", "n", "comp", "sig")).mapInPandas(run, _ENTRY)
+
+
+def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components of a task, by full sets: no more of them than there are components."""
+
+    def linked(rows: pd.DataFrame) -> list[tuple[int, int]]:
+        asks, ids, comp, n = (rows[c].to_numpy() for c in ("asks", "ids", "comp", "n"))
         q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
-        ids, comp, n = (pdf[c].to_numpy() for c in ("id", "comp", "n"))
-        found = [np.zeros((0, 3), np.int64)]
-        for lo in range(0, len(q), 256):
-            part = q[lo : lo + 256]
-            same, first = _agreeing(sig, part, d, key[0])
-            small, big = np.minimum(n[part][:, None], n[d][None, :]), np.maximum(n[part][:, None], n[d][None, :])
-            x, y = np.nonzero(first & (same >= least) & (comp[part][:, None] != comp[d][None, :]) & (100 * small >= percent * big))
-            found.append(np.stack([same[x, y].astype(np.int64), part[x], d[y]], axis=1))
-        pairs = np.concatenate(found)
-        pairs = pairs[np.argsort(-pairs[:, 0], kind="stable")]
-        sets, up, links = [np.asarray(x) for x in pdf["set"]], {}, []
+        if not len(q) or not len(d):
+            return []
+        sets = [np.asarray(s) for s in rows["set"]]
+        of = np.repeat(np.arange(len(d)), [len(sets[i]) for i in d])
+        every = np.concatenate([sets[i] for i in d])
+        order = np.argsort(every, kind="stable")
+        every, of = every[order], of[order]  # which entries have a shingle
+        up: dict[int, int] = {}
+        out = []
 
         def root(c: int) -> int:
             while c in up:
                 c = up[c]
             return c
 
-        for x, y in pairs[:, 1:].tolist():
-            cx, cy = root(comp[x]), root(comp[y])
-            if cx == cy:
-                continue
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
-                up[max(cx, cy)] = min(cx, cy)
-                links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    e = entries.withColumn("_n", blocks).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-    e = e.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    part = lambda df, x, y, asks: df.select(
-        "tree", "region", F.col(x).alias("q"), F.col(y).alias("d"), F.lit(asks).alias("asks"), "id", "comp", "n", "sig", "set"
-    )
-    both = part(e, "_other", "_own", False).union(part(e.filter("comp != main"), "_own", "_other", True))
-    return both.groupBy("tree", "region", "q", "d").applyInPandas(compare, "a long, b long")
+        for i in q.tolist():
+            a, b = np.searchsorted(every, sets[i], side="left"), np.searchsorted(every, sets[i], side="right")
+            m = b - a
+            hits = of[np.repeat(a - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+            both = np.bincount(hits, minlength=len(d))
+            for j in d[100 * both >= percent * (n[i] + n[d] - both)].tolist():
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, task in _whole_runs(batches, _TASK):
+            rows = rows.rename(columns={"id": "ids"})
+            edges = np.flatnonzero(np.diff(task, prepend=-1, append=-1))
+            found = [x for a, b in zip(edges[:-1], edges[1:], strict=True) for x in linked(rows.iloc[a:b])]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return _by_task(rows.join(sets, ["id", "v"]).select(*_TASK, "asks", "id", "v", "n", "comp", "set")).mapInPandas(run, "a long, b long").distinct()
+
+
+def _one_key(usable: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the classes of rows that have one key and different sets; None if no key has."""
+    many = usable.groupBy("id").agg(F.min("k1").alias("_x"), F.max("k1").alias("_y")).filter("_x != _y").select("id")
+    if many.isEmpty():
+        return None
+    of = usable.join(many, "id").select("id", "n", "k1", "k2").join(reps.select("n", F.col("v").alias("k1"), "k2", F.col("id").alias("rep")), ["n", "k1", "k2"])
+    return of.filter("id != rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -292,66 +467,43 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     component_id is the smallest key reachable by links (similarity of percent or more); kept marks that document. A null or empty text has no
     shingles and is linked with nothing; a row without a key is a component of its own (component_id null, kept).
-    Rows with one key count as one document: they share a component, and a repeated row is kept as often as it
-    stands there. Keys are integers. Columns other than key and text are not looked at.
+    Rows with one key count as one document: they share a component (but for rows without words, which are alone),
+    and a repeated row is kept as often as it stands there. Keys are integers. Columns other than key and text are
+    not looked at. Tables that the job writes on the way are deleted, but for the two that the result is read from.
     """
-    signed = cut(_signed(docs, key, text))
+    work = Scratch(docs.sparkSession, "near")
+    signed = work.put(_signed(docs, key, text), "signed")
     usable = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    # texts with equal sets are one class, told by its smallest id
-    classes = usable.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    sigs = cut(
-        usable.join(classes, ["n", "k1", "k2"])
-        .filter(F.col("id") == F.col("rep"))
-        .select("id", "n", "sig")
-        .dropDuplicates(["id", "n", "sig"])
-    )
-    region = Window.partitionBy("tree", "region")
-    order = region.orderBy("deeper", "id")
-    entries = _trees(sigs).select("*", F.count("*").over(region).alias("size"), F.lead("id").over(order).alias("next"))
-    entries = cut(entries.filter("size > 1"))
+    # texts with equal sets are one class, told by its smallest id, and by v where rows with one key differ
+    reps = usable.groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
+    reps = work.put(reps.withColumnRenamed("k1", "v"), "reps")
+    sigs = reps.select("id", "v", "sig")
+    company = work.put(_with_company(_trees(reps)), "company")
     # only documents that share a region are looked at again: their full sets are made once, and kept
-    asked = entries.select("id").distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("t")).join(asked, "id", "left_semi")
+    asked = company.select("id").distinct()
+    texts = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("t"))
+    texts = maybe_among(texts, "id", asked).join(asked, "id", "left_semi").dropDuplicates(["id", "t"])
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "set": [shingles(t).view(np.int64) for t in b["t"]]})
-
-    sets = cut(texts.mapInPandas(sets_of, "id long, set array<long>"))
-    # round 1
-    pairs = entries.filter((F.col("tree") < FIRST_TREES) & (F.col("next") != F.col("id")))
-    pairs = pairs.select(*_ordered("id", "next")).distinct()
-    links = cut(_confirm(_equal_hashes(pairs, sigs, percent), sets, percent))
-    found = _merged(cut(_runs(entries, links)), links)
-
-    sizes = sigs.groupBy("id").agg(F.max("n").alias("_s"))
-
-    def mixed(e: DataFrame) -> DataFrame:
-        """Entries with comp of regions that hold more than one component, with their number and main (most frequent) component."""
-        by = ["tree", "region"]
-        e = e.join(found, "id").join(sizes, "id")
-        sums = e.groupBy(*by, "comp").agg(F.count("*").alias("_c"), F.sum("_s").alias("_s"))
-        of = sums.groupBy(*by).agg(F.sum("_c").alias("size"), F.sum("_s").alias("shingles"), F.count("*").alias("_k"), F.max(F.struct("_c", "comp")).alias("_m"))
-        return e.drop("_s").join(of.filter("_k > 1").select(*by, "size", "shingles", F.col("_m.comp").alias("main")), by)
-
-    # round 2
-    m = cut(mixed(entries.select("tree", "region", "deeper", "id")))
-    ahead = F.collect_list(F.struct("id", "comp")).over(order.rowsBetween(1, WINDOW))
-    pairs = (
-        m.filter(F.col("size") <= WINDOW + 1)
-        .withColumn("_o", ahead)
-        .select("id", "comp", F.explode("_o").alias("o"))
-        .filter("comp != o.comp")
-        .select(*_ordered("id", "o.id"))
-        .distinct()
-    )
-    found = _merged(found, _confirm(_equal_hashes(pairs, sigs, percent), sets, percent))
-    # round 3
-    dense = mixed(m.filter(F.col("size") > WINDOW + 1).select("tree", "region", "id"))
-    own = sigs.select("id", "n", "sig").join(sets, "id")
-    found = _merged(found, _block_links(dense.join(own, "id"), percent).distinct())
-    of = usable.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).select("id", "n", "rep")
-    done = of.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("comp", "rep").alias("c"))
+            sets = [shingles(t) for t in b["t"]]
+            yield pd.DataFrame({"id": b["id"], "v": [told(s) for s in sets], "set": [s.view(np.int64) for s in sets]})
+
+    sets = work.put(texts.mapInPandas(sets_of, "id long, v long, set array<long>"), "sets")
+    links = _confirm(_neighbours(company, sigs, percent), sets, percent)
+    twice = _one_key(usable, reps)
+    links = work.put(links if twice is None else links.union(twice), "links")
+    comps = components(links, work, "first")
+    rows = work.put(_candidates(_blocks(company, comps), sigs, percent), "candidates")
+    work.drop("company", "links")
+    more = work.put(_links(rows, sets, percent), "more")
+    work.drop("candidates", "sets")
+    if not more.isEmpty():
+        comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more), work, "second")
+    labels = reps.join(comps, "id", "left").select("n", F.col("v").alias("k1"), "k2", F.coalesce("comp", "id").alias("c"))
+    labels = work.put(labels, "labels")
+    work.keep("signed", "labels")
+    done = usable.select("id", "n", "k1", "k2").join(labels, ["n", "k1", "k2"]).select("id", "n", "c")
     lone = signed.filter((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("c"))
     return done.union(lone).select(
         F.col("id").alias(key),
