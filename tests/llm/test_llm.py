@@ -106,6 +106,39 @@ def test_packing_small_blocks():
         assert sum((x[1] for x in sorted(by[k])), []) == enc.batch([t])[0].tolist()
 
 
+def test_ids_are_the_tokenizers():
+    """Every kind of white space beside spaces, letters, marks and special tokens."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tok, enc, rng = Tokenizer.from_file(path), packing.Ids(path), random.Random(11)
+    white = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    assert {"\xa0", "\u3000", "\t", "\n", "\x1c", "\x85"} <= set(white)
+    for few in [white, [" ", "\xa0"], [" ", "\n"], [" ", "\u3000", "\n"], [" "]]:
+        parts = [*few, " ", " ", "a", "Zé", "'s", "7", ".", "語", "<|endoftext|>"]
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)]
+        want = tok.encode_batch(texts, add_special_tokens=False)
+        for t, w, got in zip(texts, want, enc.batch(texts), strict=True):
+            assert got.tolist() == [*w.ids, 0], repr(t)
+
+
+@pytest.mark.parametrize("length", [1, 2, 7, 16, 40])
+def test_packing_short_sequences(length):
+    enc = packing.ids_of(packing.default_tokenizer())
+    out = list(packing.pack_stream(iter([([1, 2], [LONG[:3000], "a b"])]), enc, length=length, block=500))
+    assert all(1 <= n <= length for o in out for n in o["length"]) and sum(int(o["length"].sum()) for o in out) == sum(map(len, enc.batch([LONG[:3000], "a b"])))
+
+
+def test_packing_over_partitions(spark, docs):
+    """Every split numbers its own sequences, and the pieces of all splits are those of the documents."""
+    many = docs.repartition(7, "doc_id")
+    rows = packing.pack(many, with_ids=True).toPandas()
+    check_packing(rows, [(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert (rows.sequence_id // 2**40).nunique() == 7
+    for _, s in rows.drop_duplicates("sequence_id").groupby(rows.sequence_id // 2**40):
+        assert sorted(s.sequence_id % 2**40) == list(range(len(s)))
+
+
 # --- near duplicates
 
 

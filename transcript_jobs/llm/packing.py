@@ -7,6 +7,8 @@ task that is lost is packed again from its split with the same result.
 from __future__ import annotations
 
 import json
+import re
+import sys
 import zlib
 from array import array
 from collections import deque
@@ -33,6 +35,16 @@ HARD_FROM, HARD_STEP = 32, 8
 BLOCK = 1 << 19
 #: Word pieces whose ids a worker keeps.
 KEPT_WORDS = 300_000
+#: White space other than space and line feed, in ASCII and in all.
+_ALL_WHITE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
+_ASCII_WHITE = [c for c in _ALL_WHITE if c.isascii()]
+_BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+
+
+def _lone_spaces(text: str) -> bool:
+    """Whether no space of the text has other white space beside it, as far as quick looks tell."""
+    odd = _ASCII_WHITE if text.isascii() else _ALL_WHITE
+    return not ("  " in text or " \n" in text or "\n " in text or any(c in text for c in odd))
 
 
 def default_tokenizer() -> str:
@@ -60,10 +72,11 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
 class Ids:
     """Token ids of whole texts, with the ids of frequent word pieces kept.
 
-    The byte-level vocabulary never joins a space to what stands before it unless that is white space too, so a
-    text is the sum of its pieces at single spaces; texts with runs of spaces are encoded whole. Pieces that are
+    The byte-level vocabulary never joins a space between two words to what stands before it, so a text is the sum
+    of its pieces at such spaces; a space with white space of any kind beside it parts nothing. Pieces that are
     not kept yet are encoded by tiktoken where its ids must be the same (see _ranks), which takes a fifth of the
-    time; those with a special token in them always by the tokenizer itself.
+    time. Texts with a special token in them, and all texts of other vocabularies, are encoded whole by the
+    tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -95,10 +108,10 @@ class Ids:
             first.clear(), rest.clear()
         out = []
         for t in texts:
-            if "  " in t:
+            if not self.quick or any(s in t for s in self.special):
                 wire = self.encode(t)
             else:
-                head, *words = t.split(" ")
+                head, *words = t.split(" ") if _lone_spaces(t) else _BETWEEN_WORDS.split(t)
                 if head not in first:
                     first[head] = self.encode(head)
                 try:
@@ -122,8 +135,11 @@ def ids_of(path: str) -> Ids:
     return _IDS[path]
 
 
-def candidates(ids: np.ndarray, doc_ends: np.ndarray, enc: Ids) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the stream where a sequence may end, and what a cut there costs. ``doc_ends`` are places, the last is the end."""
+def candidates(ids: np.ndarray, doc_ends: np.ndarray, enc: Ids, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the stream where a sequence may end, and what a cut there costs. ``doc_ends`` are places, the last is the end.
+
+    No two that follow each other are more than ``length`` apart.
+    """
     cost = np.full(len(ids) + 1, -1, np.int64)
     after = np.append(enc.opens[ids[1:]], True)
     cost[1:][enc.sentence[ids] & after] = SENTENCE_CUT
@@ -132,9 +148,10 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, enc: Ids) -> tuple[np.ndar
     cost[doc_ends] = 0
     at = np.flatnonzero(cost >= 0)
     gaps = np.diff(at)
-    long = np.flatnonzero(gaps > HARD_FROM)
+    step = min(HARD_STEP, length)
+    long = np.flatnonzero(gaps > min(HARD_FROM, length))
     if len(long):
-        hard = np.concatenate([np.arange(at[i] + HARD_STEP, at[i + 1], HARD_STEP) for i in long])
+        hard = np.concatenate([np.arange(at[i] + step, at[i + 1], step) for i in long])
         cost[hard] = HARD_CUT
         at = np.flatnonzero(cost >= 0)
     return at, cost[at]
@@ -180,7 +197,7 @@ def pack_stream(batches: Iterator[tuple[list, list[str]]], enc: Ids, length: int
             return
         ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
         ends = np.cumsum(sizes)
-        cuts = best_cuts(*candidates(ids, ends, enc), length)
+        cuts = best_cuts(*candidates(ids, ends, enc, length), length)
         stop = cuts[-1] if last or len(cuts) < 3 else cuts[-2]
         cuts = np.array([c for c in cuts if c <= stop])
         edges = np.unique(np.concatenate([cuts, ends[ends < stop], [0]]))
@@ -228,7 +245,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     documents in the order of the input's splits and hold ``length`` ids at most; each split ends its last
     sequence. ``sequence_id`` is the split's number times 2^40 plus the sequence's. Keys may repeat or be null:
     each row is packed for itself. ``tokenizer``: path of a tokenizer file that every executor can read.
+    ``length`` is 1 or more.
     """
+    if length < 1:
+        raise ValueError("a sequence holds one token at least")
     path = tokenizer or default_tokenizer()
     kind = dict(docs.dtypes)[key]
 
