@@ -88,19 +88,14 @@ class Ids:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         ranks = _ranks(spec)
-        self.quick = ranks and tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        quick = ranks and tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.quick = quick and quick.encode_ordinary
         self.kept: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         texts = self.tok.decode_batch([[i] for i in range(self.tok.get_vocab_size())], skip_special_tokens=False)
         self.line = np.array([t.endswith("\n") for t in texts])
         self.sentence = np.array([t.rstrip("\"')]").endswith((".", "!", "?")) for t in texts])
         self.opens = np.array([t[:1].isspace() for t in texts])
 
-    def encode(self, text: str) -> bytes:
-        """Ids as unsigned little-endian 32-bit numbers."""
-        if self.quick and not any(s in text for s in self.special):
-            return array("I", self.quick.encode_ordinary(text)).tobytes()
-        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, each ended by END."""
         first, rest = self.kept
@@ -109,22 +104,27 @@ class Ids:
         out = []
         for t in texts:
             if not self.quick or any(s in t for s in self.special):
-                wire = self.encode(t)
+                wire = _wire(self.tok.encode(t, add_special_tokens=False).ids)
             else:
                 head, *words = t.split(" ") if _lone_spaces(t) else _BETWEEN_WORDS.split(t)
-                if head not in first:
-                    first[head] = self.encode(head)
                 try:
                     wire = first[head] + b"".join(map(rest.__getitem__, words))
                 except KeyError:
+                    if head not in first:
+                        first[head] = _wire(self.quick(head))
                     for w in words:
                         if w not in rest:
-                            rest[w] = self.encode(" " + w)
+                            rest[w] = _wire(self.quick(" " + w))
                     wire = first[head] + b"".join(map(rest.__getitem__, words))
             out.append(np.frombuffer(wire + END_BYTES, np.uint32))
         return out
 
 
+def _wire(ids: list[int]) -> bytes:
+    """Ids as unsigned little-endian 32-bit numbers."""
+    return array("I", ids).tobytes()
+
+
 _IDS: dict[str, Ids] = {}
 
 
