@@ -57,6 +57,91 @@ def test_wrappers(start):
     assert H.main_text(f"<body>{start}<p>{P1}</p><p>{P2}</p>{comments}{aside}</body>", TREE) == BOTH
 
 
+@pytest.mark.parametrize(
+    "start",
+    [
+        '<p id="form-of-government">',
+        '<p class="notice-period">',
+        '<p class="text-search">',
+        "<p id=discussion>",
+        '<p data-class="ad" data-id=comments>',
+        "<p data-x=it's>",
+        '<p title="a > b" class=lead>',
+        "<p class=cookie-recipe>",
+        '<p class="social-contract alert-level-study">',
+        "<p id='subscription-model'>",
+    ],
+)
+def test_names_of_paragraphs(start):
+    """A word of a longer name, or the name of a place, is no verdict; an apostrophe in a value opens nothing."""
+    assert H.main_text(f"<article><p>{P1}</p>{start}I don't mind {P2}</p><p>{P1}</p></article>", TREE) == f"{P1.strip()}\nI don't mind {P2.strip()}\n{P1.strip()}"
+
+
+@pytest.mark.parametrize("tag", ["h2", "h3", "section", "div"])
+@pytest.mark.parametrize("name", ["form-of-government", "recommended-dosage", "search-algorithms", "banner-years"])
+def test_names_of_headings_and_sections(tag, name):
+    page = f'<article><h1>Title</h1><p>{P1}</p><{tag} id="{name}">A heading</{tag}><p>{P2}</p></article>'
+    assert H.main_text(page, TREE) == f"Title\n{P1.strip()}\nA heading\n{P2.strip()}"
+
+
+def test_heading_ids_made_of_its_text():
+    for name in ("discussion", "related", "comments", "form", "header"):
+        page = f'<main><h1>Title</h1><p>{P1}</p><h2 id="{name}">A heading</h2><p>{P2}</p></main>'
+        assert H.main_text(page, TREE) == f"Title\n{P1.strip()}\nA heading\n{P2.strip()}"
+
+
+@pytest.mark.parametrize(
+    "aside",
+    [
+        '<div class="ad">{}</div>',
+        '<div class="ad-slot">{}</div>',
+        '<div id="cookie-notice"><p>{}</p></div>',
+        '<section id="comments"><h2>Comments</h2><p>{}</p></section>',
+        '<ul class="comment-list"><li>{}</li></ul>',
+        '<div class="related-posts"><h3>More</h3><p>{}</p></div>',
+        '<div class="newsletterSignup"><p>{}</p></div>',
+        '<p class="disclaimer">{}</p>',
+        '<p class="sponsored notice">{}</p>',
+        '<div role="alert">{}</div>',
+        "<aside>{}</aside>",
+        "<form><p>{}</p></form>",
+        "<div hidden><p>{}</p></div>",
+        "<div style='display: none'><p>{}</p></div>",
+        "<footer><p>{}</p></footer>",
+        "<nav><p>{}</p></nav>",
+    ],
+)
+@pytest.mark.parametrize("words", [3, 30, 120])
+def test_asides(aside, words):
+    aside = aside.format("other " * words)
+    for page in (f"<article><p>{P1}</p>{aside}<p>{P2}</p></article>", f"<article><p>{P1}</p><p>{P2}</p></article>{aside}", f"<body>{aside}<div><p>{P1}</p><p>{P2}</p></div></body>"):
+        assert H.main_text(page, TREE) == BOTH
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<script" * 20_000,
+        "<b" + "x" * 200_000,
+        "<b " + "x=' " * 50_000,
+        '<b x="' * 30_000,
+        "<a =" * 50_000,
+        "<div>" * 30_000 + "</p>" * 30_000,
+        "<div id='" + "a b " * 50_000 + "'>",
+        "<p class=" * 30_000,
+        "<!--" * 50_000,
+        "</" * 80_000,
+        "&#" * 80_000,
+    ],
+)
+def test_no_page_takes_long(page):
+    import time
+
+    began = time.time()
+    H.main_text(page, TREE)
+    assert time.time() - began < 3
+
+
 def test_still_aside():
     article = f"<article><p>{P1}</p><p>{P2}</p></article>"
     other = "other words " * 20
