@@ -59,35 +59,65 @@ def cut(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession, "cut").put(df, "rows")
 
 
-#: Bits of the bitmap of maybe_among: 4 MB in all, whatever it stands for.
+#: Bits of the bitmap of among: 4 MB in all, whatever it stands for.
 BITMAP_BITS = 1 << 25
 
 
-def maybe(column: str, ids: DataFrame) -> tuple[Column, DataFrame]:
-    """A condition that is true for every row whose ``column`` is among ``ids`` (and some others), and the bitmap that it needs joined.
+def _marked(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``: true for every row whose ``column`` is among ``ids`` (of one column), and for some others.
 
-    The bitmap has one bit per hash and BITMAP_BITS at most, in rows of 4 KB, so it may be broadcast however many ids
-    there are; it saves the more the fewer there are.
+    It is told by a bitmap with one bit per hash, of BITMAP_BITS at most, in rows of 4 KB; so it may be broadcast
+    however many ids there are. It saves the more the fewer there are.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS)) + 1
-    made = (
-        ids.groupBy(F.bitmap_bucket_number(place(ids.columns[0])).alias("_bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(ids.columns[0]))).alias("_bits"))
-    )
+    key = ids.columns[0]
+    bitmap = ids.groupBy(F.bitmap_bucket_number(place(key)).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(key))).alias("_bits"))
     at = F.bitmap_bit_position(place(column))
     byte = F.conv(F.hex(F.substr("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)), made
+    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    marked = rows.withColumn("_bucket", F.bitmap_bucket_number(place(column))).join(F.broadcast(bitmap), "_bucket", "left")
+    return marked.withColumn("_maybe", found).drop("_bucket", "_bits")
 
 
-def maybe_among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``column`` is not among ``ids``, without a shuffle: a filter before an exact join."""
-    found, bitmap = maybe(column, ids)
-    bucket = F.bitmap_bucket_number(F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS)) + 1)
-    return rows.withColumn("_bucket", bucket).join(F.broadcast(bitmap), "_bucket", "left").filter(found).drop("_bucket", "_bits")
+def among(rows: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose ``column`` is among the distinct ``ids`` (left_semi), or is not (left_anti); a null is not.
 
+    Only rows that may be among them are shuffled for the exact join.
+    """
+    marked = _marked(rows, column, ids)
+    exact = marked.filter("_maybe").drop("_maybe").join(ids.withColumnRenamed(ids.columns[0], column), column, how).select(*rows.columns)
+    return exact if how == "left_semi" else exact.unionByName(marked.filter("NOT _maybe").drop("_maybe"))
+
+
+def text_or_empty(text: str | Column = "text") -> Column:
+    return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
+
+
+class Aside:
+    """The columns of a table under names of their own, so that none of them clashes with what an operator makes.
+
+    Names are told apart exactly, so ``Score`` beside ``score``, names with dots and repeated names are no trouble.
+    """
 
-def text_or_empty(text: str = "text") -> Column:
-    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+    def __init__(self, docs: DataFrame) -> None:
+        self.names = docs.columns
+        self.df = docs.toDF(*[f"_x{i}" for i in range(len(self.names))])
+
+    def __call__(self, name: str) -> Column:
+        """The column that was called ``name``: exactly so, or else but for upper and lower case."""
+        return F.col(self.here(name))
+
+    def here(self, name: str) -> str:
+        """What the column is called here."""
+        same = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        if len(same) != 1:
+            raise ValueError(f"{len(same)} columns are called {name}")
+        return f"_x{same[0]}"
+
+    def back(self, without: tuple[str, ...] = (), but: str = "", **instead: Column) -> list[Column]:
+        """The columns by their old names, in order, without ``but`` and those called like one of ``without`` in any case; some ``instead``."""
+        out = {n.lower() for n in without}
+        return [instead.get(n, F.col(f"_x{i}")).alias(n) for i, n in enumerate(self.names) if n.lower() not in out and n != but]
 
 
 def words(text: Column) -> Column:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transcript_jobs.llm.common import table
+from transcript_jobs.llm.common import Aside, table, text_or_empty
 
 # Elements that end a block.
 BLOCK_TAGS = set(
@@ -350,19 +350,18 @@ def main_text(page: str, tree: Tree) -> str:
 def extract(pages: DataFrame, page: str = "html", tree: Tree | None = None) -> DataFrame:
     """``pages`` without ``page``, with text (main text, empty if none) and n_chars.
 
-    A null page counts as empty. Columns named text or n_chars are replaced; each repeated row gets its own text.
+    A null page counts as empty. Columns named text or n_chars, in upper or lower case, are replaced; each repeated
+    row gets its own text.
     """
-    tree = tree or Tree()
-    cols = [c for c in pages.columns if c not in (page, "text", "n_chars")]
+    tree, own = tree or Tree(), Aside(pages)
 
     @F.pandas_udf("string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield pd.Series([main_text(p, tree) for p in b], dtype="object")
 
-    return pages.select(*cols, of(F.coalesce(F.col(page), F.lit(""))).alias("text")).withColumn(
-        "n_chars", F.length("text").cast("long")
-    )
+    made = own.df.withColumn("_text", of(text_or_empty(own(page))))
+    return made.select(*own.back(without=("text", "n_chars"), but=page), F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

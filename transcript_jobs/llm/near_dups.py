@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transcript_jobs.llm.common import Scratch, maybe_among, table, text_or_empty
+from transcript_jobs.llm.common import Scratch, among, table, text_or_empty
 
 SHINGLE = 5
 #: A pair is linked if 100 * |intersection| >= percent * |union|; PERCENT is that of op2.
@@ -482,7 +482,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     # only documents that share a region are looked at again: their full sets are made once, and kept
     asked = company.select("id").distinct()
     texts = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("t"))
-    texts = maybe_among(texts, "id", asked).join(asked, "id", "left_semi").dropDuplicates(["id", "t"])
+    texts = among(texts, "id", asked).dropDuplicates(["id", "t"])
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

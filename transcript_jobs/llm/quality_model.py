@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transcript_jobs.llm.common import table, text_or_empty
+from transcript_jobs.llm.common import Aside, table, text_or_empty
 from transcript_jobs.llm.labelled import held_out, sample
 
 #: Labelled rows that the trees are trained on, at most.
@@ -143,32 +143,34 @@ def _with_statistics(docs: DataFrame, schema: str, out) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees trained on at most ``rows`` labelled documents; only their statistics reach the driver."""
-    chosen = F.broadcast(sample(labels, label, rows, key))
-    d = docs.select(F.col(key).alias(key), text_or_empty(text).alias("t")).join(chosen, key).select("y", "t")
+    """Trees trained on at most ``rows`` labelled documents; only their statistics reach the driver. Of rows with one key, one is taken."""
+    chosen = F.broadcast(sample(labels, label, rows, key).withColumnRenamed(key, "k"))
+    own = Aside(docs)
+    d = own.df.select(own(key).alias("k"), text_or_empty(own(text)).alias("t")).join(chosen, "k").select("k", "y", "t")
 
     def out(b: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"y": b["y"], "x": list(x)})
+        return pd.DataFrame({"k": b["k"], "y": b["y"], "x": list(x)})
 
-    got = _with_statistics(d, "y int, x array<double>", out).toPandas()
+    made = _with_statistics(d, f"k {d.schema['k'].dataType.simpleString()}, y int, x array<double>", out)
+    got = made.groupBy("k").agg(F.min(F.struct("y", "x")).alias("s")).select("s.*").toPandas()
     x = np.stack(got["x"]) if len(got) else np.zeros((0, len(STATISTICS)))
     order = np.lexsort((*x.T, got["y"]))  # the order of arrival must not change the sums
     return train(x[order], got["y"].to_numpy(float)[order])
 
 
-def score(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1). Null and empty texts have the statistics zero, and a score like any other.
 
-    A column named score is replaced; rows with one key each get the score of their own text.
+    A column named score, in upper or lower case, is replaced; rows with one key each get the score of their own text.
     """
-    cols = [c for c in docs.columns if c != "score"]
+    own = Aside(docs)
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         x = np.stack([statistics(t) for t in texts]) if len(texts) else np.zeros((0, len(STATISTICS)))
         return pd.Series(model.score(x))
 
-    return docs.select(*cols, of(text_or_empty(text)).alias("score"))
+    return own.df.select(*own.back(without=("score",)), of(text_or_empty(own(text))).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,11 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transcript_jobs.llm.common import table, text_or_empty
+from transcript_jobs.llm.common import Aside, table, text_or_empty
 from transcript_jobs.llm.labelled import held_out, sample
 
-#: Labelled rows that the model is trained on, at most.
-SAMPLE_ROWS = 10_000
+#: Labelled rows that the model is trained on, at most, and bytes of the longest of their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 10_000, 1 << 15
 ACCEPT = 0.7
 NGRAMS, BUCKETS, WIDTH, WINDOW = (3, 4, 5), 1 << 16, 4, 8
 #: An n-gram counts if it is in so many documents of the sample: else vectors of rare words learn documents by heart.
@@ -177,21 +177,27 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """The model, trained on at most ``rows`` labelled documents, by one task: the driver gets the model alone."""
+    """The model, trained on at most ``rows`` labelled documents, by one task: the driver gets the model alone.
+
+    Longer texts than SAMPLE_BYTES are not learned from; of rows with one key, one is.
+    """
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = sorted(x for b in batches for x in zip(b["t"].tolist(), b["y"].tolist(), strict=True))  # the same in every run
         model = train([t for t, _ in got], np.array([y for _, y in got], int))
         yield pd.DataFrame({"share": [model.share.tobytes()], "bias": [model.bias]})
 
-    chosen = F.broadcast(sample(labels, label, rows, key))
-    own = docs.select(F.col(key).alias(key), text_or_empty(text).alias("t")).join(chosen, key).select("t", "y")
+    chosen = F.broadcast(sample(labels, label, rows, key).withColumnRenamed(key, "k"))
+    a = Aside(docs)
+    own = a.df.select(a(key).alias("k"), text_or_empty(a(text)).alias("t")).join(chosen, "k").filter(F.octet_length("t") <= SAMPLE_BYTES)
+    own = own.groupBy("k", "y").agg(F.min("t").alias("t")).select("t", "y")
     made = own.repartition(1).mapInPandas(learn, "share binary, bias double").head()
     return Model(np.frombuffer(made["share"]), made["bias"]) if made else train([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1) of each row's whole text; null counts as empty. A column named score is replaced."""
+    """``docs`` with score (0 to 1) of each row's whole text; null counts as empty. A column named score, in upper or lower case, is replaced."""
+    a = Aside(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -200,8 +206,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.Series(own.score(texts.tolist()), dtype="float64")
 
-    cols = [c for c in docs.columns if c != "score"]
-    return docs.select(*cols, of(text_or_empty(text)).alias("score"))
+    return a.df.select(*a.back(without=("score",)), of(text_or_empty(a(text))).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
