@@ -1,7 +1,7 @@
 """Preference formatting: the longest common turn prefix of two conversations is the prompt, rendered once.
 
 Native. All work is on single turns (joins and sums by pair and turn), so a conversation of any length is
-spread over tasks; nothing gathers a conversation in one row.
+spread over tasks; a pair's parts are put together at the end, by blocks of turn numbers.
 """
 
 from __future__ import annotations
@@ -92,11 +92,42 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
+def paired(rows: DataFrame) -> DataFrame:
+    """pair_id, block, prompt, chosen, rejected, chosen_spans, rejected_spans, and where each part's text here begins in it.
+
+    One row per pair; one with turn numbers beyond TURNS_PER_BLOCK has a row per block of them, so no row grows
+    without bound, and the blocks' texts put together are the parts. Spans are (start, end) of the trained turns, as code point
+    offsets in the whole part: what a loss is taken on. A side without turns after the prompt is empty.
+    """
+    def at(part: str) -> Column:
+        mine = F.col("part") == part
+        return F.array_sort(F.collect_list(F.when(mine, F.struct("start", "rendered", "trained"))))
+
+    parts = ("prompt", "chosen", "rejected")
+    n = F.floor(F.col("turn") / TURNS_PER_BLOCK).cast("long")
+    g = rows.groupBy("pair_id", n.alias("block")).agg(*[at(p).alias(f"_{p}") for p in parts])
+    text = lambda p: F.array_join(F.transform(f"_{p}", lambda x: x["rendered"]), "")
+    span = lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["rendered"])).alias("end"))
+    spans = lambda p: F.transform(F.filter(f"_{p}", lambda x: x["trained"]), span)
+    return g.select(
+        "pair_id", "block", *[text(p).alias(p) for p in parts], *[spans(p).alias(f"{p}_spans") for p in parts[1:]],
+        *[F.get(f"_{p}", F.lit(0))["start"].alias(f"{p}_start") for p in parts],
+    )
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with their masks written out, "start-end" of each trained span by commas."""
+    mask = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"], x["end"])), ",").alias(c)
+    cols = ["pair_id", "block", "prompt", "chosen", "rejected", mask("chosen_spans"), mask("rejected_spans")]
+    return paired(turns(spark, sf_dir)).select(*cols)
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered turns of all pairs."""
     return format_pairs(pairs(table(spark, sf_dir, "conversations")))
 
 
-SQL = r"""
+TURNS_SQL = r"""
 WITH c AS (
   SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS even, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL
@@ -122,3 +153,14 @@ SELECT pair_id, part, turn, role, rendered,
        part <> 'prompt' AND role = 'assistant' AS trained
 FROM r WHERE part <> 'prompt' OR side = 'chosen'
 """
+
+SQL = f"""
+WITH rows AS ({TURNS_SQL})
+SELECT pair_id, floor(turn / {TURNS_PER_BLOCK})::BIGINT AS block,
+       coalesce(string_agg(rendered, '' ORDER BY start) FILTER (part = 'prompt'), '') AS prompt,
+       coalesce(string_agg(rendered, '' ORDER BY start) FILTER (part = 'chosen'), '') AS chosen,
+       coalesce(string_agg(rendered, '' ORDER BY start) FILTER (part = 'rejected'), '') AS rejected,
+       coalesce(string_agg(start || '-' || (start + length(rendered)), ',' ORDER BY start) FILTER (part = 'chosen' AND trained), '') AS chosen_spans,
+       coalesce(string_agg(start || '-' || (start + length(rendered)), ',' ORDER BY start) FILTER (part = 'rejected' AND trained), '') AS rejected_spans
+FROM rows GROUP BY ALL
+"""
