@@ -1,7 +1,7 @@
 """Best-fit-decreasing sharding: groups of equal texts, largest first, enter the tightest shard that holds them.
 
-Groups above a 512th of all bytes (512 at most) are placed on the driver; all others are dealt into blocks by
-their hash, and each block is packed by one task into its share of the room that the large groups left.
+Groups above a 512th of all bytes, or of all rows (1,024 at most), are placed on the driver; all others are dealt into
+blocks by their hash, and each block is packed by one task into its share of the room that the large groups left.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from transcript_jobs.llm.common import cut, table, text_or_empty
 
-#: A group of more than total / LARGE bytes is placed alone; so there are LARGE of them at most.
+#: A group of more than a LARGE-th of all bytes or rows is placed alone; so there are 2 * LARGE of them at most.
 LARGE = 512
 GROUPS_PER_BLOCK = 40_000
+#: Rows that one task numbers.
+ROWS_PER_BLOCK = 100_000
 
 
 class Room:
@@ -113,10 +115,11 @@ def shard(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "
     An empty table gives no rows.
     """
     rows = _keyed(docs, key, text)
-    groups = cut(rows.groupBy("g").agg(F.sum("size").alias("bytes")))
-    total, n = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).head()
-    blocks = max(1, -(-n // GROUPS_PER_BLOCK))
-    large = groups.filter(F.col("bytes") * LARGE > total).orderBy(F.desc("bytes"), "g").collect()
+    groups = cut(rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    total, n, n_rows = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
+    blocks, row_blocks = max(1, -(-n // GROUPS_PER_BLOCK)), max(1, -(-n_rows // ROWS_PER_BLOCK))
+    alone = (F.col("bytes") * LARGE > total) | (F.col("n") * LARGE > n_rows)
+    large = groups.filter(alone).orderBy(F.desc("bytes"), "g").collect()
     share = [total * (i + 1) // n_shards - total * i // n_shards for i in range(n_shards)]
     placed = best_fit_decreasing([r["bytes"] for r in large], share)
     room = list(share)
@@ -134,17 +137,16 @@ def shard(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "
         rooms = [whole * x // max(1, sum(room)) for x in room]
         return pd.DataFrame({"g": pdf["g"], "_tail": best_fit_decreasing(pdf["bytes"].tolist(), rooms)})
 
-    tail = (
-        groups.filter(F.col("bytes") * LARGE <= total)
-        .groupBy(_block(blocks).alias("_b"))
-        .applyInPandas(pack, "g string, _tail int")
-    )
+    tail = groups.filter(~alone).select("g", "bytes").groupBy(_block(blocks).alias("_b")).applyInPandas(pack, "g string, _tail int")
+    # rows of a large group have their shard already: they are spread in the join by their own hash, which no group has
+    own = F.xxhash64("_id", "g")
+    spread = F.when(F.col("_head").isNull(), F.col("g")).otherwise(own.cast("string"))
     dealt = (
         rows.join(head, "g", "left")
-        .join(tail, "g", "left")
+        .withColumn("_g", spread)
+        .join(tail.withColumnRenamed("g", "_g"), "_g", "left")
         .withColumn("shard", F.coalesce("_head", "_tail"))
-        # rows of a large group have one shard but are numbered by many tasks
-        .withColumn("_b", F.when(F.col("_head").isNotNull(), F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")).otherwise(_block(blocks)))
+        .withColumn("_b", F.pmod(own, F.lit(row_blocks)).cast("int"))
     )
     dealt = cut(dealt.select("_id", "size", "crc", "shard", "_b"))
     counts = dealt.groupBy("shard", "_b").agg(F.count("*").alias("_n"))
