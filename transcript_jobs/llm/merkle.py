@@ -5,6 +5,8 @@ Native: column expressions, one shuffle of the texts to set each one beside its
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ PIECE = r"[^.!?]{1,40}[.!?]*|[.!?]+"
 #: A paragraph whose digest begins with one of these ends its section: the same sections again after an edit elsewhere.
 SECTION_ENDS = "[08]"
 _LEAST = -(2**63)
+#: Bytes of text of a key range, about; ranges at most, as a key of each is sent to the driver.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 10_000
 
 
 def fingerprint(text: Column) -> Column:
@@ -66,42 +70,43 @@ def changed_sections(a: Column, b: Column) -> Column:
     )
 
 
-def with_next(docs: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """``docs`` with ``next_<col>``: the values of the row that follows by (key, first column), the first row after the last.
+def _place(bounds: list[int], k: Column) -> Column:
+    """How many of the rising bounds are at most k, by halving."""
+    if not bounds:
+        return F.lit(0)
+    every = F.array(*[F.lit(b).cast("long") for b in bounds])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: at + F.when(F.coalesce(F.get(every, at + step - 1) <= k, F.lit(False)), step).otherwise(0)
+    )
+
 
-    Rows are cut into key ranges by approximate quantiles, and the first row of each range is also put as a
-    guest at the end of the range before it; so one shuffle does, and no task holds more than one range.
-    What reaches the driver is one key per range. Null keys come first.
+def with_next(docs: DataFrame, key: str, text: str, more: Callable[[Column], Column]) -> DataFrame:
+    """``docs`` with _more (made of the text) and next_<text>, next__more: those of the row that follows by (key, text), the first row after the last.
+
+    Rows are cut into key ranges of about RANGE_BYTES by approximate quantiles, and the first row of each range is
+    also put as a guest at the end of the range before it; so one shuffle does, of the texts alone, and no task
+    holds more than one range. What reaches the driver is one key per range. Null keys come first. Rows of one key
+    are one range.
     """
     spark = docs.sparkSession
     k = F.coalesce(F.col(key).cast("long"), F.lit(_LEAST))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    bounds = docs.agg(F.percentile_approx(k, [i / n for i in range(1, n)], 100 * n).alias("b")).head()["b"] or []
-    bounds = sorted(set(bounds))
-    at = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("_k"))) if bounds else F.lit(0)
-    ranged = docs.withColumn("_k", k).withColumn("_r", at.cast("int"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).head()[0]
+    n = min(MOST_RANGES, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
+    bounds = docs.agg(F.percentile_approx(k, [i / n for i in range(1, n)], 20 * n).alias("b")).head()["b"] or []
+    ranged = docs.withColumn("_k", k).withColumn("_r", _place(sorted(set(bounds)), F.col("_k")))
     firsts = sorted((r["_r"], r["k"]) for r in ranged.groupBy("_r").agg(F.min("_k").alias("k")).collect())
     guests = [(k0, firsts[i - 1][0]) for i, (_, k0) in enumerate(firsts)]
     of = spark.createDataFrame(guests, "_k long, _g int")
-    both = (
-        ranged.join(F.broadcast(of), "_k", "left")
-        .withColumn(
-            "_p",
-            F.explode(
-                F.when(F.col("_g").isNull(), F.array(F.struct(F.col("_r").alias("r"), F.lit(False).alias("guest"))))
-                .otherwise(
-                    F.array(
-                        F.struct(F.col("_r").alias("r"), F.lit(False).alias("guest")),
-                        F.struct(F.col("_g").alias("r"), F.lit(True).alias("guest")),
-                    )
-                )
-            ),
-        )
-        .drop("_r", "_g")
+    place = lambda r, guest: F.struct(r.alias("r"), F.lit(guest).alias("guest"))
+    own = F.array(place(F.col("_r"), False))
+    both = ranged.join(F.broadcast(of), "_k", "left").withColumn(
+        "_p", F.explode(F.when(F.col("_g").isNull(), own).otherwise(F.concat(own, F.array(place(F.col("_g"), True)))))
     )
-    w = Window.partitionBy("_p.r").orderBy(F.col("_p.guest"), F.col("_k"), F.col(cols[0]))
+    sent = both.select(key, text, "_k", "_p.r", "_p.guest").repartition("r").withColumn("_more", more(F.col(text)))
+    w = Window.partitionBy("r").orderBy("guest", "_k", text)
     return (
-        both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in cols]).filter(~F.col("_p.guest")).drop("_k", "_p")
+        sent.withColumn(f"next_{text}", F.lead(text).over(w)).withColumn("next__more", F.lead("_more").over(w)).filter("NOT guest").drop("_k", "r", "guest")
     )
 
 
@@ -113,7 +118,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     one key are ordered by text; repeated rows each get a result. Other columns of ``docs`` are not looked at.
     """
     d = docs.select(F.col(key).alias("_id"), text_or_empty(text).alias("_t"))
-    d = with_next(d.withColumn("_f", fingerprint(F.col("_t"))), "_id", ["_t", "_f"])
+    d = with_next(d, "_id", "_t", fingerprint).withColumnsRenamed({"_more": "_f", "next__more": "next__f"})
     n = F.length("_t")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("_t", F.lit(1), n - quarter), F.substr("next__t", F.lit(1), quarter))
