@@ -325,6 +325,30 @@ def test_preferences_odd(spark):
     assert preferences.format_pairs(preferences.pairs(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_paired(spark, monkeypatch):
+    """The blocks of a pair put together are its turns in order, and spans are those of the assistant's turns of completions."""
+    conv = [(k, t, "assistant" if t % 2 else "user", f"turn {t} of {k if t > 5 else 0} é" * (1 + t % 3)) for k in (0, 1, 4, 5, 6) for t in range(12)]
+    conv += [(8, None, "assistant", None), (8, None, "user", ""), (None, 1, "user", "x")]
+    rows = preferences.format_pairs(preferences.pairs(spark.createDataFrame(conv, "conv_id long, turn long, role string, text string"))).cache()
+    flat = rows.toPandas()
+    for block in (1000, 5):
+        monkeypatch.setattr(preferences, "TURNS_PER_BLOCK", block)
+        got = preferences.paired(rows).toPandas()
+        if block == 1000:
+            assert got.pair_id.is_unique or set(got[got.pair_id == 4].block) == {-1}
+        for pair, own in flat.groupby("pair_id"):
+            mine = got[got.pair_id == pair].sort_values("block")
+            for part in ("prompt", "chosen", "rejected"):
+                want = own[own.part == part].sort_values("start")
+                text = "".join(want.rendered)
+                assert "".join(mine[part]) == text
+                if part != "prompt":
+                    spans = [(s["start"], s["end"]) for x in mine[f"{part}_spans"] for s in x]
+                    assert spans == [(s, s + len(r)) for s, r, t in zip(want.start, want.rendered, want.trained) if t]
+                    assert all(text[a:b].startswith("<|assistant|>") for a, b in spans)
+    assert preferences.paired(rows.limit(0)).count() == 0
+
+
 # --- classifiers
 
 
@@ -417,6 +441,9 @@ def test_sharding(spark, odd, docs, monkeypatch):
     by = got.groupby("shard")["size"].sum()
     assert by.max() - by.min() < 0.05 * by.mean()
     assert sharding.shard(odd.limit(0)).count() == 0
+    monkeypatch.setattr(sharding, "ROWS_PER_BLOCK", 30)
+    hot = [(i, "" if i % 3 else "same text" if i % 2 else f"text {i}") for i in range(600)]  # many rows of few bytes, and a hot text
+    check_shards(sharding.shard(spark.createDataFrame(hot, "doc_id long, text string")).toPandas(), [t for _, t in hot])
     packed = sharding.pack_capacity(docs, 20_000).toPandas()
     assert all(s["size"].sum() <= 20_000 or s["size"].nunique() == 1 for _, s in packed.groupby(["block", "bin"]))
 
@@ -443,6 +470,21 @@ def test_merkle(spark, odd):
     assert only.near_next[0] == 1.0
 
 
+def test_merkle_ranges(spark, monkeypatch):
+    """Small ranges, repeated and missing keys: every row has the next one's text."""
+    monkeypatch.setattr(merkle, "RANGE_BYTES", 500)
+    rng = random.Random(6)
+    rows = [(rng.choice([None, rng.randrange(40), rng.randrange(10**12)]), f"text {rng.randrange(10**6)}. " * rng.randint(0, 6)) for _ in range(400)]
+    got = merkle.with_next(spark.createDataFrame(rows, "_id long, _t string").repartition(5), "_id", "_t", F.upper).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = [(k, t, t.upper(), order[(i + 1) % len(order)][1]) for i, (k, t) in enumerate(order)]
+    assert collections.Counter((r["_id"], r["_t"], r["_more"], r["next__t"]) for r in got) == collections.Counter(want)
+    assert all(r["next__more"] == r["next__t"].upper() for r in got)
+    bounds = sorted(rng.randrange(100) for _ in range(37))
+    at = spark.range(-3, 105).select("id", merkle._place(sorted(set(bounds)), F.col("id")).alias("p")).collect()
+    assert all(r["p"] == sum(b <= r["id"] for b in set(bounds)) for r in at)
+
+
 def test_merkle_locates_edits(spark):
     a = "\n".join(f"Paragraph {i} says something about {i * i}." for i in range(60))
     b = a.replace("Paragraph 30 ", "Paragraph thirty ")

@@ -136,25 +136,17 @@ def apply_policy(rows: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
 def ablation(rows: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
     """Per rule of the policy: rows that fail it, rows that fail it alone (kept if it were dropped), rows kept now.
 
-    One pass: bitwise sums per task, then one row per task. An empty ledger gives zeros.
+    From the stored bits alone: rows are counted per mask (2 to the power of the rules at most), and the masks are
+    tested for each rule's bit. An empty ledger gives zeros.
     """
-    m, names = mask(POLICIES[version]), [r.name for r in RULES]
-    used = F.col("bits").bitwiseAND(F.lit(m))
-    counts = [F.count_if(used == 0).alias("kept")]
-    for i, name in enumerate(names):
-        if m >> i & 1:
-            counts += [
-                F.count_if(used.bitwiseAND(F.lit(1 << i)) != 0).alias(f"f{i}"),
-                F.count_if(used == (1 << i)).alias(f"a{i}"),
-            ]
-    rows_of = F.array(
-        *[
-            F.struct(F.lit(name).alias("rule"), F.col(f"f{i}").alias("failed"), F.col(f"a{i}").alias("failed_alone"), F.col("kept"))
-            for i, name in enumerate(names)
-            if m >> i & 1
-        ]
-    )
-    return rows.agg(*counts).select(F.explode(rows_of).alias("r")).select("r.*")
+    m = mask(POLICIES[version])
+    masks = rows.groupBy(F.col("bits").bitwiseAND(F.lit(m)).alias("mask")).agg(F.count("*").alias("n"))
+    every = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << i).cast("long").alias("bit")) for i, r in enumerate(RULES) if m >> i & 1])
+    nothing = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("n"))  # a row of each rule
+    tested = masks.union(nothing).select("mask", "n", F.explode(every).alias("r"))
+    count = lambda test, name: F.sum(F.when(test, F.col("n")).otherwise(0)).alias(name)
+    has = F.col("mask").bitwiseAND(F.col("r.bit")) != 0
+    return tested.groupBy("r.rule").agg(count(has, "failed"), count(F.col("mask") == F.col("r.bit"), "failed_alone"), count(F.col("mask") == 0, "kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,3 +197,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, bits = 0 AS kept
 FROM f
 """
+
+
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablation(ledger(table(spark, sf_dir, "documents")))
+
+
+ABLATION_SQL = f"""
+WITH ledger AS ({SQL}), rules AS (
+  SELECT unnest([{", ".join(f"'{r.name}'" for r in RULES)}]) AS rule, unnest([{", ".join(str(1 << i) for i in range(len(RULES)))}]) AS bit
+), masks AS (SELECT bits, count(*) AS n FROM ledger GROUP BY bits)
+SELECT rule, coalesce(sum(n) FILTER (bits & bit <> 0), 0)::BIGINT AS failed, coalesce(sum(n) FILTER (bits = bit), 0)::BIGINT AS failed_alone,
+       coalesce(sum(n) FILTER (bits = 0), 0)::BIGINT AS kept
+FROM rules LEFT JOIN masks ON true GROUP BY rule
+"""

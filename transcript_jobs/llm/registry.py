@@ -16,6 +16,7 @@ from transcript_jobs.llm import (
     sharding,
     toxicity,
 )
+from transcript_jobs.llm.common import table
 
 _MODULES = {
     "op1_packing": packing,
@@ -37,9 +38,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def fixed_capacity_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few shards of 4 MB as best fit decreasing finds."""
+    return sharding.pack_capacity(table(spark, sf_dir, "documents"), 4 << 20)
+
+
+#: Further results of the operators: name -> (query, SQL or None).
+_MORE = {
+    "preference_turns": (preferences.turns, preferences.TURNS_SQL),
+    "quality_rule_ablation": (quality_rules.ablation_query, quality_rules.ABLATION_SQL),
+    "fixed_capacity_shards": (fixed_capacity_shards, None),
+}
+
+
 def queries() -> dict:
-    return {name: m.query for name, m in _MODULES.items()} | {"pipeline": pipeline}
+    return {name: m.query for name, m in _MODULES.items()} | {"pipeline": pipeline} | {name: q for name, (q, _) in _MORE.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: m.SQL for name, m in _MODULES.items() if m.SQL}
+    return {name: m.SQL for name, m in _MODULES.items() if m.SQL} | {name: sql for name, (_, sql) in _MORE.items() if sql}
