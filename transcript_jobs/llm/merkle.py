@@ -103,7 +103,7 @@ def with_next(docs: DataFrame, key: str, text: str, more: Callable[[Column], Col
     both = ranged.join(F.broadcast(of), "_k", "left").withColumn(
         "_p", F.explode(F.when(F.col("_g").isNull(), own).otherwise(F.concat(own, F.array(place(F.col("_g"), True)))))
     )
-    sent = both.select(key, text, "_k", "_p.r", "_p.guest").repartition("r").withColumn("_more", more(F.col(text)))
+    sent = both.select(key, text, "_k", "_p.r", "_p.guest").repartition(n, "r").withColumn("_more", more(F.col(text)))
     w = Window.partitionBy("r").orderBy("guest", "_k", text)
     return (
         sent.withColumn(f"next_{text}", F.lead(text).over(w)).withColumn("next__more", F.lead("_more").over(w)).filter("NOT guest").drop("_k", "r", "guest")
