@@ -165,7 +165,84 @@ def test_flows(spark):
     got = flows.answer_questions(m, history, chunks, embedder=models.HashEmbedder(64)).toPandas()
     assert len(got) == m.count() and got.success.all() and (got.sources.map(len) > 0).mean() > 0.9
     done = flows.summarize_videos(out["chunks"]).toPandas()
-    assert len(done) == out["full_text"].count() and all(s["summary"] for s in done.summary)
+    assert len(done) == out["full_text"].count() and all(s["summary"] for s in done.summary) and done.error.isna().all()
+
+
+class Counting:
+    """Notes each prompt in a file, one line a call; fails for prompts with "broken"."""
+
+    def __init__(self, folder, reply=None):
+        self.folder, self.reply = str(folder), reply
+
+    def load(self):
+        import uuid
+
+        def run(batch):
+            if any("broken" in m[-1]["content"] for m in batch):
+                raise ValueError("broken")
+            with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(m[-1]["content"].split("\n")[0] for m in batch))
+            return [self.reply or m[-1]["content"][:200] for m in batch]
+
+        return run
+
+    def calls(self):
+        import pathlib
+
+        return [line for f in pathlib.Path(self.folder).iterdir() for line in f.read_text().split("\n")]
+
+
+def counting(tmp_path, name, reply=None):
+    (tmp_path / name).mkdir()
+    return Counting(tmp_path / name, reply)
+
+
+HISTORY = "session_id string, place int, role string, message string"
+
+
+def test_answers_call_the_model_once(spark, tmp_path):
+    chunks = models.embed_column(spark.createDataFrame([("v", i, i * 10.0, i * 10.0 + 9, f"chunk {i} about cats and number {i}") for i in range(1, 5)], "video_id string, chunk_id int, start double, end double, text string"), "text")
+    asked = [(1, "s1", "v", "what about cats and number 2?"), (2, "s2", "v", "How does chunk 3 about cats and number 3 go on from here?"), (3, "s1", "v", "Explain how chunk 1 about cats and number 1 works in detail please"), (4, "s3", "w", "Anything in an unknown video at all, tell me?")]
+    requests = spark.createDataFrame(asked, "question_id long, session_id string, video_id string, message string")
+    history = spark.createDataFrame([("s1", 1, "user", "hello"), ("s1", 2, "assistant", "hi")], HISTORY)
+    g = counting(tmp_path, "g", "Because. Sources: 1")
+    got = flows.answer_questions(requests, history, chunks, g).orderBy("question_id").collect()
+    rewrites = [c for c in g.calls() if c.startswith("Conversation")]
+    assert len(rewrites) == 1 and len(g.calls()) == 1 + sum(len(r["sources"]) > 0 for r in got)
+    assert [r["search_query"] == r["message"] for r in got] == [False, True, True, True] and got[1]["answer"] == "Because." and not got[3]["sources"]
+
+
+def test_chat_turn(spark, tmp_path):
+    chunks = models.embed_column(spark.createDataFrame([("v", 1, 0.0, 9.0, "all about cats and dogs"), ("x", 1, 0.0, 9.0, "not ready")], "video_id string, chunk_id int, start double, end double, text string"), "text")
+    videos = spark.createDataFrame([("v", "ready"), ("x", "processing")], "video_id string, status string")
+    sessions = spark.createDataFrame([("s1", "v"), ("s2", "x")], "session_id string, video_id string")
+    messages = spark.createDataFrame([("s1", 1, "user", "old", 5)], "session_id string, msg_id long, role string, message string, created_at long")
+    asked = [(1, "s1", "v", " all about cats and dogs? "), (2, "s2", "v", "all about cats and dogs, tell me?"), (3, "s1", "v", "  "), (4, "s2", "x", "what?"), (5, None, "v", "broken all about cats and dogs?")]
+    requests = spark.createDataFrame(asked, "question_id long, session_id string, video_id string, message string")
+    out = flows.chat_turn(requests, videos, sessions, messages, chunks, counting(tmp_path, "g", "Yes. Sources: 1"), fresh=F.concat(F.lit("new"), F.col("question_id").cast("string")))
+    got = {r["question_id"]: r for r in out["answers"].collect()}
+    assert got[1]["success"] and got[1]["session_id"] == "s1" and got[1]["answer"] == "Yes." and len(got[1]["sources"]) == 1
+    assert got[2]["session_id"] == "new2" and got[3]["error"] == "Please enter a question." and "processed" in got[4]["error"] and not got[4]["success"]
+    assert not got[5]["success"] and "broken" in got[5]["error"]
+    stored = sorted((r["session_id"], r["place"], r["role"], r["message"]) for r in out["messages"].collect())
+    assert stored == [("new2", 0, "user", "all about cats and dogs, tell me?"), ("new2", 1, "assistant", "Yes."), ("s1", 0, "user", "all about cats and dogs?"), ("s1", 1, "assistant", "Yes.")]
+    assert {tuple(r) for r in out["sessions"].collect()} == {("new2", "v"), ("new5", "v")}
+
+
+def test_summaries_call_the_model_once(spark, tmp_path):
+    """Videos that can't be summarized have an error; each prompt is sent once, and a retry where it is due."""
+    c = [("long", i, "w " * 200) for i in range(1, 6)] + [("short", 1, "few words"), ("blank", 1, "  "), ("bad", 1, "broken"), ("half", 1, "w " * 600), ("half", 2, "broken " * 200)]
+    chunks = spark.createDataFrame(c, "video_id string, chunk_id int, text string")
+    good = json.dumps({"summary_lines": [f"line {i}" for i in range(16)], "main_topics": [], "key_points": [], "conclusions": []})
+    g = counting(tmp_path, "g", good)
+    got = {r["video_id"]: r for r in flows.summarize_videos(chunks, g).collect()}
+    assert set(got) == {"long", "short", "blank", "bad", "half"}
+    assert [got[v]["error"] is None for v in ("long", "short", "blank", "bad", "half")] == [True, True, False, False, False]
+    assert got["blank"]["error"] == "There is no transcript content to summarize." and got["long"]["summary"]["summary"].count("\n") == 15
+    assert len(g.calls()) == 6 + 2  # five pieces and one of the failed video; two summaries
+    few = counting(tmp_path, "few", json.dumps({"summary_lines": ["one"], "main_topics": [], "key_points": [], "conclusions": []}))
+    flows.summarize_videos(chunks.filter("video_id = 'short'"), few).collect()
+    assert len(few.calls()) == 2
 
 
 def test_tables_and_streams(spark, tmp_path):
@@ -186,3 +263,54 @@ def test_tables_and_streams(spark, tmp_path):
     v = spark.createDataFrame([("v1", "u")], "video_id string, url string")
     indexed = index.indexed_videos(v.withColumn("status", F.lit("ready")), c)
     assert indexed.count() == 1 and index.videos_to_process(v, indexed).count() == 0 and index.videos_to_process(v, indexed, True).count() == 1
+
+
+def test_lifecycle(spark, tmp_path):
+    """Videos become ready or failed with their transcript; a batch that comes again calls no model; a failing model stops nothing."""
+    folder, one = str(tmp_path / "t"), lambda v, texts, **more: (v, json.dumps({"video_id": v, "language": "en", "title": f"about {v}", **more, "segments": [{"start": i, "end": i + 1, "text": t} for i, t in enumerate(texts)]}))
+    rows = [one("v1", ["what is this?", "b c"]), one("v2", ["  "]), one("v3", ["why so, and how is that done?"])]
+    batch = spark.createDataFrame(rows, "video_id string, raw string")
+    arrivals.index_batch(batch, folder, batch_id=0)
+    v = {r["video_id"]: r for r in tables.load_table(spark, folder, "videos").collect()}
+    assert {k: r["status"] for k, r in v.items()} == {"v1": "ready", "v2": "failed", "v3": "ready"} and v["v1"]["title"] == "about v1" and v["v1"]["url"] == ""
+    t = {r["video_id"]: (r["language"], r["duration"], r["full_text"]) for r in tables.load_table(spark, folder, "transcripts").collect()}
+    assert t == {"v1": ("en", 2.0, "what is this? b c"), "v3": ("en", 1.0, "why so, and how is that done?")}
+
+    class Never:
+        def load(self):
+            raise AssertionError("no model is needed")
+
+    arrivals.index_batch(batch.filter("video_id <> 'v2'"), folder, Never(), batch_id=0)
+    arrivals.index_batch(spark.createDataFrame([one("v2", ["now there is text"])], batch.schema), folder, batch_id=1)
+    assert {r["video_id"]: r["status"] for r in tables.load_table(spark, folder, "videos").collect()} == {"v1": "ready", "v2": "ready", "v3": "ready"}
+    arrivals.stream_questions(spark, folder, str(tmp_path / "q"), Never()).awaitTermination()
+    assert {r["video_id"] for r in spark.read.parquet(f"{folder}/question_failures").collect()} == {"v1", "v2", "v3"}
+    arrivals.stream_questions(spark, folder, str(tmp_path / "q2")).awaitTermination()
+    assert {r["video_id"] for r in tables.load_table(spark, folder, "questions").collect()} == {"v1", "v3"}
+    arrivals.stream_questions(spark, folder, str(tmp_path / "q2"), Never()).awaitTermination()  # nothing new, nothing mined
+
+
+def test_layout(spark, tmp_path):
+    """The first write sets buckets and files; other writes and reads keep to them."""
+    rows = spark.createDataFrame([(f"v{i}", i, 0.0, 1.0, "x") for i in range(200)], SEG)
+    out = str(tmp_path)
+    tables.save_table(rows.filter("seg_idx < 100"), out, "segments", buckets=5, files=3)
+    tables.save_table(rows.filter("seg_idx >= 100"), out, "segments", buckets=9)
+    assert tables.layout(spark, out, "segments") == {"buckets": 5, "files": 3}
+    got = tables.load_table(spark, out, "segments", bucket=True)
+    assert got.count() == 200 and got.select("video_bucket").distinct().count() == 5
+    some = tables.load_for_videos(spark, out, "segments", rows.filter("seg_idx = 7"))
+    assert 1 <= some.filter("video_id = 'v7'").count() and some.count() < 200
+    assert sorted(map(tuple, got.drop("video_bucket").collect())) == sorted(map(tuple, rows.collect()))
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_blocked_retrieval_is_exact(spark, monkeypatch, block):
+    """Ties, zero vectors, questions of unknown videos and videos that nobody asks about, in blocks on both sides."""
+    monkeypatch.setattr(retrieval, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    vec = lambda: [float(x) for x in rng.integers(-1, 2, 4)]
+    c = spark.createDataFrame([(v, i, 0.0, 1.0, "t", vec()) for v in ("a", "b", "c") for i in range(17)], "video_id string, chunk_id int, start double, end double, text string, embedding array<double>")
+    q = spark.createDataFrame([(i, v, vec()) for i, v in enumerate(["a"] * 8 + ["b"] * 2 + ["z"])], "question_id long, video_id string, embedding array<double>")
+    key = lambda df: sorted((r["question_id"], r["rank"], r["chunk_id"], r["similarity"]) for r in df.collect())
+    assert key(retrieval.retrieve_chunks_blocked(q, c)) == key(retrieval.retrieve_chunks(q, c))

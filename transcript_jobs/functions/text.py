@@ -18,6 +18,7 @@ def _any(words: list[str]) -> str:
 FILLER = rf"(?iU)^\s*{_any(P.FILLER_OPENERS)}?[,\s]*{_any(P.FILLERS)}\s*\??\s*$"
 CLAUSE = rf"(?iU)(?:^|[.!?]\s+|,\s*)(?:{_any(P.LEAD_INS)}\s+)?{_any(P.INTERROGATIVES)}\b"
 FOLLOW_UP = rf"(?iU)\b{_any(P.REFERRING)}\b|^\s*{_any(P.FOLLOW_STARTS)}\b|^\s*(?:what|how) about\b"
+# What a model may put before its answer, and wordings by which it hedges.
 LABEL = r"(?iU)^\s*(?:answer|question|response)\s*:\s*"
 HEDGE = r"(?i)[()]|not an exact question|this assumes|is not (?:just )?stat(?:ed|ing)"
 

@@ -1,6 +1,6 @@
 """The flows: ingest, index, mine questions, answer, summarize. Compositions of the operators.
 
-A model's outputs are written by the caller before they are used twice; each flow returns tables.
+A model's outputs are written before they are used, so each call is made once; each flow returns tables.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from transcript_jobs import params as P
 from transcript_jobs.functions import citations as C
 from transcript_jobs.functions import summary_json as J
 from transcript_jobs.functions.text import looks_like_follow_up, strip
-from transcript_jobs.operators import chat, chunking, models, questions, retrieval, segments, summaries
+from transcript_jobs.operators import chat, chunking, index, models, questions, retrieval, segments, summaries
+from transcript_jobs.sources.written import written
 
 
 def ingest(raw: DataFrame, max_words: int = P.CHUNK_WORDS) -> dict[str, DataFrame]:
@@ -33,51 +34,82 @@ def index_videos(raw: DataFrame, embedder=None, max_words: int = P.CHUNK_WORDS)
 
 
 def mine_questions(clean: DataFrame, generator=None, embedder=None) -> DataFrame:
-    """(video_id, question, start, end, segment_index): the questions asked in cleaned segments."""
+    """(video_id, question, start, end, segment_index): the questions asked in cleaned segments. The model is called once per window."""
     windows = questions.cap_candidates(questions.question_windows(clean))
-    asked = models.generate_column(
-        questions.question_prompts(windows), "messages", generator or models.FirstQuestionGenerator(), batch_size=P.VALIDATION_BATCH
-    )
+    prompts = questions.question_prompts(windows).repartition(F.xxhash64("video_id", "segment_index"))
+    asked = written(models.generate_column(prompts, "messages", generator or models.FirstQuestionGenerator(), batch_size=P.VALIDATION_BATCH))
     found = questions.accept_questions(asked).select("video_id", "question", "start", "end", "segment_index")
     return questions.rank_questions(questions.dedupe_questions(found, embedder=embedder))
 
 
 def answer_questions(requests: DataFrame, history: DataFrame, chunks: DataFrame, generator=None, embedder=None) -> DataFrame:
-    """(question_id, session_id, video_id, message, answer, sources, success) per good request.
+    """(question_id, session_id, video_id, message, search_query, answer, sources, success, error) per request.
 
-    ``requests``: (question_id, session_id, video_id, message); ``history``: recent messages; ``chunks`` with vectors.
+    ``requests``: (question_id, session_id, video_id, message), checked; ``history``: recent messages; ``chunks`` with vectors.
+    Only follow-ups with a history are rewritten, and only requests with a relevant chunk are answered by the
+    model; each of these calls is made once. A failed rewrite leaves the message as it is, a failed answer has an error.
     """
     r = chat.rewrite_prompts(requests, history).withColumn("follows", looks_like_follow_up(F.col("message")))
-    r = models.generate_column(r, "messages", generator, "rewritten").drop("error", "messages")
+    unclear = (F.col("history_size") > 0) & F.coalesce("follows", F.lit(False))
+    again = written(models.generate_column(r.filter(unclear), "messages", generator, "rewritten")).drop("error")
+    r = again.unionByName(r.filter(~unclear).withColumn("rewritten", F.lit(None).cast("string"))).drop("messages")
     query = C.accept_rewrite(F.col("message"), F.col("rewritten"), F.col("history_size"), F.col("follows"))
-    r = models.embed_column(r.withColumn("search_query", query), "search_query", embedder)
+    r = written(models.embed_column(r.withColumn("search_query", query), "search_query", embedder))
     found = retrieval.fit_word_budget(retrieval.relevant_chunks(retrieval.retrieve_chunks_blocked(r, chunks)))
-    rows = r.drop("embedding").join(found, ["question_id", "video_id"], "left")
+    rows = written(r.drop("embedding").join(found, ["question_id", "video_id"], "left"))
     known = F.col("chunks").isNotNull()
     asked = models.generate_column(chat.answer_prompts(rows.filter(known)), "messages", generator)
     cite = C.extract_citations(strip(F.coalesce("output", F.lit(""))), F.size("chunks"))
     cited = asked.withColumn("c", cite).withColumn("s", C.build_sources(F.col("video_id"), F.col("chunks"), F.col("c.cited")))
     done = cited.withColumn("f", C.finalize_answer(F.col("c.answer"), F.col("s")))
-    cols = ["question_id", "session_id", "video_id", "message"]
-    answered = done.select(*cols, "f.answer", "f.sources", "f.success")
+    cols = ["question_id", "session_id", "video_id", "message", "search_query"]
+    answered = done.select(*cols, "f.answer", "f.sources", "f.success", "error")
     kind = answered.schema["sources"].dataType.simpleString()
-    none = rows.filter(~known).select(*cols, F.lit(P.NO_ANSWER).alias("answer"), F.array().cast(kind).alias("sources"), F.lit(True).alias("success"))
-    return answered.unionByName(none)
+    none = rows.filter(~known).select(
+        *cols, F.lit(P.NO_ANSWER).alias("answer"), F.array().cast(kind).alias("sources"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error")
+    )
+    return written(answered.unionByName(none))
+
+
+def chat_turn(requests: DataFrame, videos: DataFrame, sessions: DataFrame, messages: DataFrame, chunks: DataFrame, generator=None, embedder=None, fresh=None) -> dict[str, DataFrame]:
+    """From raw requests (question_id, session_id, video_id, message) to what is stored of them: answers, messages, sessions.
+
+    ``answers`` has every request: those that aren't good have an error and no success. ``messages`` are the two new ones of each answered
+    request, ``sessions`` those that did not exist. ``fresh``: a column with new session ids (by default random).
+    """
+    checked = chat.valid_requests(requests, index.indexed_videos(videos, chunks))
+    bad = checked.filter("error IS NOT NULL")
+    good = written(chat.resolve_sessions(checked.filter("error IS NULL").drop("error"), sessions, fresh))
+    history = chat.recent_history(messages, sessions=good)
+    done = answer_questions(good, history, chunks, generator, embedder)
+    refused = bad.select("question_id", "session_id", "video_id", "message", F.lit(False).alias("success"), "error")
+    return {
+        "answers": done.unionByName(refused, allowMissingColumns=True),
+        "messages": chat.append_messages(done),
+        "sessions": good.select("session_id", "video_id").distinct().join(sessions.select("session_id"), "session_id", "left_anti"),
+    }
 
 
 def summarize_videos(chunks: DataFrame, generator=None) -> DataFrame:
-    """(video_id, summary struct): the better of two attempts over the transcript or the summaries of its chunks."""
-    plan = summaries.summary_plan(chunks)
-    mode = plan.select("video_id", "mode")
-    direct = summaries.usable_chunks(chunks).join(mode.filter("mode = 'direct'"), "video_id").select("video_id", "chunk_id", "mode", "text")
-    mapped = models.generate_column(summaries.chunk_prompts(chunks, plan), "messages", generator)
-    mapped = mapped.select("video_id", "chunk_id", F.lit("map_reduce").alias("mode"), F.col("output").alias("text"))
-    prompts = summaries.final_prompts(summaries.combine_sections(direct.unionByName(mapped)))
+    """(video_id, summary struct, error) of every video: the better of two attempts over the transcript or the summaries of its chunks.
+
+    A video without a usable chunk, one of whose chunks the model failed for, or without any output, has an error and no summary.
+    Each model call is made once.
+    """
+    planned = written(summaries.planned_chunks(chunks))
+    prompts = summaries.chunk_prompts(planned).repartition(F.xxhash64("video_id", "chunk_id"))
+    mapped = written(models.generate_column(prompts, "messages", generator).select("video_id", "chunk_id", "mode", F.col("output").alias("text"), "error"))
+    failed = mapped.filter("error IS NOT NULL").select("video_id").distinct()
+    sections = planned.filter("mode = 'direct'").select("video_id", "chunk_id", "mode", "text").unionByName(mapped.drop("error").join(failed, "video_id", "left_anti"))
 
     def attempt(p: DataFrame) -> DataFrame:
         out = models.generate_column(p, "messages", generator).filter("output IS NOT NULL")
-        return out.withColumn("summary", J.final_summary(F.col("output"))).select("video_id", "messages", "summary")
+        return written(out.withColumn("summary", J.final_summary(F.col("output"))).select("video_id", "messages", "summary"))
 
-    first = attempt(prompts)
+    first = attempt(summaries.final_prompts(summaries.combine_sections(sections)))
     second = attempt(summaries.retry_prompts(summaries.needs_retry(first)).select("video_id", "messages"))
-    return summaries.select_attempt(first, second)
+    best = summaries.select_attempt(first, second)
+    usable = planned.select("video_id", F.lit(True).alias("usable")).distinct()
+    every = chunks.select("video_id").distinct().join(usable, "video_id", "left").join(best, "video_id", "left")
+    error = F.when(F.col("usable").isNull(), P.NOTHING_TO_SUMMARIZE).when(F.col("summary").isNull(), P.NO_SUMMARY)
+    return every.select("video_id", "summary", error.alias("error"))

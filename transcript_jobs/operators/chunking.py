@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from transcript_jobs import params as P
 
@@ -34,20 +38,51 @@ def _pack(texts: list[str], start: np.ndarray, end: np.ndarray, most: int) -> li
     return out
 
 
+def by_video(rows: DataFrame, order: list[str], pack: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``pack`` over each video's rows in order: a split holds many videos, which it goes through one after the other.
+
+    ``pack`` gets whole videos, as many at once as a batch brings, sorted by video and ``order``. They are brought
+    together by a row number over each video, which uses the partitioning by video that rows may have already.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            ids = b["video_id"].to_numpy()
+            if held and held[-1]["video_id"].iloc[-1] == ids[0] == ids[-1]:
+                held.append(b)
+                continue
+            last = int(np.flatnonzero(ids == ids[-1])[0]) if ids[-1] is not None else 0
+            done = pd.concat([*held, b.iloc[:last]], ignore_index=True)
+            if len(done):
+                yield pack(done)
+            held = [b.iloc[last:]]
+        if held:
+            yield pack(pd.concat(held, ignore_index=True))
+
+    n = F.row_number().over(Window.partitionBy("video_id").orderBy(*order))
+    return rows.withColumn("_n", n).mapInPandas(run, schema)
+
+
 def chunk_segments(segments: DataFrame, max_words: int = P.CHUNK_WORDS) -> DataFrame:
     """(video_id, chunk_id from 1, start, end, text, word_count): segments kept whole where they fit.
 
     A segment of more than ``max_words`` closes the open chunk and is cut at words, its time shared by word
-    position. Packing is sequential within a video, so a video's segments are one group (a day of speech is about
-    10^5); videos are spread over the tasks.
+    position. Packing is sequential within a video (a day of speech is about 10^5 segments); a split's videos
+    are packed one after the other, so many short ones cost no call each. Rows without a video are dropped.
     """
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg_idx")
-        rows = _pack(pdf["text"].tolist(), pdf["start"].to_numpy(float), pdf["end"].to_numpy(float), max_words)
-        out = pd.DataFrame(rows, columns=["start", "end", "text", "word_count"])
-        out.insert(0, "chunk_id", np.arange(1, len(out) + 1))
-        out.insert(0, "video_id", pdf["video_id"].iloc[0])
-        return out
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, texts = rows["video_id"].to_numpy(), rows["text"].tolist()
+        start, end = rows["start"].to_numpy(float), rows["end"].to_numpy(float)
+        edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        out = []
+        for a, b in itertools.pairwise(edges):
+            own = _pack(texts[a:b], start[a:b], end[a:b], max_words)
+            out += [(ids[a], i, *c) for i, c in enumerate(own, 1)]
+        return pd.DataFrame(out, columns=["video_id", "chunk_id", "start", "end", "text", "word_count"])
 
-    return segments.select("video_id", "seg_idx", "start", "end", "text").groupBy("video_id").applyInPandas(pack, CHUNK)
+    rows = segments.filter("video_id IS NOT NULL").select("video_id", "seg_idx", "start", "end", "text")
+    return by_video(rows, ["seg_idx"], pack, CHUNK)

@@ -116,4 +116,5 @@ def generate_column(df: DataFrame, messages_col: str, generator=None, out: str =
                     got[i] = r
             yield pd.DataFrame(got, columns=[out, "error"])
 
+    run = run.asNondeterministic()  # else a filter on the output is moved below it, and the model called for the filter too
     return df.withColumn("_g", run(F.col(messages_col))).withColumn(out, F.col(f"_g.{out}")).withColumn("error", F.col("_g.error")).drop("_g")

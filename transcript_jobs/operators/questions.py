@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +23,7 @@ from transcript_jobs.functions.text import (
     timestamp_url,
     word_count,
 )
+from transcript_jobs.operators.chunking import by_video
 from transcript_jobs.operators.models import embed_column
 
 SYSTEM = (
@@ -94,17 +97,20 @@ def dedupe_questions(questions: DataFrame, threshold: float = P.DEDUPE, embedder
     """
     fields = [f for f in questions.schema.fields if f.name != "_v"]
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "segment_index"], ignore_index=True)
-        v = np.stack(pdf["_v"]).astype(float)
-        near, kept = v @ v.T >= threshold - 1e-6, []
-        for i in range(len(pdf)):
-            if not near[i, kept].any():
-                kept.append(i)
-        return pdf.loc[kept, [f.name for f in fields]]
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, v = rows["video_id"].to_numpy(), np.stack(rows["_v"]).astype(float)
+        edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        kept: list[int] = []
+        for a, b in itertools.pairwise(edges):
+            near, own = v[a:b] @ v[a:b].T >= threshold - 1e-6, []
+            for i in range(b - a):
+                if not near[i, own].any():
+                    own.append(i)
+            kept += [a + i for i in own]
+        return rows.loc[kept, [f.name for f in fields]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return embed_column(questions, "question", embedder, "_v").groupBy("video_id").applyInPandas(keep, schema)
+    return by_video(embed_column(questions.filter("video_id IS NOT NULL"), "question", embedder, "_v"), ["start", "segment_index"], keep, schema)
 
 
 def rank_questions(questions: DataFrame, limit: int = P.QUESTIONS) -> DataFrame:

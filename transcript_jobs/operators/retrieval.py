@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from transcript_jobs import params as P
 from transcript_jobs.functions.text import words
 
-#: Chunks of a video that one task compares at once, and questions likewise.
+#: Chunks of a video that one task compares at once with as many questions.
 BLOCK = 1024
 
 
@@ -50,28 +50,38 @@ def retrieve_chunks(questions: DataFrame, chunks: DataFrame, k: int = P.TOP_K) -
 
 
 def retrieve_chunks_blocked(questions: DataFrame, chunks: DataFrame, k: int = P.TOP_K) -> DataFrame:
-    """As retrieve_chunks, by matrix products of blocks: a popular video's questions and chunks go to many tasks."""
+    """As retrieve_chunks, by matrix products of blocks: a popular video's questions and chunks go to many tasks.
+
+    Only chunks of videos that are asked about are looked at. Both sides are dealt into blocks of BLOCK rows by
+    their counts, and each block of questions meets each of chunks. A block gives its k best; vectors stay out
+    of the ranking shuffle.
+    """
 
     def top(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        cols = ["question_id", "video_id", "chunk_id", "similarity"]
         if not len(q) or not len(c):
-            return pd.DataFrame(columns=cols)
-        a, b = (np.stack(x["embedding"]).astype(float) for x in (q, c))
-        norms = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
+            return pd.DataFrame(columns=["question_id", "video_id", "chunk_id", "similarity"])
+        a, b = (np.stack(x["embedding"]).astype(float) for x in (q, c.sort_values("chunk_id")))
+        ids = np.sort(c["chunk_id"].to_numpy())
         with np.errstate(invalid="ignore", divide="ignore"):
-            s = a @ b.T / norms
-        c_ids = c["chunk_id"].to_numpy()
-        out = []
-        for i, qid in enumerate(q["question_id"]):
-            order = [j for j in np.lexsort((c_ids, -s[i]))[: k] if not np.isnan(s[i, j])]
-            out += [(qid, key[0], int(c_ids[j]), float(s[i, j])) for j in order]
-        return pd.DataFrame(out, columns=cols)
-
-    n = chunks.groupBy("video_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
-    asked = questions.select("question_id", "video_id", "embedding").join(n, "video_id")
-    asked = asked.withColumn("_qb", F.pmod(F.xxhash64("question_id"), F.lit(8)).cast("int")).withColumn("_cb", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    own = chunks.select("video_id", "chunk_id", "embedding").join(n, "video_id").withColumn("_cb", F.pmod("chunk_id", F.col("_n")))
-    own = own.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(7))))
+            s = a @ b.T / (np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :])
+        s = np.where(np.isnan(s), -np.inf, s)
+        if len(ids) > k:  # all that reach the k-th best, then ties by chunk_id
+            least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+            row, at = np.nonzero(s >= least)
+        else:
+            row, at = np.nonzero(s > -np.inf)
+        order = np.lexsort((ids[at], -s[row, at], row))
+        row, at = row[order], at[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, at = row[(place < k) & (s[row, at] > -np.inf)], at[(place < k) & (s[row, at] > -np.inf)]
+        return pd.DataFrame({"question_id": q["question_id"].to_numpy()[row], "video_id": key[0], "chunk_id": ids[at].astype(np.int32), "similarity": s[row, at]})
+
+    count = lambda df, name: df.groupBy("video_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    blocks = count(questions, "_nq").join(count(chunks.join(questions.select("video_id"), "video_id", "left_semi"), "_nc"), "video_id")
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = questions.select("question_id", "video_id", "embedding").join(blocks, "video_id").withColumn("_qb", deal("question_id", "_nq")).withColumn("_cb", every("_nc"))
+    own = chunks.select("video_id", "chunk_id", "embedding").join(blocks, "video_id").withColumn("_cb", deal("chunk_id", "_nc")).withColumn("_qb", every("_nq"))
     by = ["video_id", "_cb", "_qb"]
     pairs = asked.select(*by, "question_id", "embedding").groupBy(*by).cogroup(own.select(*by, "chunk_id", "embedding").groupBy(*by))
     kind = dict(questions.dtypes)["question_id"]

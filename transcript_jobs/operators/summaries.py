@@ -33,11 +33,22 @@ def _rule(i: int) -> Column:
     return out
 
 
+def _plan() -> list[Column]:
+    mode = F.when(F.col("total_words") <= P.DIRECT_WORDS, "direct").otherwise("map_reduce")
+    return [mode.alias("mode"), _rule(1).alias("max_tokens"), _rule(2).alias("length_rule")]
+
+
 def summary_plan(chunks: DataFrame) -> DataFrame:
     """(video_id, n_chunks, total_words, mode, max_tokens, length_rule) of each video with usable chunks."""
     plan = usable_chunks(chunks).groupBy("video_id").agg(F.count("*").alias("n_chunks"), F.sum(word_count(F.col("text"))).alias("total_words"))
-    mode = F.when(F.col("total_words") <= P.DIRECT_WORDS, "direct").otherwise("map_reduce")
-    return plan.select("*", mode.alias("mode"), _rule(1).alias("max_tokens"), _rule(2).alias("length_rule"))
+    return plan.select("*", *_plan())
+
+
+def planned_chunks(chunks: DataFrame) -> DataFrame:
+    """Usable chunks with the columns of their video's summary_plan: one shuffle, and the chunks are made once."""
+    by = Window.partitionBy("video_id")
+    rows = usable_chunks(chunks).withColumn("n_chunks", F.count("*").over(by)).withColumn("total_words", F.sum(word_count(F.col("text"))).over(by))
+    return rows.select("*", *_plan())
 
 
 def length_batches(chunks: DataFrame, size: int = P.SUMMARY_BATCH) -> DataFrame:
@@ -51,11 +62,11 @@ def batch_stats(batches: DataFrame) -> DataFrame:
     return batches.groupBy("video_id", "batch_id").agg(F.count("*").alias("chunks"), F.sum(word_count(F.col("text"))).alias("input_words"))
 
 
-def chunk_prompts(chunks: DataFrame, plan: DataFrame) -> DataFrame:
-    """Chunks of map_reduce videos with ``messages``."""
+def chunk_prompts(planned: DataFrame) -> DataFrame:
+    """Of planned_chunks those of map_reduce videos, with ``messages``."""
     system = F.replace(F.lit(CHUNK_SYSTEM), F.lit("{rule}"), F.col("length_rule"))
-    rows = usable_chunks(chunks).join(plan.filter("mode = 'map_reduce'").select("video_id", "length_rule"), "video_id")
-    return rows.withColumn("messages", messages(system, F.concat(F.lit("Transcript excerpt:\n\n"), strip(F.col("text"))))).drop("length_rule")
+    user = F.concat(F.lit("Transcript excerpt:\n\n"), strip(F.col("text")))
+    return planned.filter("mode = 'map_reduce'").withColumn("messages", messages(system, user)).drop("length_rule")
 
 
 def combine_sections(sections: DataFrame) -> DataFrame:

@@ -674,14 +674,13 @@ def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("chunk_prompts", f"""{_C50}, {_PLAN} SELECT video_id, chunk_id, 'Transcript excerpt:' || chr(10) || chr(10) || text AS user_message FROM chunks JOIN plan USING (video_id) WHERE total_words > 700""")
 def chunk_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunks(spark, sf_dir, SMALL_CHUNK)
-    return summaries.chunk_prompts(c, summaries.summary_plan(c)).select("video_id", "chunk_id", F.col("messages")[1]["content"].alias("user_message"))
+    return summaries.chunk_prompts(summaries.planned_chunks(_chunks(spark, sf_dir, SMALL_CHUNK))).select("video_id", "chunk_id", F.col("messages")[1]["content"].alias("user_message"))
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunks(spark, sf_dir, SMALL_CHUNK)
+    c = summaries.planned_chunks(_chunks(spark, sf_dir, SMALL_CHUNK))
     text = F.when(F.col("mode") == "direct", F.col("text")).otherwise(F.when(F.col("chunk_id") % 5 == 4, F.lit("")).otherwise(F.substring("text", 1, 60)))
-    return summaries.combine_sections(c.join(summaries.summary_plan(c).select("video_id", "mode"), "video_id").withColumn("text", text))
+    return summaries.combine_sections(c.withColumn("text", text))
 
 
 _COMBINED = """sections AS (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +21,32 @@ SCHEMAS = {
     "messages": "session_id string, msg_id long, role string, message string, sources array<struct<chunk_id: int, start: double, "
     "end: double, similarity: double, label: string, youtube_url: string>>, created_at timestamp",
 }
-#: Tables are laid out by so many buckets of the video id: a partition per video would be a file per video.
-BUCKETS = 64
+#: Tables are laid out by buckets of the video id (a partition per video would be a file per video), each in so many files.
+BUCKETS, FILES = 64, 1
+_PROPERTIES = "_table.json"
 
 
 def video_bucket(n: int = BUCKETS):
     return F.pmod(F.xxhash64("video_id"), F.lit(n)).cast("int")
 
 
+def _path(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether anything was ever written to the table."""
+    files, path = _path(spark, f"{folder}/{name}")
+    return files.exists(path)
+
+
+def layout(spark: SparkSession, folder: str, name: str) -> dict[str, int]:
+    """The stored layout of a table: buckets, and files of each; the defaults for one that was never written."""
+    files, path = _path(spark, f"{folder}/{name}/{_PROPERTIES}")
+    return json.loads(spark.read.text(str(path)).head()[0]) if files.exists(path) else {"buckets": BUCKETS, "files": FILES}
+
+
 def load_table(spark: SparkSession, folder: str, name: str, bucket: bool = False) -> DataFrame:
     """A table with its fixed schema; no inference. ``bucket``: with video_bucket too, by which files are skipped."""
     if "video_id" not in SCHEMAS[name]:
@@ -35,14 +55,35 @@ def load_table(spark: SparkSession, folder: str, name: str, bucket: bool = False
     return df if bucket else df.drop("video_bucket")
 
 
-def save_table(df: DataFrame, folder: str, name: str, mode: str = "append") -> None:
-    """Writes a table with its fixed schema; those with a video id by bucket, and ``overwrite`` replaces the buckets in df only."""
-    df = df.to(df.sparkSession.createDataFrame([], SCHEMAS[name]).schema)
+def load_for_videos(spark: SparkSession, folder: str, name: str, ids: DataFrame) -> DataFrame:
+    """All rows of the buckets that the videos ``ids`` lie in; other buckets' files aren't opened."""
+    touched = ids.select(video_bucket(layout(spark, folder, name)["buckets"]).alias("video_bucket")).distinct()  # a row per bucket at most
+    return load_table(spark, folder, name, bucket=True).join(F.broadcast(touched), "video_bucket", "left_semi").drop("video_bucket")
+
+
+def save_table(df: DataFrame, folder: str, name: str, mode: str = "append", buckets: int | None = None, files: int | None = None) -> None:
+    """Writes a table with its fixed schema; those with a video id by bucket, and ``overwrite`` replaces the buckets in df only.
+
+    The layout is set by the first write and kept with the table: take about a bucket per GB that it will grow to,
+    and more files where a bucket is too much for one task.
+    """
+    spark = df.sparkSession
+    df = df.to(spark.createDataFrame([], SCHEMAS[name]).schema)
     if "video_id" not in df.columns:
         df.write.mode(mode).parquet(f"{folder}/{name}")
         return
-    out = df.withColumn("video_bucket", video_bucket()).repartition("video_bucket")
+    is_new = not exists(spark, folder, name)
+    own = layout(spark, folder, name)
+    if is_new:
+        own = {"buckets": buckets or own["buckets"], "files": files or own["files"]}
+    part = F.pmod(F.xxhash64("video_id", F.lit(1)), F.lit(own["files"]))
+    out = df.withColumn("video_bucket", video_bucket(own["buckets"])).repartition("video_bucket", part)
     out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("video_bucket").parquet(f"{folder}/{name}")
+    if is_new:
+        out_files, path = _path(spark, f"{folder}/{name}/{_PROPERTIES}")
+        stream = out_files.create(path, True)
+        stream.write(bytearray(json.dumps(own).encode()))
+        stream.close()
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:

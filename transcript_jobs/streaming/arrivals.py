@@ -1,7 +1,8 @@
 """New transcripts as they arrive: each batch is cleaned, chunked, embedded and put in place of the video's older rows.
 
-State is in the tables alone. Videos that are indexed are passed over, so a batch that is delivered again changes
-nothing; a table is replaced by bucket, so only the buckets of a batch's videos are written.
+State is in the tables alone. Videos that are ready are passed over, so a batch that is delivered again changes
+nothing and calls no model; a table is replaced by bucket, so only the buckets of a batch's videos are written.
+Segments are also logged in files that are never rewritten: questions are mined from these, once.
 """
 
 from __future__ import annotations
@@ -11,68 +12,86 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from transcript_jobs import params as P
 from transcript_jobs.jobs import flows
 from transcript_jobs.operators import segments
 from transcript_jobs.sources import tables
+from transcript_jobs.sources.written import written
 
-
-def _known(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
-    """The table, or None as long as nothing was written to it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return tables.load_table(spark, folder, name) if exists else None
+ARRIVED = "video_id string, seg_idx int, start double, end double, text string"
+FAILURES = "video_id string, error string"
+_FIELDS = ("url", "title", "channel", "duration", "thumbnail", "language")
 
 
 def _replace(spark: SparkSession, folder: str, name: str, rows: DataFrame, ids: DataFrame) -> None:
     """Writes ``rows`` and what else the touched buckets hold; they are materialised before they are overwritten."""
-    stored = _known(spark, folder, name)
     rows = rows.to(spark.createDataFrame([], tables.SCHEMAS[name]).schema)
-    if stored is not None:
-        touched = ids.select(tables.video_bucket().alias("video_bucket")).distinct()  # tables.BUCKETS rows at most
-        same = tables.load_table(spark, folder, name, bucket=True).join(F.broadcast(touched), "video_bucket", "left_semi")
-        rows = tables.replace_for_videos(same.drop("video_bucket"), rows, ids)
-    rows = rows.checkpoint()
-    tables.save_table(rows, folder, name, "overwrite")
+    if tables.exists(spark, folder, name):
+        rows = tables.replace_for_videos(tables.load_for_videos(spark, folder, name, ids), rows, ids)
+    tables.save_table(written(rows), folder, name, "overwrite")
+
 
+def index_batch(batch: DataFrame, folder: str, embedder=None, batch_id: int = 0) -> None:
+    """One batch of (video_id, raw) into videos, transcripts, segments and chunks; videos that are ready are passed over.
 
-def index_batch(batch: DataFrame, folder: str, embedder=None) -> None:
-    """One batch of (video_id, raw) into the tables segments and chunks; indexed videos are passed over."""
+    A video with a chunk becomes ready, another failed (it is taken up again when it arrives again). An older
+    summary and the time of creation stay. ``videos`` is written last, so a batch that breaks off is done again.
+    """
     spark = batch.sparkSession
-    stored = _known(spark, folder, "chunks")
-    if stored is not None:
-        batch = batch.join(stored.select("video_id").distinct(), "video_id", "left_anti")
-    raw = tables.explode_segments(batch.dropDuplicates(["video_id"])).checkpoint()
-    ids = raw.select("video_id").distinct()
-    clean = segments.clean_segments(raw)
+    batch = batch.filter("video_id IS NOT NULL")
+    if tables.exists(spark, folder, "videos"):
+        ready = tables.load_for_videos(spark, folder, "videos", batch).filter(F.col("status") == P.READY)
+        batch = batch.join(ready.select("video_id"), "video_id", "left_anti")
+    batch = written(batch.groupBy("video_id").agg(F.min("raw").alias("raw")))
+    if batch.isEmpty():
+        return
+    raw = written(tables.explode_segments(batch))
+    ids = batch.select("video_id")
+    clean = written(segments.clean_segments(raw))
+    chunks = written(flows.index_videos(raw, embedder))
     _replace(spark, folder, "segments", clean, ids)
-    _replace(spark, folder, "chunks", flows.index_videos(raw, embedder), ids)
-
-
-def question_batch(batch: DataFrame, folder: str, generator=None) -> None:
-    """Questions of the batch's segments, in place of those stored for its videos."""
+    _replace(spark, folder, "chunks", chunks, ids)
+    about = batch.select("video_id", *[F.get_json_object("raw", f"$.{c}").alias(c) for c in _FIELDS])
+    times = clean.groupBy("video_id").agg(F.max("end").alias("_end"))
+    texts = about.select("video_id", "language").join(times, "video_id").join(segments.full_text(clean), "video_id")
+    _replace(spark, folder, "transcripts", texts.withColumnRenamed("_end", "duration"), ids)
+    clean.write.mode("overwrite").parquet(f"{folder}/arrived/{batch_id}")
+    incoming = about.withColumn("updated_at", F.current_timestamp())
+    old = tables.load_for_videos(spark, folder, "videos", ids) if tables.exists(spark, folder, "videos") else spark.createDataFrame([], tables.SCHEMAS["videos"])
+    done = tables.upsert_videos(old.join(ids, "video_id", "left_semi"), incoming).join(chunks.select("video_id", F.lit(True).alias("_has")).distinct(), "video_id", "left")
+    _replace(spark, folder, "videos", done.withColumn("status", F.when(F.col("_has"), P.READY).otherwise(P.FAILED)), ids)
+
+
+def question_batch(batch: DataFrame, folder: str, generator=None, embedder=None) -> None:
+    """Questions of the batch's segments, in place of those stored for its videos; if that fails, they have none, and the failure is stored."""
+    spark = batch.sparkSession
+    batch = written(batch.dropDuplicates(["video_id", "seg_idx"]))
     ids = batch.select("video_id").distinct()
-    found = flows.mine_questions(batch.select("video_id", "seg_idx", "start", "end", "text"), generator)
-    _replace(batch.sparkSession, folder, "questions", found, ids)
+    try:
+        _replace(spark, folder, "questions", flows.mine_questions(batch, generator, embedder), ids)
+    except Exception as e:  # whatever the user's model does, later batches go on
+        rows = ids.withColumn("error", F.lit(f"{type(e).__name__}: {str(e)[:500]}"))
+        rows.write.mode("append").parquet(f"{folder}/question_failures")
 
 
 def stream_index(spark: SparkSession, source: str, folder: str, checkpoint: str, embedder=None):
-    """Starts a query that indexes what is in ``source`` (JSON lines with video_id and segments) and then ends."""
+    """Starts a query that indexes what is in ``source`` (JSON lines with video_id, segments and metadata) and then ends."""
     _shared(spark, checkpoint)
     text = spark.readStream.text(source).select(F.get_json_object("value", "$.video_id").alias("video_id"), F.col("value").alias("raw"))
     return (
-        text.writeStream.foreachBatch(lambda df, _: index_batch(df, folder, embedder))
+        text.writeStream.foreachBatch(lambda df, n: index_batch(df, folder, embedder, n))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def stream_questions(spark: SparkSession, folder: str, checkpoint: str, generator=None):
-    """Starts a query over the files of the table segments; a failing batch leaves its videos without questions."""
+def stream_questions(spark: SparkSession, folder: str, checkpoint: str, generator=None, embedder=None):
+    """Starts a query over the segments that stream_index logged; each is mined once, whatever else its tables get."""
     _shared(spark, checkpoint)
-    files = spark.readStream.schema(tables.SCHEMAS["segments"] + ", video_bucket int").parquet(f"{folder}/segments")
+    files = spark.readStream.schema(ARRIVED).option("recursiveFileLookup", "true").parquet(f"{folder}/arrived")
     return (
-        files.writeStream.foreachBatch(lambda df, _: question_batch(df, folder, generator))
+        files.writeStream.foreachBatch(lambda df, _: question_batch(df, folder, generator, embedder))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -80,8 +99,6 @@ def stream_questions(spark: SparkSession, folder: str, checkpoint: str, generato
 
 
 def _shared(spark: SparkSession, checkpoint: str) -> None:
-    """Checkpoints of batches go to the session's folder, or beside the stream's own where none is set."""
+    """What batches write goes to the session's folder, or beside the stream's own where none is set."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(checkpoint, "batches"))
-
-
