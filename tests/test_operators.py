@@ -268,13 +268,13 @@ def test_tables_and_streams(spark, tmp_path):
 def test_lifecycle(spark, tmp_path):
     """Videos become ready or failed with their transcript; a batch that comes again calls no model; a failing model stops nothing."""
     folder, one = str(tmp_path / "t"), lambda v, texts, **more: (v, json.dumps({"video_id": v, "language": "en", "title": f"about {v}", **more, "segments": [{"start": i, "end": i + 1, "text": t} for i, t in enumerate(texts)]}))
-    rows = [one("v1", ["what is this?", "b c"]), one("v2", ["  "]), one("v3", ["why so, and how is that done?"])]
+    rows = [one("v1", ["what is a network?", "b c"]), one("v2", ["  "]), one("v3", ["why so, and how is that done?"])]
     batch = spark.createDataFrame(rows, "video_id string, raw string")
     arrivals.index_batch(batch, folder, batch_id=0)
     v = {r["video_id"]: r for r in tables.load_table(spark, folder, "videos").collect()}
     assert {k: r["status"] for k, r in v.items()} == {"v1": "ready", "v2": "failed", "v3": "ready"} and v["v1"]["title"] == "about v1" and v["v1"]["url"] == ""
     t = {r["video_id"]: (r["language"], r["duration"], r["full_text"]) for r in tables.load_table(spark, folder, "transcripts").collect()}
-    assert t == {"v1": ("en", 2.0, "what is this? b c"), "v3": ("en", 1.0, "why so, and how is that done?")}
+    assert t == {"v1": ("en", 2.0, "what is a network? b c"), "v3": ("en", 1.0, "why so, and how is that done?")}
 
     class Never:
         def load(self):

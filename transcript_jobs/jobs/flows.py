@@ -16,6 +16,10 @@ from transcript_jobs.operators import chat, chunking, index, models, questions,
 from transcript_jobs.sources.written import written
 
 
+#: In place of an embedder: the requests have their vectors already, in ``embedding``.
+KEEP_VECTORS = object()
+
+
 def ingest(raw: DataFrame, max_words: int = P.CHUNK_WORDS) -> dict[str, DataFrame]:
     """segments, full_text, chunks and rejected of raw segments (video_id, pos, start, end, text)."""
     clean = segments.clean_segments(raw)
@@ -54,7 +58,8 @@ def answer_questions(requests: DataFrame, history: DataFrame, chunks: DataFrame,
     again = written(models.generate_column(r.filter(unclear), "messages", generator, "rewritten")).drop("error")
     r = again.unionByName(r.filter(~unclear).withColumn("rewritten", F.lit(None).cast("string"))).drop("messages")
     query = C.accept_rewrite(F.col("message"), F.col("rewritten"), F.col("history_size"), F.col("follows"))
-    r = written(models.embed_column(r.withColumn("search_query", query), "search_query", embedder))
+    r = r.withColumn("search_query", query)
+    r = written(r if embedder is KEEP_VECTORS else models.embed_column(r, "search_query", embedder))
     found = retrieval.fit_word_budget(retrieval.relevant_chunks(retrieval.retrieve_chunks_blocked(r, chunks)))
     rows = written(r.drop("embedding").join(found, ["question_id", "video_id"], "left"))
     known = F.col("chunks").isNotNull()

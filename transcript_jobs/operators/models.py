@@ -81,6 +81,16 @@ class FirstQuestionGenerator:
         return lambda batch: [one(m) for m in batch]
 
 
+@dataclass(frozen=True)
+class FixedGenerator:
+    """Answers with the same text always."""
+
+    reply: str
+
+    def load(self) -> Callable[[list[list[dict]]], list[str]]:
+        return lambda batch: [self.reply] * len(batch)
+
+
 def generate_column(df: DataFrame, messages_col: str, generator=None, out: str = "output", batch_size: int = P.SUMMARY_BATCH) -> DataFrame:
     """``df`` with ``out`` and ``error``: completions in batches; out of memory halves the batch, down to one.
 

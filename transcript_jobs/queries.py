@@ -9,6 +9,7 @@ from transcript_jobs import params as P
 from transcript_jobs.functions import citations as C
 from transcript_jobs.functions import summary_json as J
 from transcript_jobs.functions import text as T
+from transcript_jobs.jobs import flows
 from transcript_jobs.operators import chat, chunking, index, models, quality, questions, retrieval, segments, summaries
 from transcript_jobs.sources import tables
 from transcript_jobs.sources import testdata as D
@@ -361,13 +362,13 @@ for _name, (_f, _limits) in (_OWN | {"rank_questions": (rank_questions, {"rank":
 
 @register(
     "grounding_overlap",
-    f"""{_SEG}, {_WINDOWS}, p AS (SELECT w.video_id, segment_index, {_of(_CONTENT, "left(text, 80)")} AS a, {_of(_CONTENT, "right(text, 160)")} AS b FROM windows w)
+    f"""{_SEG}, {_WINDOWS}, p AS (SELECT w.video_id, segment_index, {_of(_CONTENT, "left(text, length(text) // 2)")} AS a, {_of(_CONTENT, "substr(text, length(text) // 2 + 1)")} AS b FROM windows w)
 SELECT video_id, segment_index, len(a) AS n_words, CASE WHEN len(a) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / len(a), 6) END::DOUBLE AS overlap FROM p""",
 )
 def grounding_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beginning of each window held against its end."""
-    w = _windows(spark, sf_dir)
-    a, b = F.substring("text", 1, 80), F.when(F.length("text") > 160, F.expr("right(text, 160)")).otherwise(F.col("text"))
+    """The first half of each window held against its second."""
+    w, half = _windows(spark, sf_dir), F.floor(F.length("text") / 2).cast("int")
+    a, b = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
     return w.select("video_id", "segment_index", F.size(T.content_words(a)).cast("long").alias("n_words"), F.round(T.grounding_overlap(a, b), 6).alias("overlap"))
 
 
@@ -392,12 +393,19 @@ def videos_to_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.videos_to_process(v, index.indexed_videos(v, _chunks(spark, sf_dir))).select("video_id")
 
 
-@register("index_videos", f"{_SEG}, n AS (SELECT video_id, sum(len(string_split(text, ' '))) AS words FROM segments GROUP BY video_id) SELECT video_id, words::BIGINT AS words, 1.0::DOUBLE AS norm FROM n")
+@register(
+    "index_videos",
+    f"""{_REC}, {_chunk_sql(P.CHUNK_WORDS)}, w AS (
+  SELECT video_id, chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM chunks
+), t AS (
+  SELECT video_id, chunk_id, ('0x' || left(md5(w), 8))::BIGINT % {P.DIMENSION} AS place, sum(1 - 2 * (('0x' || substr(md5(w), 9, 1))::BIGINT % 2))::DOUBLE AS v FROM w GROUP BY ALL
+)
+SELECT video_id, chunk_id, place::INT AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY video_id, chunk_id)), 3) AS weight FROM t WHERE v <> 0""",
+)
 def index_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with vectors of the hashing embedder, as words and the vectors' mean length of each video."""
-    c = models.embed_column(_chunks(spark, sf_dir), "text")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return c.groupBy("video_id").agg(F.sum("word_count").alias("words"), F.round(F.avg(norm), 4).alias("norm"))
+    """The flow: chunks with vectors of the hashing embedder; each vector's places that aren't zero."""
+    e = flows.index_videos(D.segments(spark, sf_dir)).select("video_id", "chunk_id", F.posexplode("embedding").alias("place", "x"))
+    return e.filter("x <> 0").select("video_id", "chunk_id", "place", F.round(F.col("x").cast("double"), 3).alias("weight"))
 
 
 # --- retrieval -------------------------------------------------------------------------------------------------
@@ -490,16 +498,16 @@ def build_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The users' messages as requests: some blank, some of videos that aren't known, some of other sessions' videos."""
     m = D.messages(spark, sf_dir).filter("role = 'user'")
-    k = F.col("session_id").cast("long")
+    k, n = F.col("session_id").cast("long"), max(1, D.documents(spark, sf_dir).count())
     return m.select(
         "session_id", "msg_id",
-        F.when(k % 7 == 6, F.lit("  ")).otherwise(F.concat(F.lit(" vid"), F.lpad(((k * 3) % 1000).cast("string"), 8, "0"))).alias("video_id"),
+        F.when(k % 7 == 6, F.lit("  ")).otherwise(F.concat(F.lit(" vid"), F.lpad(((k * 3) % n).cast("string"), 8, "0"))).alias("video_id"),
         F.when(F.col("msg_id") % 5 == 4, F.lit(" \n ")).otherwise(F.concat("message", F.lit("  "))).alias("message"),
     )
 
 
 _REQUESTS = f"""{D.MESSAGES}, requests AS (
-  SELECT session_id, msg_id, CASE WHEN session_id::BIGINT % 7 = 6 THEN '' ELSE 'vid' || lpad(((session_id::BIGINT * 3) % 1000)::VARCHAR, 8, '0') END AS video_id,
+  SELECT session_id, msg_id, CASE WHEN session_id::BIGINT % 7 = 6 THEN '' ELSE 'vid' || lpad(((session_id::BIGINT * 3) % (SELECT count(*) FROM documents))::VARCHAR, 8, '0') END AS video_id,
          CASE WHEN msg_id % 5 = 4 THEN '' ELSE left(regexp_replace(message, '^\\s+|\\s+$', '', 'g'), 1000) END AS message
   FROM messages WHERE role = 'user'
 )"""
@@ -517,14 +525,14 @@ def valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "resolve_sessions",
-    f"""WITH {_REQUESTS}, own AS (SELECT DISTINCT session_id, 'vid' || lpad((session_id::BIGINT * 3 % 1000)::VARCHAR, 8, '0') AS video_id FROM messages WHERE session_id::BIGINT % 2 = 0)
+    f"""WITH {_REQUESTS}, own AS (SELECT DISTINCT session_id, 'vid' || lpad((session_id::BIGINT * 3 % (SELECT count(*) FROM documents))::VARCHAR, 8, '0') AS video_id FROM messages WHERE session_id::BIGINT % 2 = 0)
 SELECT r.msg_id, r.video_id, CASE WHEN o.session_id IS NOT NULL THEN r.session_id ELSE 'new-' || r.session_id END AS session_id
 FROM requests r LEFT JOIN own o ON o.session_id = r.session_id AND o.video_id = r.video_id""",
 )
 def resolve_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only even sessions are stored; the new ids are derived, so that runs agree."""
-    k = F.col("session_id").cast("long")
-    s = D.messages(spark, sf_dir).select("session_id", F.concat(F.lit("vid"), F.lpad((k * 3 % 1000).cast("string"), 8, "0")).alias("video_id")).filter(k % 2 == 0).distinct()
+    k, n = F.col("session_id").cast("long"), max(1, D.documents(spark, sf_dir).count())
+    s = D.messages(spark, sf_dir).select("session_id", F.concat(F.lit("vid"), F.lpad((k * 3 % n).cast("string"), 8, "0")).alias("video_id")).filter(k % 2 == 0).distinct()
     r = _requests(spark, sf_dir).withColumn("video_id", F.trim("video_id"))
     return chat.resolve_sessions(r, s, F.concat(F.lit("new-"), "session_id")).select("msg_id", "video_id", "session_id")
 
@@ -679,13 +687,13 @@ def chunk_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = summaries.planned_chunks(_chunks(spark, sf_dir, SMALL_CHUNK))
-    text = F.when(F.col("mode") == "direct", F.col("text")).otherwise(F.when(F.col("chunk_id") % 5 == 4, F.lit("")).otherwise(F.substring("text", 1, 60)))
+    text = F.when(F.col("mode") == "direct", F.col("text")).otherwise(F.when(F.col("chunk_id") % 5 == 4, F.lit("")).otherwise(F.reverse("text")))
     return summaries.combine_sections(c.withColumn("text", text))
 
 
 _COMBINED = """sections AS (
   SELECT video_id, chunk_id, CASE WHEN total_words <= 700 THEN 'direct' ELSE 'map_reduce' END AS mode,
-         CASE WHEN total_words <= 700 THEN text WHEN chunk_id % 5 = 4 THEN '' ELSE trim(left(text, 60)) END AS text
+         CASE WHEN total_words <= 700 THEN text WHEN chunk_id % 5 = 4 THEN '' ELSE trim(reverse(text)) END AS text
   FROM chunks JOIN plan USING (video_id)
 ), combined AS (
   SELECT video_id, mode, string_agg(CASE WHEN mode = 'direct' THEN '' ELSE 'Section ' || chunk_id || ': ' END || text, chr(10) || chr(10) ORDER BY chunk_id) AS combined
@@ -695,7 +703,7 @@ _COMBINED = """sections AS (
 
 @register("combine_sections", f"{_C50}, {_PLAN}, {_COMBINED} SELECT * FROM combined")
 def combine_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beginning of a chunk stands for its summary; every fifth is empty."""
+    """A chunk's text backwards stands for its summary; every fifth is empty."""
     return _sections(spark, sf_dir)
 
 
@@ -709,41 +717,6 @@ def final_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.final_prompts(_sections(spark, sf_dir)).select("video_id", F.col("messages")[1]["content"].alias("user_message"))
 
 
-def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model outputs made of the first lines: plain, fenced and cut JSON, and prose."""
-    lines = F.slice(F.filter(F.split(F.translate("text", '"\\', ""), "\n"), lambda x: F.trim(x) != ""), 1, 20)
-    body = F.concat(F.lit('{"summary_lines": ["'), F.array_join(lines, '",\n"'), F.lit('"], "main_topics": ["a", " b "], "key_points": [], "conclusions": ["c"]}'))
-    k = F.col("doc_id") % 4
-    out = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 2, F.expr("left(body, length(body) - 2)")).otherwise(F.substring("text", 1, 100))
-    return D.documents(spark, sf_dir).withColumn("body", body).select("doc_id", out.alias("raw"))
-
-
-_OUTPUTS = """WITH o AS (
-  SELECT doc_id, doc_id % 4 AS k, left(text, 100) AS prose,
-         array_to_string(list_transform(list_filter(string_split(replace(replace(text, '"', ''), chr(92), ''), chr(10)), lambda x: trim(x) <> '')[1:20], lambda x: trim(x)), chr(10)) AS summary
-  FROM documents
-)"""
-
-
-@register("parse_summary", f"""{_OUTPUTS} SELECT doc_id, CASE WHEN k < 3 AND summary <> '' THEN summary END AS summary, CASE WHEN k < 3 AND summary <> '' THEN 'a,b' END AS topics FROM o""")
-def parse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _outputs(spark, sf_dir).withColumn("p", J.parse_summary(F.col("raw")))
-    return p.select("doc_id", F.col("p.summary").alias("summary"), F.array_join("p.main_topics", ",").alias("topics"))
-
-
-@register("final_summary", f"""{_OUTPUTS} SELECT doc_id, CASE WHEN k < 3 AND summary <> '' THEN summary ELSE prose END AS summary, k = 3 AS raw FROM o WHERE k = 3 OR summary <> ''""")
-def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _outputs(spark, sf_dir).withColumn("f", J.final_summary(F.col("raw")))
-    return f.select("doc_id", F.col("f.summary").alias("summary"), F.col("f.raw_output").isNotNull().alias("raw")).filter("NOT raw OR doc_id % 4 = 3")
-
-
-@register("salvage_lines", f"""{_OUTPUTS} SELECT doc_id, greatest(len(string_split(summary, chr(10))) - 2, 0)::BIGINT AS n FROM o WHERE k = 0""")
-def salvage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole rows between the first and the last of plain JSON: those two share a row with keys."""
-    n = F.coalesce(F.size(J.salvage_lines(F.col("raw"))), F.lit(0))
-    return _outputs(spark, sf_dir).filter("doc_id % 4 = 0").select("doc_id", F.greatest(n, F.lit(0)).cast("long").alias("n"))
-
-
 def _whole_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model outputs made of all lines of every text: plain, fenced and cut JSON, and prose."""
     lines = F.filter(F.split(F.translate("text", '"\\', ""), "\n"), lambda x: F.trim(x) != "")
@@ -764,12 +737,14 @@ _WHOLE_OUTPUTS = """WITH l AS (
 )"""
 
 
+@register("parse_summary", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN summary END AS summary, CASE WHEN parsed THEN 'a,b' END AS topics FROM o""")
 @register("parse_summary_whole", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN summary END AS summary, CASE WHEN parsed THEN 'a,b' END AS topics FROM o""")
 def parse_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _whole_outputs(spark, sf_dir).withColumn("p", J.parse_summary(F.col("raw")))
     return p.select("doc_id", F.col("p.summary").alias("summary"), F.array_join("p.main_topics", ",").alias("topics"))
 
 
+@register("final_summary", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN summary ELSE raw END AS summary, raw IS NOT NULL AND NOT parsed AS raw FROM o""")
 @register("final_summary_whole", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN summary ELSE raw END AS summary, raw IS NOT NULL AND NOT parsed AS raw FROM o""")
 def final_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document, those that nothing can be read of too."""
@@ -777,6 +752,7 @@ def final_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", F.col("f.summary").alias("summary"), F.col("f.raw_output").isNotNull().alias("raw"))
 
 
+@register("salvage_lines", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN greatest(n - CASE k WHEN 2 THEN 1 ELSE 2 END, 0) ELSE 0 END::BIGINT AS n FROM o""")
 @register("salvage_lines_whole", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN greatest(n - CASE k WHEN 2 THEN 1 ELSE 2 END, 0) ELSE 0 END::BIGINT AS n FROM o""")
 def salvage_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole rows between the first and the last of JSON, plain or fenced; cut JSON ends in a quote, so its last row counts too. Prose has none."""
@@ -826,14 +802,14 @@ def validate_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "normalize_metadata",
-    """SELECT doc_id::VARCHAR AS video_id, CASE WHEN doc_id % 3 = 0 THEN 'Unknown title' ELSE left(text, 20) END AS title,
-       CASE WHEN doc_id % 2 = 0 THEN source WHEN doc_id % 5 = 0 THEN 'Unknown channel' ELSE lang END AS channel, '' AS thumbnail FROM documents WHERE left(text, 20) <> ''""",
+    """SELECT doc_id::VARCHAR AS video_id, CASE WHEN doc_id % 3 = 0 OR text = '' THEN 'Unknown title' ELSE text END AS title,
+       CASE WHEN doc_id % 2 = 0 THEN source WHEN doc_id % 5 = 0 THEN 'Unknown channel' ELSE lang END AS channel, '' AS thumbnail FROM documents""",
 )
 def normalize_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, k = D.documents(spark, sf_dir).filter("left(text, 20) <> ''"), F.col("doc_id")
+    d, k = D.documents(spark, sf_dir), F.col("doc_id")
     return segments.normalize_metadata(
         d.select(
-            k.cast("string").alias("video_id"), F.when(k % 3 != 0, F.substring("text", 1, 20)).alias("title"), F.when(k % 2 == 0, F.col("source")).otherwise("").alias("channel"),
+            k.cast("string").alias("video_id"), F.when(k % 3 != 0, F.col("text")).alias("title"), F.when(k % 2 == 0, F.col("source")).otherwise("").alias("channel"),
             F.when(k % 5 != 0, F.col("lang")).alias("uploader"), F.lit(None).cast("string").alias("thumbnail"),
         )
     )
@@ -850,17 +826,24 @@ def format_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.documents(spark, sf_dir).select("doc_id", T.format_timestamp(s).alias("stamp"), T.format_duration(d).alias("duration"), T.timestamp_url(F.lit("x"), s).alias("url"))
 
 
+_LABELLED = r"(?i)^\s*(?:answer|question|response)\s*:\s*"
+
+
 @register(
     "normalize_question",
-    rf"""{_SEG}, t AS (SELECT video_id, seg_idx, regexp_replace(text, '^"+|"+$', '', 'g') AS t FROM segments WHERE NOT regexp_matches(text, '["'']') AND NOT regexp_matches(text, '(?i)^\s*(?:answer|question|response)\s*:')),
-q AS (SELECT *, CASE WHEN t LIKE '%?' THEN t ELSE regexp_replace(t, '[.!]+$', '') || '?' END AS q FROM t)
+    rf"""{_SEG}, s AS (
+  SELECT video_id, seg_idx, CASE seg_idx % 3 WHEN 0 THEN ' Answer: "' || text || '" ' WHEN 1 THEN ' ''' || text || ''' ' ELSE text END AS said FROM segments
+), l AS (SELECT *, trim(regexp_replace(trim(said), '{_LABELLED}', '')) AS a FROM s),
+t AS (SELECT *, trim(regexp_replace(regexp_replace(a, '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g')) AS t FROM l),
+q AS (SELECT *, CASE WHEN t = '' THEN '' WHEN t LIKE '%?' THEN t ELSE regexp_replace(t, '[.!]+$', '') || '?' END AS q FROM t)
 SELECT video_id, seg_idx, upper(left(q, 1)) || substr(q, 2) AS question, {_SCORE.replace("question", "q")}::INT AS score FROM q""",
 )
 def normalize_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments, quoted and labelled, as answers of a model."""
-    s = _clean(spark, sf_dir).filter(~F.col("text").rlike("[\"']") & ~F.col("text").rlike(T.LABEL))
-    q = T.normalize_question(F.concat(F.lit(' Answer: "'), "text", F.lit('" ')))
-    return s.select("video_id", "seg_idx", q.alias("question"), T.relevance_score(q).cast("int").alias("score"))
+    """Every segment as an answer of a model: labelled and quoted, in single quotes, or as it is."""
+    k = F.col("seg_idx") % 3
+    said = F.when(k == 0, F.concat(F.lit(' Answer: "'), "text", F.lit('" '))).when(k == 1, F.concat(F.lit(" '"), "text", F.lit("' "))).otherwise(F.col("text"))
+    q = T.normalize_question(said)
+    return _clean(spark, sf_dir).select("video_id", "seg_idx", q.alias("question"), T.relevance_score(q).cast("int").alias("score"))
 
 
 @register(
@@ -908,11 +891,7 @@ def transcript_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.sliced_agreement(whole("thin").withColumn("run", F.lit("thinned")), whole("text"))
 
 
-@register("usable_chunks", """SELECT doc_id FROM documents WHERE regexp_replace(left(text, 3), '\\s', '', 'g') <> ''""")
-def usable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.usable_chunks(D.documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 3).alias("text"))).select("doc_id")
-
-
+@register("usable_chunks", """SELECT doc_id FROM documents WHERE regexp_replace(text, '\\s', '', 'g') <> ''""")
 @register("usable_chunks_whole", """SELECT doc_id FROM documents WHERE regexp_replace(text, '\\s', '', 'g') <> ''""")
 def usable_chunks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.usable_chunks(D.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id")

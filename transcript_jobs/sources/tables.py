@@ -44,7 +44,12 @@ def exists(spark: SparkSession, folder: str, name: str) -> bool:
 def layout(spark: SparkSession, folder: str, name: str) -> dict[str, int]:
     """The stored layout of a table: buckets, and files of each; the defaults for one that was never written."""
     files, path = _path(spark, f"{folder}/{name}/{_PROPERTIES}")
-    return json.loads(spark.read.text(str(path)).head()[0]) if files.exists(path) else {"buckets": BUCKETS, "files": FILES}
+    if not files.exists(path):
+        return {"buckets": BUCKETS, "files": FILES}
+    stream = files.open(path)
+    stored = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return json.loads(stored)
 
 
 def load_table(spark: SparkSession, folder: str, name: str, bucket: bool = False) -> DataFrame:

@@ -5,21 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in spark.checkpoint.dir: what a model made is made once, and a lost executor costs a read.
-
-    Where the setting is missing, a folder is made on a single machine; on a cluster that is an error.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where the setting is missing, a folder is made on a single machine; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/written-{uuid.uuid4().hex}"
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: what a model made is made once, and a lost executor costs a read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
