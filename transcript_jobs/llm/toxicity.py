@@ -134,7 +134,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
     vec = (rng.uniform(-0.5, 0.5, (BUCKETS, WIDTH)) / WIDTH).astype(np.float32) * counts
     soft = rng.uniform(-1, 1, (WIDTH, 1)) * np.array([[-1.0, 1.0]]) * WINDOW / 4
     state = [np.zeros_like(x) for x in (vec, vec, soft, soft, bias, bias)]
-    every = [(i, at) for i, d in enumerate(docs) for at in range(0, max(1, len(d) - WINDOW // 2), WINDOW)]
+    sizes = np.array([len(d) for d in docs])
+    n_windows = -(-np.maximum(1, sizes - WINDOW // 2) // WINDOW)
+    # (document, place) of all windows side by side
+    every = np.stack([np.repeat(np.arange(len(docs)), n_windows), (np.arange(n_windows.sum()) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)) * WINDOW], axis=1)
     total, step = len(every) + (ROUNDS - 1) * (2 * len(docs) - int(labels.sum())), 0
     batch = max(16, min(BATCH, total // STEPS))
 
@@ -146,12 +149,13 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
         windows = every
         if turn:
             own = shares()
-            windows = [(i, highest(own[d])[1]) for i, d in enumerate(docs)]
-            windows += [(i, int(rng.integers(0, max(1, len(d) - WINDOW + 1)))) for i, d in enumerate(docs) if not labels[i]]
+            top = [(i, highest(own[d])[1]) for i, d in enumerate(docs)]
+            others = [(i, int(rng.integers(0, max(1, len(d) - WINDOW + 1)))) for i, d in enumerate(docs) if not labels[i]]
+            windows = np.array(top + others, np.int64)
         mixed = rng.permutation(len(windows))
         for at in range(0, len(mixed), batch):
-            part = [windows[k] for k in mixed[at : at + batch]]
-            words = [docs[i][x : x + WINDOW] for i, x in part]
+            part = windows[mixed[at : at + batch]]
+            words = [docs[i][x : x + WINDOW] for i, x in part.tolist()]
             edges = np.cumsum([0, *map(len, words)])
             uniq, word = np.unique(np.concatenate(words), return_inverse=True)
             grams, sizes = grams_of(uniq)
@@ -160,7 +164,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
             z = dv @ soft + bias
             prob = np.exp(z - z.max(axis=1, keepdims=True))
             prob /= prob.sum(axis=1, keepdims=True)
-            prob[np.arange(len(part)), labels[[i for i, _ in part]]] -= 1
+            prob[np.arange(len(part)), labels[part[:, 0]]] -= 1
             prob /= len(part)
             g_doc = np.repeat(prob @ soft.T / WINDOW, np.diff(edges), axis=0)
             g_word = np.stack([np.bincount(word, g_doc[:, k], len(uniq)) for k in range(WIDTH)], axis=1) / sizes[:, None]
