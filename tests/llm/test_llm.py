@@ -145,7 +145,7 @@ def test_packing_over_partitions(spark, docs):
 # --- near duplicates
 
 
-def near_truth(rows):
+def near_truth(rows, percent=85):
     """Components by comparing all pairs of word shingle sets."""
     lower = {i: i + 32 for i in range(65, 91)}
     sets = []
@@ -162,7 +162,7 @@ def near_truth(rows):
 
     for i, j in itertools.combinations(range(len(rows)), 2):
         n = len(sets[i] & sets[j])
-        if (n and 100 * n >= 85 * len(sets[i] | sets[j])) or (comp[i] is not None and comp[i] == comp[j] and sets[i] and sets[j]):
+        if (n and 100 * n >= percent * len(sets[i] | sets[j])) or (comp[i] is not None and comp[i] == comp[j] and sets[i] and sets[j]):
             same[find(i)] = find(j)
     least: dict = {}
     for i, k in enumerate(comp):
@@ -686,7 +686,7 @@ def test_pipeline(spark, tmp_path):
             got = labels.filter(labelled.held_out(F.col("doc_id"))).toPandas()
             assert (got.doc_id.isin(kept) == (got.quality == 1)).mean() > 0.95
         if name == "near_dups":
-            truth = near_truth([(r["doc_id"], r["text"]) for r in before.collect()])
+            truth = near_truth([(r["doc_id"], r["text"]) for r in before.collect()], C.NEAR_PERCENT)
             assert sorted(kept) == sorted({c for _, _, c in truth})
         if name == "mixing":
             size = lambda d: {r["source"]: r["n"] for r in d.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
