@@ -400,7 +400,7 @@ def videos_to_process(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), t AS (
   SELECT video_id, chunk_id, ('0x' || left(md5(w), 8))::BIGINT % {P.DIMENSION} AS place, sum(1 - 2 * (('0x' || substr(md5(w), 9, 1))::BIGINT % 2))::DOUBLE AS v FROM w GROUP BY ALL
 )
-SELECT video_id, chunk_id, place::INT AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY video_id, chunk_id)), 3) AS weight FROM t WHERE v <> 0""",
+SELECT video_id, chunk_id, place::INT AS place, round((v / sqrt(sum(v * v) OVER (PARTITION BY video_id, chunk_id)))::FLOAT::DOUBLE, 3) AS weight FROM t WHERE v <> 0""",
 )
 def index_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flow: chunks with vectors of the hashing embedder; each vector's places that aren't zero."""
