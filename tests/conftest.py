@@ -2,6 +2,7 @@ import os
 import sys
 import tempfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -39,7 +40,7 @@ def duck():
 
 
 def values(frame):
-    """Rows as sorted tuples of text, columns by name; doubles to nine digits."""
+    """Rows as sorted tuples of text, columns by name; doubles to nine digits, nulls of any kind alike."""
     frame = frame[sorted(frame.columns)]
-    show = lambda x: "%.9g" % x if isinstance(x, float) else str(x)
+    show = lambda x: "null" if x is None or x is pd.NA or x != x else "%.9g" % x if isinstance(x, float) else str(x)
     return list(frame.columns), sorted(tuple(map(show, r)) for r in frame.itertuples(index=False))
