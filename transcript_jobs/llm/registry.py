@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from transcript_jobs.llm import (
+    fill_in_middle,
+    hard_negatives,
     html_text,
     merkle,
     mixing,
@@ -14,6 +16,7 @@ from transcript_jobs.llm import (
     quality_model,
     quality_rules,
     sharding,
+    token_files,
     toxicity,
 )
 from transcript_jobs.llm.common import table
@@ -29,6 +32,9 @@ _MODULES = {
     "op8_mixing": mixing,
     "op9_quality_model": quality_model,
     "op10_quality_rules": quality_rules,
+    "op11_hard_negatives": hard_negatives,
+    "op12_fill_in_middle": fill_in_middle,
+    "op13_token_files": token_files,
 }
 
 
