@@ -158,3 +158,46 @@ def test_still_aside():
 def test_many_open_elements():
     page = f"<article><p>{P1}</p>" + "<svg><audio>" * 20_000 + f"<p>{P2}</p></article>"
     assert H.main_text(page, TREE) == BOTH
+
+
+MENU_NAMES = (
+    "main-nav main-menu main-navigation main-header main-footer main-sidebar main-search mainNav story-nav site-nav post-navigation main_nav mainMenu "
+    "content-nav article-nav entry-footer main-banner main-topbar post-related story-comments"
+).split()
+ITEMS = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("Home", "About us", "Contact"))
+PROSE_MENU = "<ul><li>Read all of <a href='/a'>our news of today</a> and of the week</li><li>Talk to <a href='/b'>the people behind it</a> any time</li></ul>"
+
+
+@pytest.mark.parametrize("name", MENU_NAMES)
+@pytest.mark.parametrize("attr", ["id", "class", "role"])
+@pytest.mark.parametrize("body", ['<div class="page">{}</div>', "<div><div>{}</div></div>", "<main>{}</main>", "<article>{}</article>", '<div class="post-content">{}</div>'])
+def test_menus_of_any_name(name, attr, body):
+    """The article stays, and the menu goes, whatever the menu is called and wherever it stands."""
+    four = [P1.strip(), P2.strip(), "three " * 29 + "three", "four " * 29 + "four"]
+    article = body.format("<h1>Title</h1>" + "".join(f"<p>{t}</p>" for t in four))
+    for items in (f"<ul>{ITEMS}</ul>", PROSE_MENU):
+        menu = f'<div {attr}="{name}">{items}</div>'
+        for page in (f"<body>{menu}{article}</body>", f"<body>{article}{menu}</body>"):
+            assert H.main_text(page, TREE) == "\n".join(["Title", *four]), page
+
+
+@pytest.mark.parametrize("name", ["story", "post", "content", "entry", "main", "article"])
+@pytest.mark.parametrize("card", ["<p>In short.</p>", '<p><a href="/x">Another story</a></p>', "<p>Three little words</p><p>and three more</p>"])
+def test_short_element_of_a_main_name(name, card):
+    """A card with a name of the article's kind does not make the page's text something else."""
+    page = f'<body><div class="{name}">{card}</div><div><h1>Title</h1><p>{P1}</p><p>{P2}</p><p>{P1}</p><p>{P2}</p></div></body>'
+    assert H.main_text(page, TREE).endswith("\n".join(["Title", *[P1.strip(), P2.strip()] * 2]))
+
+
+@pytest.mark.parametrize("head", ["entry-header", "article-header", "post-header", "story-header"])
+def test_head_of_the_article(head):
+    page = f'<body><div class="post"><div class="{head}"><h1>The title of it</h1></div><p>{P1}</p><p>{P2}</p></div><div id="main-footer"><p>{"legal words " * 20}</p></div></body>'
+    assert H.main_text(page, TREE) == f"The title of it\n{BOTH}"
+
+
+@pytest.mark.parametrize("name", ["post", "main", "maincontent", "articleBody", "main-content", "main has-sidebar", "entry-content"])
+def test_named_article_among_others(name):
+    """A name makes the zone where the named element holds the page's text."""
+    other = "<div><p>Some words of the house, every page has them, nobody reads them twice</p></div>"
+    page = f'<body>{other}<div class="{name}"><h1>Title</h1><p>{P1}</p><p>{P2}</p></div>{other}</body>'
+    assert H.main_text(page, TREE) == f"Title\n{BOTH}"

@@ -51,6 +51,8 @@ ASIDE_WORDS = set(
     "respond responses disqus discussion share sharing social popup modal overlay search searchbox form dialog".split()
 )
 MAIN_WORDS = set("article post entry content story main maincontent articlebody".split())
+# Those of OUTER_WORDS that, beside one of MAIN_WORDS other than main, may name the head of the article (entry-header).
+HEAD_WORDS = set("header masthead".split())
 # Words that say nothing of what an element holds, beside one of the words above.
 NEUTRAL_WORDS = set(
     "area bar block body bottom box button buttons col column container element footer form group head header holder icon icons "
@@ -75,7 +77,9 @@ _RAW_END = {tag: re.compile(rf"</{tag}\s*>|\Z", re.I) for tag in RAW_TAGS}
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _PART = re.compile(r"[a-z]+")
 
-NOT_MAIN, OPEN, MAIN = 0, 1, 2
+#: NAMED is MAIN by a name alone: it counts as MAIN where it holds a NAMED_SHARE of the page's text, else as OPEN.
+NOT_MAIN, OPEN, MAIN, NAMED = 0, 1, 2, 3
+NAMED_SHARE = 0.2
 #: What names tell of an element: nothing; perhaps that it is aside; that, but it may be a wrapper; that it is aside.
 NONE, PERHAPS, LAYOUT, ASIDE = 0, 1, 2, 3
 
@@ -114,14 +118,15 @@ def _tokens(page: str) -> list[tuple[int, int, str, str, str]]:
 
 
 def _named(tag: str, token: str, is_id: bool, zone: int) -> int:
-    """What one name says: ASIDE if it is made of marking words alone (and neutral ones, where the element holds blocks), PERHAPS if one is among others."""
+    """What one name says: ASIDE if it is made of marking words alone (and neutral ones and those of the article, where the element holds blocks), PERHAPS if one is among others."""
     parts = set(_PART.findall(_HUMP.sub(" ", token).lower()))
-    marks = ASIDE_WORDS if zone == MAIN else ASIDE_WORDS | OUTER_WORDS
+    marks = ASIDE_WORDS if zone >= MAIN else ASIDE_WORDS | OUTER_WORDS
     if not parts & marks or parts & STATE_WORDS:
         return NONE
     if tag in PROSE_TAGS:  # an id of a heading or paragraph is the name of its place
         return ASIDE if not is_id and parts <= marks else PERHAPS
-    if not parts <= marks | NEUTRAL_WORDS:
+    head = parts & marks <= HEAD_WORDS and parts & MAIN_WORDS - {"main"}
+    if not parts <= marks | NEUTRAL_WORDS | MAIN_WORDS or head:
         return PERHAPS
     return LAYOUT if parts & marks <= LAYOUT_WORDS and len(parts) > 1 else ASIDE
 
@@ -129,10 +134,11 @@ def _named(tag: str, token: str, is_id: bool, zone: int) -> int:
 def _zone(tag: str, attrs: str, zone: int, firm: bool, hint: int, lone: bool) -> tuple[int, bool, int]:
     """(zone, whether it is so for good, hint of names) within an element, from those around it.
 
-    Elements decide the zone, names are a hint. A main leads out of what names say of the elements around it, and
+    Elements decide the zone, names are a hint; a name with a word of MAIN_WORDS makes a zone NAMED, but not beside a marking word
+    (main-nav). A main leads out of what names say of the elements around it, and
     a page's ``lone`` article out of what may be a layout.
     """
-    names, own = set(), NONE
+    names, own, claims = set(), NONE, False
     if tag not in ("html", "body") and attrs and not attrs.isspace():
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
@@ -140,17 +146,19 @@ def _zone(tag: str, attrs: str, zone: int, firm: bool, hint: int, lone: bool) ->
                 return NOT_MAIN, True, hint
             if name in ("class", "id", "role"):
                 for token in value.split():
-                    names |= set(_PART.findall(_HUMP.sub(" ", token).lower()))
+                    parts = set(_PART.findall(_HUMP.sub(" ", token).lower()))
+                    names |= parts
+                    claims |= bool(parts & MAIN_WORDS) and not (parts & (ASIDE_WORDS | OUTER_WORDS) and not parts & STATE_WORDS)
                     if tag not in ("main", "article") or token.lower() in ASIDE_WORDS:
                         own = max(own, _named(tag, token, name == "id", zone))
     if firm or tag in ASIDE_TAGS:
         return NOT_MAIN, True, hint
     if tag == "main" or tag == "article" and (hint < LAYOUT or lone and hint == LAYOUT):
         return MAIN, False, NONE if tag == "main" or own < ASIDE or names & MAIN_WORDS else own
-    if tag in ("footer", "nav", "menu") or tag in OUTER_TAGS and zone != MAIN:
+    if tag in ("footer", "nav", "menu") or tag in OUTER_TAGS and zone < MAIN:
         return NOT_MAIN, False, max(hint, own)
-    if names & MAIN_WORDS and own < LAYOUT and hint < LAYOUT and zone != NOT_MAIN:
-        return MAIN, False, max(hint, own)
+    if claims and own < LAYOUT and hint < LAYOUT and zone == OPEN:
+        return NAMED, False, max(hint, own)
     return zone, False, max(hint, own)
 
 
@@ -228,7 +236,15 @@ def blocks(page: str) -> list[Block]:
             depth[tag] += 1
     take(page[at:])
     end()
-    return out
+    return settled(out)
+
+
+def settled(page: list[Block]) -> list[Block]:
+    """NAMED blocks as MAIN ones, or as OPEN ones if others hold nearly all words of the page that aren't links or aside."""
+    own = lambda b: max(0, b.text.count(" ") + 1 - b.linked) * (b.hint < LAYOUT)
+    named, every = (sum(own(b) for b in page if b.zone in zones) for zones in ((NAMED,), (OPEN, MAIN, NAMED)))
+    zone = MAIN if named >= NAMED_SHARE * every else OPEN
+    return [b._replace(zone=zone) if b.zone == NAMED else b for b in page]
 
 
 #: Levels of word counts and link densities: from so many on, the next.
