@@ -102,33 +102,120 @@ def save_and_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load_table(spark, folder, "segments")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video_id, segments): the raw segments of each video in order."""
+    parts = F.array_sort(F.collect_list(F.struct("pos", F.struct("start", "end", "text").alias("s"))))
+    return D.segments(spark, sf_dir).groupBy("video_id").agg(F.transform(parts, lambda x: x["s"]).alias("segments"))
+
+
+def _arrive(spark: SparkSession, folder: str, lines: DataFrame) -> None:
+    """``lines`` (of JSON) come as more files, and the stream goes on."""
+    lines.write.mode("append").text(f"{folder}/incoming")
+    arrivals.stream_index(spark, f"{folder}/incoming", folder, f"{folder}/stream-index").awaitTermination()
+
+
 def _indexed(spark: SparkSession, sf_dir: str) -> str:
     """The folder of the tables after all transcripts arrived as files of JSON lines."""
     folder = _folder(spark)
-    s = D.segments(spark, sf_dir)
-    parts = F.array_sort(F.collect_list(F.struct("pos", F.struct("start", "end", "text").alias("s"))))
-    lines = s.groupBy("video_id").agg(F.transform(parts, lambda x: x["s"]).alias("segments")).select(F.to_json(F.struct("video_id", "segments")))
-    lines.write.text(f"{folder}/incoming")
-    arrivals.stream_index(spark, f"{folder}/incoming", folder, f"{folder}/stream-index").awaitTermination()
+    _arrive(spark, folder, _lines(spark, sf_dir).select(F.to_json(F.struct("video_id", "segments"))))
     return folder
 
 
-@register(
-    "stream_index",
-    f"""{_CHUNKS}, n AS (SELECT video_id, count(*) AS chunks, sum(word_count)::BIGINT AS words FROM chunks GROUP BY video_id),
+_INDEXED = f"""{_CHUNKS}, n AS (SELECT video_id, count(*) AS chunks, sum(word_count)::BIGINT AS words FROM chunks GROUP BY video_id),
 t AS (SELECT video_id, max("end") AS duration, string_agg(text, ' ' ORDER BY seg_idx) AS full_text FROM segments GROUP BY video_id)
 SELECT v.video_id, CASE WHEN n.video_id IS NULL THEN 'failed' ELSE 'ready' END AS status, coalesce(chunks, 0) AS chunks, coalesce(words, 0) AS words, duration, full_text
-FROM (SELECT DISTINCT video_id FROM raw_segments) v LEFT JOIN n USING (video_id) LEFT JOIN t USING (video_id)""",
-)
-def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _indexed(spark, sf_dir)
+FROM (SELECT DISTINCT video_id FROM raw_segments) v LEFT JOIN n USING (video_id) LEFT JOIN t USING (video_id)"""
+
+
+def _index_of(spark: SparkSession, folder: str) -> DataFrame:
     n = tables.load_table(spark, folder, "chunks").groupBy("video_id").agg(F.count("*").alias("chunks"), F.sum("word_count").alias("words"))
     v = tables.load_table(spark, folder, "videos").select("video_id", "status").join(n, "video_id", "left").fillna(0, ["chunks", "words"])
     return v.join(tables.load_table(spark, folder, "transcripts").select("video_id", "duration", "full_text"), "video_id", "left")
 
 
+@register("stream_index", _INDEXED)
+def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index_of(spark, _indexed(spark, sf_dir))
+
+
+@register("stream_videos_in_parts", _INDEXED)
+def stream_videos_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every video comes in two parts, in files of two batches: every other video's second part comes first."""
+    folder, n = _folder(spark), F.size("segments")
+    lines = _lines(spark, sf_dir).withColumn("half", F.floor(n / 2).cast("int"))
+    own = F.when(F.col("part") == 0, F.slice("segments", 1, F.col("half"))).otherwise(F.slice("segments", F.col("half") + 1, n))
+    lines = lines.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("segments", own)
+    first = F.col("part") == F.substring("video_id", 4, 8).cast("int") % 2
+    for some in (first, ~first):
+        _arrive(spark, folder, lines.filter(some).select(F.to_json(F.struct("video_id", "part", F.lit(2).alias("parts"), "segments"))))
+    return _index_of(spark, folder)
+
+
+#: Every document as a line, two of five of them damaged in one way or another.
+_TOLD = """SELECT CASE WHEN k IN (3, 5, 7, 9) THEN doc_id::VARCHAR WHEN k = 8 THEN '' ELSE 'vid' || lpad(doc_id::VARCHAR, 8, '0') END AS who, CASE k WHEN 3 THEN 'not JSON' WHEN 5 THEN 'not an object'
+  WHEN 7 THEN 'no video_id' WHEN 8 THEN 'blank' WHEN 9 THEN 'bad part' ELSE '' END AS reason, CASE WHEN k IN (0, 1, 2, 4, 6) THEN text END AS text, 1::BIGINT AS lines
+FROM (SELECT *, doc_id % 10 AS k FROM documents)"""
+_TOLD = f"SELECT who, reason, text, sum(lines)::BIGINT AS lines FROM ({_TOLD}) GROUP BY ALL"
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 10
+    body = F.struct(F.when(k != 7, D._video_id()).alias("video_id"), "doc_id", F.when(k == 9, 1).alias("part"), "text", F.array().cast("array<int>").alias("segments"))
+    line = F.to_json(body)
+    cut, listed = F.expr("left(line, length(line) - 1)"), F.concat(F.lit("["), "line", F.lit("]"))
+    return D.documents(spark, sf_dir).withColumn("line", line).select(F.when(k == 3, cut).when(k == 5, listed).when(k == 8, F.lit("  ")).otherwise(F.col("line")).alias("value"))
+
+
+def _by_line(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """Lines by what they are of: a video with its text, or else the document that the damaged line tells."""
+    of = F.regexp_extract("line", r'"doc_id":([0-9]+)', 1)
+    rows = good.select(F.col("video_id").alias("who"), F.lit("").alias("reason"), "text").unionByName(bad.select(of.alias("who"), "reason", F.lit(None).cast("string").alias("text")))
+    return rows.groupBy("who", "reason", "text").agg(F.count("*").alias("lines"))
+
+
+@register("read_transcripts", _TOLD)
+def read_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in files: those that can be read are videos, all others are quarantined."""
+    folder = _folder(spark)
+    _damaged(spark, sf_dir).write.text(f"{folder}/lines")
+    lines = tables.read_lines(spark, f"{folder}/lines")
+    return _by_line(tables.transcripts_of(lines).withColumn("text", F.get_json_object("raw", "$.text")), tables.quarantined(lines))
+
+
+@register("stream_quarantine", _TOLD.replace("THEN text END AS text", "THEN 'failed' END AS text"))
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines as arrivals: the videos that came of them (all failed, as they have no segments), and the quarantine."""
+    folder = _folder(spark)
+    _arrive(spark, folder, _damaged(spark, sf_dir))
+    bad = spark.read.schema(arrivals.QUARANTINE).parquet(f"{folder}/quarantine/*")
+    return _by_line(tables.load_table(spark, folder, "videos").withColumn("text", F.col("status")), bad)
+
+
 @register("stream_questions", f"{_MINED} SELECT * FROM mined")
 def stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _indexed(spark, sf_dir)
     arrivals.stream_questions(spark, folder, f"{folder}/stream-questions").awaitTermination()
     return tables.load_table(spark, folder, "questions")
+
+
+@register(
+    "save_summaries",
+    f"""{Q._CHUNKED} SELECT video_id, coalesce(version, -1) = 3 AS cached_1, coalesce(version, -1) = 3 AS cached_2, true AS cached_3, 3 AS version,
+       CASE WHEN version = 3 THEN text ELSE '{chr(10).join(LINES)}' END AS summary, false AS raw
+FROM videos JOIN (SELECT 'vid' || lpad(doc_id::VARCHAR, 8, '0') AS video_id, text FROM documents) USING (video_id)
+WHERE status = 'ready' AND video_id IN (SELECT video_id FROM has)""",
+)
+def save_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over stored videos: replies that can't be read are never stored, good ones are, and then no model is needed."""
+    folder = _folder(spark)
+    tables.save_table(D.videos(spark, sf_dir), folder, "videos", buckets=8)
+    tables.save_table(Q._chunks(spark, sf_dir), folder, "chunks", buckets=8)
+    reply = json.dumps({"summary_lines": LINES, "main_topics": [], "key_points": [], "conclusions": []})
+    out = None
+    for n, generator in enumerate((models.FixedGenerator("No JSON."), models.FixedGenerator(reply), models.FixedGenerator("Not asked.")), 1):
+        run = flows.summarize_stored(spark, folder, generator).select("video_id", F.col("cached").alias(f"cached_{n}"))
+        out = run if out is None else out.join(run, "video_id")
+    stored = tables.load_table(spark, folder, "videos")
+    return out.join(stored, "video_id").select(
+        "video_id", "cached_1", "cached_2", "cached_3", "summary.version", "summary.summary", F.col("summary.raw_output").isNotNull().alias("raw")
+    )

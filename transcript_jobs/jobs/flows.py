@@ -1,6 +1,7 @@
 """The flows: ingest, index, mine questions, answer, summarize. Compositions of the operators.
 
-A model's outputs are written before they are used, so each call is made once; each flow returns tables.
+A model's outputs are written before they are used, so each call is made once; each flow returns tables. What they
+write goes to ``scratch``, which the caller ends when it has read the results; without one it stays.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from transcript_jobs.functions import citations as C
 from transcript_jobs.functions import summary_json as J
 from transcript_jobs.functions.text import looks_like_follow_up, strip
 from transcript_jobs.operators import chat, chunking, index, models, questions, retrieval, segments, summaries
-from transcript_jobs.sources.written import written
+from transcript_jobs.sources import tables
+from transcript_jobs.sources.written import Scratch, written
 
 
 #: In place of an embedder: the requests have their vectors already, in ``embedding``.
@@ -37,16 +39,16 @@ def index_videos(raw: DataFrame, embedder=None, max_words: int = P.CHUNK_WORDS)
     return models.embed_column(chunks.repartition(F.xxhash64("video_id", "chunk_id")), "text", embedder)
 
 
-def mine_questions(clean: DataFrame, generator=None, embedder=None) -> DataFrame:
+def mine_questions(clean: DataFrame, generator=None, embedder=None, scratch: Scratch | None = None) -> DataFrame:
     """(video_id, question, start, end, segment_index): the questions asked in cleaned segments. The model is called once per window."""
     windows = questions.cap_candidates(questions.question_windows(clean))
     prompts = questions.question_prompts(windows).repartition(F.xxhash64("video_id", "segment_index"))
-    asked = written(models.generate_column(prompts, "messages", generator or models.FirstQuestionGenerator(), batch_size=P.VALIDATION_BATCH))
+    asked = written(models.generate_column(prompts, "messages", generator or models.FirstQuestionGenerator(), batch_size=P.VALIDATION_BATCH), scratch)
     found = questions.accept_questions(asked).select("video_id", "question", "start", "end", "segment_index")
     return questions.rank_questions(questions.dedupe_questions(found, embedder=embedder))
 
 
-def answer_questions(requests: DataFrame, history: DataFrame, chunks: DataFrame, generator=None, embedder=None) -> DataFrame:
+def answer_questions(requests: DataFrame, history: DataFrame, chunks: DataFrame, generator=None, embedder=None, scratch: Scratch | None = None) -> DataFrame:
     """(question_id, session_id, video_id, message, search_query, answer, sources, success, error) per request.
 
     ``requests``: (question_id, session_id, video_id, message), checked; ``history``: recent messages; ``chunks`` with vectors.
@@ -55,13 +57,13 @@ def answer_questions(requests: DataFrame, history: DataFrame, chunks: DataFrame,
     """
     r = chat.rewrite_prompts(requests, history).withColumn("follows", looks_like_follow_up(F.col("message")))
     unclear = (F.col("history_size") > 0) & F.coalesce("follows", F.lit(False))
-    again = written(models.generate_column(r.filter(unclear), "messages", generator, "rewritten")).drop("error")
+    again = written(models.generate_column(r.filter(unclear), "messages", generator, "rewritten"), scratch).drop("error")
     r = again.unionByName(r.filter(~unclear).withColumn("rewritten", F.lit(None).cast("string"))).drop("messages")
     query = C.accept_rewrite(F.col("message"), F.col("rewritten"), F.col("history_size"), F.col("follows"))
     r = r.withColumn("search_query", query)
-    r = written(r if embedder is KEEP_VECTORS else models.embed_column(r, "search_query", embedder))
+    r = written(r if embedder is KEEP_VECTORS else models.embed_column(r, "search_query", embedder), scratch)
     found = retrieval.fit_word_budget(retrieval.relevant_chunks(retrieval.retrieve_chunks_blocked(r, chunks)))
-    rows = written(r.drop("embedding").join(found, ["question_id", "video_id"], "left"))
+    rows = written(r.drop("embedding").join(found, ["question_id", "video_id"], "left"), scratch)
     known = F.col("chunks").isNotNull()
     asked = models.generate_column(chat.answer_prompts(rows.filter(known)), "messages", generator)
     cite = C.extract_citations(strip(F.coalesce("output", F.lit(""))), F.size("chunks"))
@@ -73,10 +75,10 @@ def answer_questions(requests: DataFrame, history: DataFrame, chunks: DataFrame,
     none = rows.filter(~known).select(
         *cols, F.lit(P.NO_ANSWER).alias("answer"), F.array().cast(kind).alias("sources"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error")
     )
-    return written(answered.unionByName(none))
+    return written(answered.unionByName(none), scratch)
 
 
-def chat_turn(requests: DataFrame, videos: DataFrame, sessions: DataFrame, messages: DataFrame, chunks: DataFrame, generator=None, embedder=None, fresh=None) -> dict[str, DataFrame]:
+def chat_turn(requests: DataFrame, videos: DataFrame, sessions: DataFrame, messages: DataFrame, chunks: DataFrame, generator=None, embedder=None, fresh=None, scratch: Scratch | None = None) -> dict[str, DataFrame]:
     """From raw requests (question_id, session_id, video_id, message) to what is stored of them: answers, messages, sessions.
 
     ``answers`` has every request: those that aren't good have an error and no success. ``messages`` are the two new ones of each answered
@@ -84,9 +86,9 @@ def chat_turn(requests: DataFrame, videos: DataFrame, sessions: DataFrame, messa
     """
     checked = chat.valid_requests(requests, index.indexed_videos(videos, chunks))
     bad = checked.filter("error IS NOT NULL")
-    good = written(chat.resolve_sessions(checked.filter("error IS NULL").drop("error"), sessions, fresh))
+    good = written(chat.resolve_sessions(checked.filter("error IS NULL").drop("error"), sessions, fresh), scratch)
     history = chat.recent_history(messages, sessions=good)
-    done = answer_questions(good, history, chunks, generator, embedder)
+    done = answer_questions(good, history, chunks, generator, embedder, scratch)
     refused = bad.select("question_id", "session_id", "video_id", "message", F.lit(False).alias("success"), "error")
     return {
         "answers": done.unionByName(refused, allowMissingColumns=True),
@@ -95,21 +97,21 @@ def chat_turn(requests: DataFrame, videos: DataFrame, sessions: DataFrame, messa
     }
 
 
-def summarize_videos(chunks: DataFrame, generator=None) -> DataFrame:
+def summarize_videos(chunks: DataFrame, generator=None, scratch: Scratch | None = None) -> DataFrame:
     """(video_id, summary struct, error) of every video: the better of two attempts over the transcript or the summaries of its chunks.
 
     A video without a usable chunk, one of whose chunks the model failed for, or without any output, has an error and no summary.
     Each model call is made once.
     """
-    planned = written(summaries.planned_chunks(chunks))
+    planned = written(summaries.planned_chunks(chunks), scratch)
     prompts = summaries.chunk_prompts(planned).repartition(F.xxhash64("video_id", "chunk_id"))
-    mapped = written(models.generate_column(prompts, "messages", generator).select("video_id", "chunk_id", "mode", F.col("output").alias("text"), "error"))
+    mapped = written(models.generate_column(prompts, "messages", generator).select("video_id", "chunk_id", "mode", F.col("output").alias("text"), "error"), scratch)
     failed = mapped.filter("error IS NOT NULL").select("video_id").distinct()
     sections = planned.filter("mode = 'direct'").select("video_id", "chunk_id", "mode", "text").unionByName(mapped.drop("error").join(failed, "video_id", "left_anti"))
 
     def attempt(p: DataFrame) -> DataFrame:
         out = models.generate_column(p, "messages", generator).filter("output IS NOT NULL")
-        return written(out.withColumn("summary", J.final_summary(F.col("output"))).select("video_id", "messages", "summary"))
+        return written(out.withColumn("summary", J.final_summary(F.col("output"))).select("video_id", "messages", "summary"), scratch)
 
     first = attempt(summaries.final_prompts(summaries.combine_sections(sections)))
     second = attempt(summaries.retry_prompts(summaries.needs_retry(first)).select("video_id", "messages"))
@@ -118,3 +120,34 @@ def summarize_videos(chunks: DataFrame, generator=None) -> DataFrame:
     every = chunks.select("video_id").distinct().join(usable, "video_id", "left").join(best, "video_id", "left")
     error = F.when(F.col("usable").isNull(), P.NOTHING_TO_SUMMARIZE).when(F.col("summary").isNull(), P.NO_SUMMARY)
     return every.select("video_id", "summary", error.alias("error"))
+
+
+def save_summaries(results: DataFrame, folder: str, version: int = P.SUMMARY_VERSION, scratch: Scratch | None = None) -> None:
+    """Stores summaries (video_id, summary, made_at) with their version in the table of videos, each under the conditions of merge_summaries.
+
+    Only the buckets of these videos are read and written; saving the same results again changes nothing.
+    """
+    spark = results.sparkSession
+    with Scratch(spark) as own:
+        results = own(results.select("video_id", "summary", "made_at"))
+        ids = results.filter("summary IS NOT NULL").select("video_id")
+        videos = tables.load_for_videos(spark, folder, "videos", ids)
+        tables.save_table(own(index.merge_summaries(videos, results, version)), folder, "videos", "overwrite")
+
+
+def summarize_stored(spark, folder: str, generator=None, version: int = P.SUMMARY_VERSION, refresh: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """(video_id, summary, cached, error) of every indexed video: stored summaries of this version as they are, the others made and stored.
+
+    ``refresh`` makes them all anew. A reply that could not be read is returned, but not stored, so the next run tries it again.
+    """
+    videos = tables.load_table(spark, folder, "videos")
+    chunks = tables.load_table(spark, folder, "chunks").select("video_id", "chunk_id", "text")
+    ready = index.indexed_videos(videos, chunks)
+    cached = index.cached_summaries(videos, chunks, version)
+    due = written(index.videos_to_process(ready, cached, refresh).select("video_id"), scratch)
+    stored = written(cached.join(due, "video_id", "left_anti").select("video_id", "summary", F.lit(True).alias("cached"), F.lit(None).cast("string").alias("error")), scratch)
+    made = summarize_videos(chunks.join(due, "video_id", "left_semi"), generator, scratch).withColumn("made_at", F.current_timestamp())
+    made = written(made, scratch)
+    save_summaries(made, folder, version)
+    with_version = F.when(F.col("summary").isNotNull(), F.col("summary").withField("version", F.lit(version)))
+    return stored.unionByName(made.select("video_id", with_version.alias("summary"), F.lit(False).alias("cached"), "error"))

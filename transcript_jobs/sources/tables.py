@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transcript_jobs import params as P
+from transcript_jobs.sources.written import Scratch, file_system
 
 SCHEMAS = {
     "videos": "video_id string, url string, title string, channel string, duration string, thumbnail string, status string, "
@@ -30,21 +31,21 @@ def video_bucket(n: int = BUCKETS):
     return F.pmod(F.xxhash64("video_id"), F.lit(n)).cast("int")
 
 
-def _path(spark: SparkSession, path: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
 def exists(spark: SparkSession, folder: str, name: str) -> bool:
     """Whether anything was ever written to the table."""
-    files, path = _path(spark, f"{folder}/{name}")
+    files, path = file_system(spark, f"{folder}/{name}")
     return files.exists(path)
 
 
 def layout(spark: SparkSession, folder: str, name: str) -> dict[str, int]:
-    """The stored layout of a table: buckets, and files of each; the defaults for one that was never written."""
-    files, path = _path(spark, f"{folder}/{name}/{_PROPERTIES}")
+    """The stored layout of a table: buckets, and files of each; the defaults for one that was never written.
+
+    A table without its layout can't be used: reading it by other buckets than it was written by would miss rows.
+    """
+    files, path = file_system(spark, f"{folder}/{name}/{_PROPERTIES}")
     if not files.exists(path):
+        if exists(spark, folder, name):
+            raise ValueError(f"{folder}/{name} has no {_PROPERTIES}: write one with its number of buckets and files")
         return {"buckets": BUCKETS, "files": FILES}
     stream = files.open(path)
     stored = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -77,43 +78,99 @@ def save_table(df: DataFrame, folder: str, name: str, mode: str = "append", buck
     if "video_id" not in df.columns:
         df.write.mode(mode).parquet(f"{folder}/{name}")
         return
-    is_new = not exists(spark, folder, name)
     own = layout(spark, folder, name)
-    if is_new:
+    if not exists(spark, folder, name):  # first of all, so that a write that breaks off leaves no table of unknown layout
         own = {"buckets": buckets or own["buckets"], "files": files or own["files"]}
-    part = F.pmod(F.xxhash64("video_id", F.lit(1)), F.lit(own["files"]))
-    out = df.withColumn("video_bucket", video_bucket(own["buckets"])).repartition("video_bucket", part)
-    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("video_bucket").parquet(f"{folder}/{name}")
-    if is_new:
-        out_files, path = _path(spark, f"{folder}/{name}/{_PROPERTIES}")
+        out_files, path = file_system(spark, f"{folder}/{name}/{_PROPERTIES}")
         stream = out_files.create(path, True)
         stream.write(bytearray(json.dumps(own).encode()))
         stream.close()
+    part = F.pmod(F.xxhash64("video_id", F.lit(1)), F.lit(own["files"]))
+    out = df.withColumn("video_bucket", video_bucket(own["buckets"])).repartition("video_bucket", part)
+    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("video_bucket").parquet(f"{folder}/{name}")
+
+
+def replace_buckets(rows: DataFrame, folder: str, name: str, ids: DataFrame, scratch: Scratch, buckets: int | None = None, files: int | None = None) -> None:
+    """Puts ``rows`` in place of all rows of the videos ``ids``; the buckets of these videos are read, written aside and then overwritten."""
+    spark = rows.sparkSession
+    rows = rows.to(spark.createDataFrame([], SCHEMAS[name]).schema)
+    if exists(spark, folder, name):
+        rows = replace_for_videos(load_for_videos(spark, folder, name, ids), rows, ids)
+    rows = scratch(rows)
+    save_table(rows, folder, name, "overwrite", buckets, files)
+    # an overwrite leaves buckets alone that have no row any more
+    bucket = video_bucket(layout(spark, folder, name)["buckets"]).alias("b")
+    for r in ids.select(bucket).distinct().join(rows.select(bucket).distinct(), "b", "left_anti").collect():  # a row per bucket at most
+        out_files, path = file_system(spark, f"{folder}/{name}/video_bucket={r['b']}")
+        out_files.delete(path, True)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, video_id, part, parts, reason) of every line of the files; see told_apart."""
+    text = spark.read.text(path)
+    return told_apart(text.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")))
+
+
+def told_apart(lines: DataFrame) -> DataFrame:
+    """``lines`` (line, ...) with video_id, part, parts and ``reason``: why a line can't be read, NULL for a good one.
+
+    A line is a JSON object with a video_id, a text that isn't blank or a whole number. A video whose segments come in
+    several lines has in each of them their number, ``parts``, and its own, ``part``, from 0; other lines are whole.
+    """
+    v = F.try_parse_json("line")
+    kind = lambda c: F.coalesce(F.schema_of_variant(c), F.lit("VOID"))
+    field = lambda k: F.try_variant_get("_v", f"$.{k}", "variant")
+    number = lambda k: F.when(kind(field(k)) == "BIGINT", F.try_variant_get("_v", f"$.{k}", "int"))
+    rows = lines.withColumn("_v", v).withColumn("video_id", F.when(kind(field("video_id")).isin("STRING", "BIGINT"), F.try_variant_get("_v", "$.video_id", "string")))
+    is_part = (kind(field("part")) != "VOID") | (kind(field("parts")) != "VOID")
+    part, parts = F.when(is_part, number("part")).otherwise(0), F.when(is_part, number("parts")).otherwise(1)
+    good_part = F.coalesce((part >= 0) & (part < parts), F.lit(False))
+    reason = (
+        F.when(F.trim(F.coalesce("line", F.lit(""))) == "", "blank")
+        .when(F.col("_v").isNull(), "not JSON")
+        .when(~kind(F.col("_v")).startswith("OBJECT"), "not an object")
+        .when(kind(field("video_id")) == "VOID", "no video_id")
+        .when(F.col("video_id").isNull() | (F.trim("video_id") == ""), "bad video_id")
+        .when(~good_part, "bad part")
+    )
+    return rows.select("*", part.alias("part"), parts.alias("parts"), reason.alias("reason")).drop("_v")
+
+
+def quarantined(lines: DataFrame) -> DataFrame:
+    """(file, line, reason) of the lines that can't be read."""
+    return lines.filter("reason IS NOT NULL").select("file", "line", "reason")
+
+
+def transcripts_of(lines: DataFrame) -> DataFrame:
+    """(video_id, part, raw) of the lines that can be read; raw is left as it is, since its parts may have any type."""
+    return lines.filter("reason IS NULL").select("video_id", "part", F.col("line").alias("raw"))
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(video_id, raw): one JSON object a line, left as it is, since its parts may have any type."""
-    text = spark.read.text(path).select(F.col("value").alias("raw"))
-    return text.select(F.get_json_object("raw", "$.video_id").alias("video_id"), "raw")
+    """(video_id, part, raw) of the good lines of the files, one JSON object a line; ``quarantined(read_lines(...))`` has the others."""
+    return transcripts_of(read_lines(spark, path))
 
 
 def explode_segments(raw: DataFrame) -> DataFrame:
     """(video_id, pos, start, end, text, reason) per element of ``segments``: typed where the JSON type is right.
 
     ``reason`` is set for what isn't an object, for times that are no numbers (true and "1" are none) and for
-    texts that are no strings. An input without a list of segments gives no rows.
+    texts that are no strings. An input without a list of segments gives no rows. Where ``raw`` has a column part too, ``pos``
+    goes on from part to part (with gaps).
     """
-    v = raw.select("video_id", F.try_parse_json("raw").alias("v"))
+    own = ["video_id", "part"] if "part" in raw.columns else ["video_id"]
+    place = F.col("pos").cast("int") if len(own) == 1 else F.shiftleft(F.col("part").cast("long"), 32) + F.col("pos")
+    v = raw.select(*own, F.try_parse_json("raw").alias("v"))
     kind = lambda c: F.schema_of_variant(c)
-    e = v.select("video_id", F.try_variant_get("v", "$.segments", "variant").alias("s")).filter(kind("s").startswith("ARRAY"))
-    e = e.lateralJoin(e.sparkSession.tvf.variant_explode(F.col("s").outer())).select("video_id", "pos", F.col("value").alias("x"))
+    e = v.select(*own, F.try_variant_get("v", "$.segments", "variant").alias("s")).filter(kind("s").startswith("ARRAY"))
+    e = e.lateralJoin(e.sparkSession.tvf.variant_explode(F.col("s").outer())).select(*own, "pos", F.col("value").alias("x"))
     part = lambda k: F.try_variant_get("x", f"$.{k}", "variant")
     number = lambda k: F.coalesce(kind(part(k)).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
     text = F.coalesce(kind(part("text")) == "STRING", F.lit(False))
     is_object = F.coalesce(kind("x").startswith("OBJECT"), F.lit(False))
     return e.select(
         "video_id",
-        F.col("pos").cast("int").alias("pos"),
+        place.alias("pos"),
         *[F.when(is_object & number(k), F.try_variant_get("x", f"$.{k}", "double")).alias(k) for k in ("start", "end")],
         F.when(is_object & text, F.try_variant_get("x", "$.text", "string")).alias("text"),
         F.when(~is_object, "not an object").when(~(number("start") & number("end")), "bad times").when(~text, "bad text").alias("reason"),

@@ -52,13 +52,13 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = F.when(
         version.isNotNull(),
         F.struct(
-            F.substring("text", 1, 40).alias("summary"), *[F.array().cast("array<string>").alias(c) for c in ("main_topics", "key_points", "conclusions")],
+            F.col("text").alias("summary"), *[F.array().cast("array<string>").alias(c) for c in ("main_topics", "key_points", "conclusions")],
             F.lit(None).cast("string").alias("raw_output"), version.cast("int").alias("version"),
         ),
     )
     status = F.element_at(F.array(*map(F.lit, ("ready", "ready", "processing", "failed"))), (k % 4 + 1).cast("int"))
     return documents(spark, sf_dir).select(
-        v.alias("video_id"), "doc_id", url.alias("url"), F.substring("text", 1, 20).alias("title"), F.col("source").alias("channel"),
+        v.alias("video_id"), "doc_id", url.alias("url"), F.col("text").alias("title"), F.col("source").alias("channel"),
         F.lit("").alias("duration"), F.lit("").alias("thumbnail"), status.alias("status"), summary.alias("summary"),
         F.timestamp_seconds(k).alias("created_at"), F.timestamp_seconds(k).alias("updated_at"),
     )
@@ -127,7 +127,7 @@ lines AS (
 VIDEOS = """
 videos AS (
   SELECT 'vid' || lpad(doc_id::VARCHAR, 8, '0') AS video_id, doc_id, ['ready', 'ready', 'processing', 'failed'][doc_id % 4 + 1] AS status,
-         CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 END AS version, left(text, 20) AS title, source AS channel
+         CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 END AS version, text AS title, source AS channel
   FROM documents
 )"""
 VECTORS = """

@@ -19,9 +19,56 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: what a model made is made once, and a lost executor costs a read."""
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop knows them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+class Scratch:
+    """Tables of one piece of work: written once, read as often as needed, deleted at its end.
+
+    with Scratch(spark) as scratch: rows = scratch(rows)
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.n = spark, f"{shared_dir(spark)}/written-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table: what a model made is made once, and a lost executor costs a read."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        files, path = file_system(self.spark, self.folder)
+        files.delete(path, True)
+
+
+def written(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """``df`` as a table of ``scratch``; without one, as a table that stays for whoever reads what is made of it."""
+    return (scratch or Scratch(df.sparkSession))(df)
+
+
+def publish(df: DataFrame, folder: str, name: str, key: str) -> None:
+    """``df`` as files in ``folder/name/key``, all of them at once: they are written aside, and their folder is renamed.
+
+    What is published is never written again: a key that is there already stays as it is, so a batch that is done
+    anew publishes nothing twice.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, target = file_system(spark, f"{folder}/{name}/{key}")
+    if files.exists(target):
+        return
+    aside = f"{folder}/_publishing/{name}-{key}-{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    files.mkdirs(target.getParent())
+    source = file_system(spark, aside)[1]
+    if files.exists(target) or not files.rename(source, target):
+        files.delete(source, True)
+        if not files.exists(target):
+            raise OSError(f"{target} could not be published")

@@ -1,97 +1,187 @@
 """New transcripts as they arrive: each batch is cleaned, chunked, embedded and put in place of the video's older rows.
 
-State is in the tables alone. Videos that are ready are passed over, so a batch that is delivered again changes
+What is done is told by the tables. Videos that are ready are passed over, so a batch that is delivered again changes
 nothing and calls no model; a table is replaced by bucket, so only the buckets of a batch's videos are written.
-Segments are also logged in files that are never rewritten: questions are mined from these, once.
+
+Two logs stand beside the tables, in folders per stream and batch that are published whole and never written again:
+``arrived`` has the cleaned segments, from which questions are mined, once; ``quarantine`` has the lines that could not be
+read, with their file and the reason. Any number of streams may log to one folder; they write the tables one at a time.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from transcript_jobs import params as P
 from transcript_jobs.jobs import flows
-from transcript_jobs.operators import segments
+from transcript_jobs.operators import index, segments
 from transcript_jobs.sources import tables
-from transcript_jobs.sources.written import written
+from transcript_jobs.sources.written import Scratch, publish
 
 ARRIVED = "video_id string, seg_idx int, start double, end double, text string"
-FAILURES = "video_id string, error string"
+QUARANTINE = "file string, line string, reason string"
 _FIELDS = ("url", "title", "channel", "duration", "thumbnail", "language")
+#: A line with its order among deliveries: when its file was written, its name and the place of the split; within a split the greater text counts.
+_LINE = "file string, line string, video_id string, part int, parts int, reason string, at struct<modified: timestamp, file: string, n: long>"
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _replace(spark: SparkSession, folder: str, name: str, rows: DataFrame, ids: DataFrame) -> None:
-    """Writes ``rows`` and what else the touched buckets hold; they are materialised before they are overwritten."""
-    rows = rows.to(spark.createDataFrame([], tables.SCHEMAS[name]).schema)
-    if tables.exists(spark, folder, name):
-        rows = tables.replace_for_videos(tables.load_for_videos(spark, folder, name, ids), rows, ids)
-    tables.save_table(written(rows), folder, name, "overwrite")
-
+class Parts(StatefulProcessor):
+    """The lines of a video that comes in parts: they are kept until all are there, then they go on together, and the state is empty.
 
-def index_batch(batch: DataFrame, folder: str, embedder=None, batch_id: int = 0) -> None:
-    """One batch of (video_id, raw) into videos, transcripts, segments and chunks; videos that are ready are passed over.
+    Of two deliveries of a part the later counts. Lines with another number of parts than those kept begin anew.
+    """
 
-    A video with a chunk becomes ready, another failed (it is taken up again when it arrives again). An older
-    summary and the time of creation stay. ``videos`` is written last, so a batch that breaks off is done again.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getMapState("parts", "part int", _LINE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = ["file", "line", "video_id", "part", "parts", "reason", "at"]
+        got = {k[0]: tuple(v) for k, v in self.kept.iterator()}
+        new = [tuple(r) for b in rows for r in b[names].itertuples(index=False)]
+        when = lambda r: tuple(r[6].values()) if isinstance(r[6], dict) else tuple(r[6])
+        order = lambda r: (*when(r), r[1])
+        for r in sorted(new, key=order):
+            if any(o[4] != r[4] for o in got.values()):
+                got.clear()
+                self.kept.clear()
+            if r[3] not in got or order(got[r[3]]) <= order(r):
+                got[r[3]] = r
+                self.kept.updateValue((int(r[3]),), (r[0], r[1], r[2], int(r[3]), int(r[4]), None, when(r)))
+        if got and len(got) == next(iter(got.values()))[4]:
+            self.kept.clear()
+            out = [(r[0], r[1], r[2], int(r[3]), int(r[4]), None, dict(zip(("modified", "file", "n"), when(r), strict=True))) for _, r in sorted(got.items())]
+            yield pd.DataFrame(out, columns=names)
+
+    def close(self) -> None:
+        pass
+
+
+def whole_videos(lines: DataFrame) -> DataFrame:
+    """A stream of told-apart lines with ``at``, those of videos in parts held back in a state per video until all are there; only these pass through the state."""
+    lines = lines.select("file", "line", "video_id", "part", "parts", "reason", "at")
+    is_part = F.col("reason").isNull() & (F.col("parts") > 1)
+    held = lines.filter(is_part).groupBy("video_id").transformWithStateInPandas(Parts(), _LINE, "append", "none")
+    return lines.filter(~is_part).unionByName(held)
+
+
+def _deliveries(batch: DataFrame) -> DataFrame:
+    """The lines of a batch: given whole as (video_id, raw), or told apart."""
+    if "line" in batch.columns:
+        return batch
+    return batch.select(
+        F.lit("").alias("file"), F.col("raw").alias("line"), "video_id", F.lit(0).alias("part"), F.lit(1).alias("parts"),
+        F.when(F.col("video_id").isNull(), "no video_id").alias("reason"),
+        F.struct(F.timestamp_seconds(F.lit(0)).alias("modified"), F.lit("").alias("file"), F.monotonically_increasing_id().alias("n")).alias("at"),
+    )
+
+
+def _latest(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``reason`` for those that don't count: of the deliveries of a video the latest counts, if all its parts are there."""
+    by = Window.partitionBy("video_id")
+    one = lines.withColumn("_n", F.row_number().over(Window.partitionBy("video_id", "parts", "part").orderBy(F.desc("at"), F.desc("line"))))
+    one = one.withColumn("_parts", F.max_by("parts", "at").over(by)).withColumn("_last", (F.col("_n") == 1) & (F.col("parts") == F.col("_parts")))
+    there = F.count(F.when(F.col("_last"), 1)).over(by)
+    reason = F.when(~F.col("_last"), "delivered again").when(there < F.col("parts"), "parts are missing")
+    return one.withColumn("reason", reason).drop("_n", "_parts", "_last")
+
+
+def index_batch(batch: DataFrame, folder: str, embedder=None, batch_id: int = 0, stream: str = "batch", refresh: bool = False, buckets: int | None = None) -> None:
+    """One batch of (video_id, raw), or of told-apart lines, into videos, transcripts, segments and chunks; lines that can't be read into quarantine.
+
+    Videos that are ready are passed over, but with ``refresh``. A video with a chunk becomes ready, another failed (it is
+    taken up again when it arrives again). An older summary and the time of creation stay. ``videos`` is written last, so a
+    batch that breaks off is done again. ``stream`` and ``batch_id`` name what is logged; ``buckets`` is the layout of
+    tables that are new. All tables on the way are deleted.
     """
     spark = batch.sparkSession
-    batch = batch.filter("video_id IS NOT NULL")
-    if tables.exists(spark, folder, "videos"):
-        ready = tables.load_for_videos(spark, folder, "videos", batch).filter(F.col("status") == P.READY)
-        batch = batch.join(ready.select("video_id"), "video_id", "left_anti")
-    batch = written(batch.groupBy("video_id").agg(F.min("raw").alias("raw")))
-    if batch.isEmpty():
-        return
-    raw = written(tables.explode_segments(batch))
-    ids = batch.select("video_id")
-    clean = written(segments.clean_segments(raw))
-    chunks = written(flows.index_videos(raw, embedder))
-    _replace(spark, folder, "segments", clean, ids)
-    _replace(spark, folder, "chunks", chunks, ids)
-    about = batch.select("video_id", *[F.get_json_object("raw", f"$.{c}").alias(c) for c in _FIELDS])
-    times = clean.groupBy("video_id").agg(F.max("end").alias("_end"))
-    texts = about.select("video_id", "language").join(times, "video_id").join(segments.full_text(clean), "video_id")
-    _replace(spark, folder, "transcripts", texts.withColumnRenamed("_end", "duration"), ids)
-    clean.write.mode("overwrite").parquet(f"{folder}/arrived/{batch_id}")
+    with Scratch(spark) as scratch:
+        lines = scratch(_deliveries(batch))
+        good = lines.filter("reason IS NULL")
+        if not refresh and tables.exists(spark, folder, "videos"):
+            ready = tables.load_for_videos(spark, folder, "videos", good).filter(F.col("status") == P.READY)
+            good = index.videos_to_process(good, ready)
+        good = scratch(_latest(good))
+        bad = tables.quarantined(lines).unionByName(tables.quarantined(good))
+        name = f"{stream}-{batch_id}"
+        if not bad.isEmpty():
+            publish(bad, folder, "quarantine", name)
+        rows = tables.transcripts_of(good)
+        if rows.isEmpty():
+            return
+        _store(scratch, rows, folder, embedder, name, buckets)
+
+
+def _store(scratch: Scratch, rows: DataFrame, folder: str, embedder, name: str, buckets: int | None) -> None:
+    spark, ids = rows.sparkSession, rows.select("video_id").distinct()
+    put = lambda df, table: tables.replace_buckets(df, folder, table, ids, scratch, buckets)
+    raw = scratch(tables.explode_segments(rows))
+    clean = scratch(segments.clean_segments(raw))
+    chunks = scratch(flows.index_videos(raw, embedder))
+    put(clean, "segments")
+    put(chunks, "chunks")
+    field = {c: F.get_json_object("raw", f"$.{c}") for c in _FIELDS}
+    about = rows.groupBy("video_id").agg(*[F.min_by(v, F.when(v.isNotNull(), F.col("part"))).alias(c) for c, v in field.items()])
+    about = scratch(about)
+    times = clean.groupBy("video_id").agg(F.max("end").alias("duration"))
+    put(about.select("video_id", "language").join(times, "video_id").join(segments.full_text(clean), "video_id"), "transcripts")
+    publish(clean, folder, "arrived", name)
     incoming = about.withColumn("updated_at", F.current_timestamp())
     old = tables.load_for_videos(spark, folder, "videos", ids) if tables.exists(spark, folder, "videos") else spark.createDataFrame([], tables.SCHEMAS["videos"])
     done = tables.upsert_videos(old.join(ids, "video_id", "left_semi"), incoming).join(chunks.select("video_id", F.lit(True).alias("_has")).distinct(), "video_id", "left")
-    _replace(spark, folder, "videos", done.withColumn("status", F.when(F.col("_has"), P.READY).otherwise(P.FAILED)), ids)
+    put(done.withColumn("status", F.when(F.col("_has"), P.READY).otherwise(P.FAILED)), "videos")
 
 
-def question_batch(batch: DataFrame, folder: str, generator=None, embedder=None) -> None:
+def question_batch(batch: DataFrame, folder: str, generator=None, embedder=None, buckets: int | None = None) -> None:
     """Questions of the batch's segments, in place of those stored for its videos; if that fails, they have none, and the failure is stored."""
     spark = batch.sparkSession
-    batch = written(batch.dropDuplicates(["video_id", "seg_idx"]))
-    ids = batch.select("video_id").distinct()
-    try:
-        _replace(spark, folder, "questions", flows.mine_questions(batch, generator, embedder), ids)
-    except Exception as e:  # whatever the user's model does, later batches go on
-        rows = ids.withColumn("error", F.lit(f"{type(e).__name__}: {str(e)[:500]}"))
-        rows.write.mode("append").parquet(f"{folder}/question_failures")
+    with Scratch(spark) as scratch:
+        batch = scratch(batch.dropDuplicates(["video_id", "seg_idx"]))
+        ids = batch.select("video_id").distinct()
+        put = lambda df: tables.replace_buckets(df, folder, "questions", ids, scratch, buckets)
+        try:
+            put(flows.mine_questions(batch, generator, embedder, scratch))
+        except Exception as e:  # whatever the user's model does, later batches go on
+            put(spark.createDataFrame([], tables.SCHEMAS["questions"]))
+            rows = ids.withColumn("error", F.lit(f"{type(e).__name__}: {str(e)[:500]}"))
+            rows.write.mode("append").parquet(f"{folder}/question_failures")
+
+
+def stream_index(spark: SparkSession, source: str, folder: str, checkpoint: str, embedder=None, refresh: bool = False, buckets: int | None = None):
+    """Starts a query that indexes what is in ``source`` (JSON lines with video_id, segments and metadata) and then ends.
+
+    What it logs is named by the query's id, which its checkpoint keeps, and the batch's number.
+    """
+    _shared(spark, checkpoint)
+    text = spark.readStream.text(source)
+    at = F.struct(F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("n"))
+    lines = tables.told_apart(text.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), at.alias("at")))
 
+    def run(batch: DataFrame, n: int) -> None:
+        own = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        index_batch(batch, folder, embedder, n, own, refresh, buckets)
 
-def stream_index(spark: SparkSession, source: str, folder: str, checkpoint: str, embedder=None):
-    """Starts a query that indexes what is in ``source`` (JSON lines with video_id, segments and metadata) and then ends."""
-    _shared(spark, checkpoint)
-    text = spark.readStream.text(source).select(F.get_json_object("value", "$.video_id").alias("video_id"), F.col("value").alias("raw"))
-    return (
-        text.writeStream.foreachBatch(lambda df, n: index_batch(df, folder, embedder, n))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    before = spark.conf.get(_STATE_STORE, None)
+    spark.conf.set(_STATE_STORE, _ROCKSDB)  # a query takes its settings when it starts
+    try:
+        return whole_videos(lines).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_STATE_STORE, before) if before else spark.conf.unset(_STATE_STORE)
 
 
-def stream_questions(spark: SparkSession, folder: str, checkpoint: str, generator=None, embedder=None):
-    """Starts a query over the segments that stream_index logged; each is mined once, whatever else its tables get."""
+def stream_questions(spark: SparkSession, folder: str, checkpoint: str, generator=None, embedder=None, buckets: int | None = None):
+    """Starts a query over the segments that streams logged; each is mined once, whatever else the tables get."""
     _shared(spark, checkpoint)
     files = spark.readStream.schema(ARRIVED).option("recursiveFileLookup", "true").parquet(f"{folder}/arrived")
     return (
-        files.writeStream.foreachBatch(lambda df, _: question_batch(df, folder, generator, embedder))
+        files.writeStream.foreachBatch(lambda df, _: question_batch(df, folder, generator, embedder, buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
