@@ -12,7 +12,7 @@ from transcript_jobs import params as P
 from transcript_jobs import queries as Q
 from transcript_jobs.jobs import flows
 from transcript_jobs.operators import models, segments, summaries
-from transcript_jobs.queries import register
+from transcript_jobs.queries import REGISTERED, register
 from transcript_jobs.sources import tables
 from transcript_jobs.sources import testdata as D
 from transcript_jobs.sources.written import shared_dir
@@ -219,3 +219,40 @@ def save_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(stored, "video_id").select(
         "video_id", "cached_1", "cached_2", "cached_3", "summary.version", "summary.summary", F.col("summary.raw_output").isNotNull().alias("raw")
     )
+
+
+@register("embed_stored", REGISTERED["index_videos"][1])
+def embed_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors from a store: every other video first, then all, and again all, for which no model is needed."""
+    folder, raw = _folder(spark), D.segments(spark, sf_dir)
+    flows.index_videos(raw.filter("doc_id % 2 = 0"), store=folder).write.format("noop").mode("overwrite").save()
+    flows.index_videos(raw, store=folder).write.format("noop").mode("overwrite").save()
+    e = flows.index_videos(raw, models.Missing(), store=folder).select("video_id", "chunk_id", F.posexplode("embedding").alias("place", "x"))
+    return e.filter("x <> 0").select("video_id", "chunk_id", "place", F.round(F.col("x").cast("double"), 3).alias("weight"))
+
+
+@register(
+    "chat_turn",
+    f"""{Q._PAIRS}, {Q._BUDGET.format(m=P.CONTEXT_WORDS)}, r AS (
+  SELECT *, CASE WHEN question_id % 7 = 3 THEN '{P.EMPTY_QUESTION}' WHEN video_id = 'label000004' THEN '{P.NOT_INDEXED.replace("'", "''")}' END AS error FROM asked
+)
+SELECT r.question_id, error IS NULL AS success, error, CASE WHEN error IS NULL THEN CASE WHEN k.question_id IS NULL THEN '{P.NO_ANSWER.replace("'", "''")}' ELSE 'Found.' END END AS answer,
+       CASE WHEN error IS NULL THEN CASE WHEN r.question_id % 20 = 0 THEN 's' ELSE 'new' END || r.question_id END AS session_id, CASE WHEN error IS NULL THEN 2 ELSE 0 END::BIGINT AS messages,
+       error IS NULL AND r.question_id % 20 <> 0 AS new_session
+FROM r LEFT JOIN kept k ON k.question_id = r.question_id AND k.place = 1""",
+)
+def chat_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From requests to stored messages: some are blank, one video isn't indexed, every other session is of another video."""
+    q, chunks, k = D.asked(spark, sf_dir), D.vectors(spark, sf_dir), F.col("question_id")
+    name = F.concat(F.lit("s"), k.cast("string"))
+    asked = q.select("question_id", name.alias("session_id"), "video_id", F.when(k % 7 == 3, "  ").otherwise("Which topics are covered by videos?").alias("message"), "embedding")
+    videos = chunks.select("video_id", F.when(F.col("video_id") == "label000004", P.PROCESSING).otherwise(P.READY).alias("status")).distinct()
+    sessions = q.select(name.alias("session_id"), F.when(k % 20 == 0, F.col("video_id")).otherwise("another").alias("video_id"))
+    old = q.select(name.alias("session_id"), F.lit(1).alias("msg_id"), F.lit("user").alias("role"), F.lit("Tell me more.").alias("message"), F.timestamp_seconds(k).alias("created_at"))
+    out = flows.chat_turn(asked, videos, sessions, old, chunks, models.FixedGenerator("Found. Sources: 1"), flows.KEEP_VECTORS, F.concat(F.lit("new"), k.cast("string")))
+    m = out["messages"].groupBy("session_id").agg(F.count("*").alias("messages"))
+    new = out["sessions"].select("session_id", F.lit(True).alias("new_session"))
+    done = out["answers"].withColumn("session_id", F.when(F.col("success"), F.col("session_id")))
+    return done.join(m, "session_id", "left").join(new, "session_id", "left").select(
+        "question_id", "success", "error", "answer", "session_id", F.coalesce("messages", F.lit(0)).cast("long").alias("messages"), F.coalesce("new_session", F.lit(False)).alias("new_session")
+    )

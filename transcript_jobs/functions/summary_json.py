@@ -1,68 +1,104 @@
-"""Tolerant reading of a model's summary JSON, in Arrow batches."""
+"""Tolerant reading of a model's summary JSON: sound JSON by Spark's own parser, the rest mended in Arrow batches, in linear time."""
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from transcript_jobs.functions.text import strip
+
+LISTS = ("main_topics", "key_points", "conclusions")
 SUMMARY = "summary string, main_topics array<string>, key_points array<string>, conclusions array<string>"
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 _PAIRS = {"{": "}", "[": "]"}
+#: All that a mending without and with brackets looks at; what lies between is copied as it is.
+_MARKS = {False: re.compile(r'["\\]'), True: re.compile(r'["\\{}\[\]]')}
+_SPACE = re.compile(r"\s*")
+_ESCAPES = frozenset('"\\/bfnrtu')
+_AFTER_STRING = frozenset(",]}:")
 
 
 def _mend(text: str, inner_quotes: bool, brackets: bool) -> str:
-    """One pass over the text: invalid escapes go, quotes within strings are escaped, brackets are closed.
+    """The text with invalid escapes dropped, quotes within strings escaped (if ``inner_quotes``) and brackets closed (if ``brackets``).
 
-    A quote ends a string only before ``,``, ``]``, ``}``, ``:`` or the end of the text, if ``inner_quotes``.
+    A quote ends a string only before ``,``, ``]``, ``}``, ``:`` or the end of the text, if ``inner_quotes``. One walk from mark
+    to mark; blanks after a quote are looked at once, closers that are due are counted, so it takes linear time.
     """
     out: list[str] = []
     waiting: list[str] = []  # closers that are still due
-    quoted, i = False, 0
-    while i < len(text):
-        c = text[i]
-        i += 1
-        if quoted and c == "\\":
-            if text[i : i + 1] and text[i] in '"\\/bfnrtu':
-                out.append(c + text[i])
-                i += 1
+    due: Counter[str] = Counter()
+    quoted, copied, after = False, 0, 0  # copied: up to where the text is in out; after: up to where marks are dealt with
+    for m in _MARKS[brackets].finditer(text):
+        i, c = m.start(), m[0]
+        if i < after:
             continue
-        if c == '"':
-            if quoted and inner_quotes and text[i:].lstrip()[:1] not in ("", ",", "]", "}", ":"):
-                out.append('\\"')
-                continue
+        if c == "\\":
+            if quoted and text[i + 1 : i + 2] in _ESCAPES:
+                after = i + 2
+            elif quoted:
+                out.append(text[copied:i])
+                copied = i + 1
+        elif c == '"':
+            if quoted and inner_quotes:
+                follows = text[i + 1 : i + 2]
+                if follows.isspace():
+                    follows = text[(end := _SPACE.match(text, i + 1).end()) : end + 1]
+                if follows and follows not in _AFTER_STRING:
+                    out += text[copied:i], '\\"'
+                    copied = i + 1
+                    continue
             quoted = not quoted
-        elif not quoted and brackets and c in _PAIRS:
+        elif quoted:
+            continue
+        elif c in _PAIRS:
             waiting.append(_PAIRS[c])
-        elif not quoted and brackets and c in "}]":
-            if c not in waiting:
+            due[_PAIRS[c]] += 1
+        else:
+            out.append(text[copied:i])
+            copied = i
+            if not due[c]:
+                copied = i + 1
                 continue
-            while waiting[-1] != c:
-                out.append(waiting.pop())
-            waiting.pop()
-        out.append(c)
+            while (top := waiting.pop()) != c:
+                out.append(top)
+                due[top] -= 1
+            due[c] -= 1
+    out.append(text[copied:])
     body = "".join(out)
     if brackets:
         body += '"' * quoted
-        body = re.sub(r",\s*\Z", "", body) + "".join(reversed(waiting))
+        stripped = body.rstrip()
+        body = (stripped[:-1] if stripped.endswith(",") else body) + "".join(reversed(waiting))
     return body
 
 
 def _read(text: str):
     """The JSON value of a text, mended as little as possible; None if nothing helps."""
-    for inner, brackets in ((False, False), (False, True), (True, False), (True, True)):
-        try:
-            return json.loads(_mend(text, inner, brackets), strict=False)
-        except ValueError:
+    tried = None
+    for mend in (None, (False, False), (False, True), (True, False), (True, True)):
+        body = text if mend is None else _mend(text, *mend)
+        if body == tried:
             continue
+        try:
+            return json.loads(body, strict=False)
+        except (ValueError, RecursionError):
+            tried = body
     return None
 
 
+def _plain(text: str) -> str:
+    """Without halves of surrogate pairs, which no text column can hold."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+
+
 def _strings(value) -> list[str]:
-    return [s for s in (str(x).strip() for x in value) if s] if isinstance(value, list) else []
+    return [_plain(s) for s in (str(x).strip() for x in value) if s] if isinstance(value, list) else []
 
 
 def parse_one(raw: str | None) -> dict | None:
@@ -75,15 +111,15 @@ def parse_one(raw: str | None) -> dict | None:
         value = _read(t)
         if value is None and "{" in t:
             opened = t[t.index("{") :]
-            if "}" in opened:
-                value = _read(opened[: opened.rindex("}") + 1])
-            value = _read(opened) if value is None else value
+            for part in dict.fromkeys((opened[: opened.rfind("}") + 1], opened)):
+                if value is None and part and part != t:
+                    value = _read(part)
         if not isinstance(value, dict):
             continue
         lines = _strings(value.get("summary_lines"))
         summary = "\n".join(lines) if lines else value.get("summary")
         if isinstance(summary, str) and summary.strip():
-            return {"summary": summary.strip()} | {k: _strings(value.get(k)) for k in ("main_topics", "key_points", "conclusions")}
+            return {"summary": _plain(summary.strip())} | {k: _strings(value.get(k)) for k in LISTS}
     return None
 
 
@@ -100,16 +136,41 @@ def salvage_one(raw: str | None) -> list[str] | None:
     return found or None
 
 
+def _sound(raw: Column) -> Column:
+    """The parsed struct where the output is plain sound JSON with a summary, texts and lists of texts alone; NULL for all others.
+
+    These give the same by either way, and need no Python: no fence, no key twice, no halves of characters, nothing that
+    Spark's parser refuses.
+    """
+    kinds = F.schema_of_variant(F.try_parse_json(raw))
+    odd = r"(^|\W)((summary_lines|main_topics|key_points|conclusions): (?!ARRAY<(STRING|VOID)>)|summary: (?!STRING))"
+    plain = kinds.startswith("OBJECT<") & ~kinds.rlike(odd) & ~raw.contains("```") & ~raw.rlike(r"(?i)\\u(d[89a-f]|0000)")
+    got = F.try_variant_get(F.try_parse_json(raw), "$", f"struct<summary_lines: array<string>, {SUMMARY}>")
+    none = F.array().cast("array<string>")
+    whole = lambda c: ~F.exists(F.coalesce(c, none), lambda x: x.isNull())
+    texts = lambda c: F.filter(F.transform(F.coalesce(c, none), strip), lambda x: x != "")
+
+    def made(g: Column) -> Column:
+        lines = texts(g["summary_lines"])
+        summary = F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(strip(g["summary"]))
+        fits = whole(g["summary_lines"]) & whole(g["main_topics"]) & whole(g["key_points"]) & whole(g["conclusions"]) & (summary != "")
+        return F.when(fits, F.struct(summary.alias("summary"), *[texts(g[k]).alias(k) for k in LISTS]))
+
+    return F.when(plain, F.get(F.transform(F.array(got), made), F.lit(0)))  # got is made once, for all that is made of it
+
+
 def parse_summary(c: Column) -> Column:
     """Struct of the parsed summary; NULL where none can be read."""
 
     @F.pandas_udf(SUMMARY)
-    def run(raw: pd.Series) -> pd.DataFrame:
-        got = [parse_one(x) or {} for x in raw]
-        return pd.DataFrame([{k: g.get(k) for k in ("summary", "main_topics", "key_points", "conclusions")} for g in got], columns=["summary", "main_topics", "key_points", "conclusions"])
+    def mended(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for raw in batches:
+            got = [parse_one(x) or {} for x in raw]
+            yield pd.DataFrame([{k: g.get(k) for k in ("summary", *LISTS)} for g in got], columns=["summary", *LISTS])
 
-    parsed = run(c)
-    return F.when(parsed["summary"].isNotNull(), parsed)
+    sound = _sound(c)
+    rest = mended(F.when(sound.isNull(), c))
+    return F.coalesce(sound, F.when(rest["summary"].isNotNull(), rest))
 
 
 def salvage_lines(c: Column) -> Column:
@@ -123,14 +184,21 @@ def salvage_lines(c: Column) -> Column:
 
 
 def final_summary(raw: Column) -> Column:
-    """struct(summary, lists, raw_output): parsed, else the salvaged rows, else the raw output itself."""
-    none = F.array().cast("array<string>")
-    p, s = parse_summary(raw), salvage_lines(raw)
-    pick = lambda k: F.coalesce(p[k], none)
-    return F.struct(
-        F.coalesce(p["summary"], F.array_join(s, "\n"), raw).alias("summary"),
-        pick("main_topics").alias("main_topics"),
-        pick("key_points").alias("key_points"),
-        pick("conclusions").alias("conclusions"),
-        F.when(p["summary"].isNull() & s.isNull(), raw).alias("raw_output"),
-    )
+    """struct(summary, lists, raw_output): parsed, else the salvaged rows, else the raw output itself. One pass over what isn't sound."""
+
+    def last(x: str | None) -> dict:
+        if x is None:
+            return {}
+        if got := parse_one(x):
+            return got
+        lines = salvage_one(x)
+        return {"summary": "\n".join(lines)} if lines else {"summary": x, "raw_output": x}
+
+    @F.pandas_udf(f"{SUMMARY}, raw_output string")
+    def mended(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([{"summary": None, "raw_output": None} | dict.fromkeys(LISTS, []) | last(x) for x in b], columns=["summary", *LISTS, "raw_output"])
+
+    sound = _sound(raw)
+    rest = mended(F.when(sound.isNull(), raw))
+    return F.when(sound.isNotNull(), sound.withField("raw_output", F.lit(None).cast("string"))).otherwise(rest)

@@ -33,17 +33,23 @@ def ingest(raw: DataFrame, max_words: int = P.CHUNK_WORDS) -> dict[str, DataFram
     }
 
 
-def index_videos(raw: DataFrame, embedder=None, max_words: int = P.CHUNK_WORDS) -> DataFrame:
-    """Chunks with vectors, dealt out evenly by row before the model, so that a long video makes no slow task."""
+def index_videos(raw: DataFrame, embedder=None, max_words: int = P.CHUNK_WORDS, store: str | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Chunks with vectors, dealt out evenly by row before the model, so that a long video makes no slow task.
+
+    ``store``: a folder where vectors are kept by the content of their texts, so that no text is embedded twice.
+    """
     chunks = chunking.chunk_segments(segments.clean_segments(raw), max_words)
+    if store:
+        return models.embed_stored(chunks, "text", store, embedder, scratch=scratch)
     return models.embed_column(chunks.repartition(F.xxhash64("video_id", "chunk_id")), "text", embedder)
 
 
 def mine_questions(clean: DataFrame, generator=None, embedder=None, scratch: Scratch | None = None) -> DataFrame:
     """(video_id, question, start, end, segment_index): the questions asked in cleaned segments. The model is called once per window."""
     windows = questions.cap_candidates(questions.question_windows(clean))
-    prompts = questions.question_prompts(windows).repartition(F.xxhash64("video_id", "segment_index"))
-    asked = written(models.generate_column(prompts, "messages", generator or models.FirstQuestionGenerator(), batch_size=P.VALIDATION_BATCH), scratch)
+    prompts = models.dealt_by_length(written(questions.question_prompts(windows), scratch), "messages", ["video_id", "segment_index"])
+    generator = generator or models.FirstQuestionGenerator()
+    asked = written(models.generate_column(prompts, "messages", generator, batch_size=P.VALIDATION_BATCH, max_tokens=F.lit(P.VALIDATION_TOKENS)), scratch)
     found = questions.accept_questions(asked).select("video_id", "question", "start", "end", "segment_index")
     return questions.rank_questions(questions.dedupe_questions(found, embedder=embedder))
 
@@ -57,7 +63,7 @@ def answer_questions(requests: DataFrame, history: DataFrame, chunks: DataFrame,
     """
     r = chat.rewrite_prompts(requests, history).withColumn("follows", looks_like_follow_up(F.col("message")))
     unclear = (F.col("history_size") > 0) & F.coalesce("follows", F.lit(False))
-    again = written(models.generate_column(r.filter(unclear), "messages", generator, "rewritten"), scratch).drop("error")
+    again = written(models.generate_column(r.filter(unclear), "messages", generator, "rewritten", max_tokens=F.lit(P.REWRITE_TOKENS)), scratch).drop("error")
     r = again.unionByName(r.filter(~unclear).withColumn("rewritten", F.lit(None).cast("string"))).drop("messages")
     query = C.accept_rewrite(F.col("message"), F.col("rewritten"), F.col("history_size"), F.col("follows"))
     r = r.withColumn("search_query", query)
@@ -65,7 +71,7 @@ def answer_questions(requests: DataFrame, history: DataFrame, chunks: DataFrame,
     found = retrieval.fit_word_budget(retrieval.relevant_chunks(retrieval.retrieve_chunks_blocked(r, chunks)))
     rows = written(r.drop("embedding").join(found, ["question_id", "video_id"], "left"), scratch)
     known = F.col("chunks").isNotNull()
-    asked = models.generate_column(chat.answer_prompts(rows.filter(known)), "messages", generator)
+    asked = models.generate_column(chat.answer_prompts(rows.filter(known)), "messages", generator, max_tokens=F.lit(P.ANSWER_TOKENS))
     cite = C.extract_citations(strip(F.coalesce("output", F.lit(""))), F.size("chunks"))
     cited = asked.withColumn("c", cite).withColumn("s", C.build_sources(F.col("video_id"), F.col("chunks"), F.col("c.cited")))
     done = cited.withColumn("f", C.finalize_answer(F.col("c.answer"), F.col("s")))
@@ -104,13 +110,13 @@ def summarize_videos(chunks: DataFrame, generator=None, scratch: Scratch | None
     Each model call is made once.
     """
     planned = written(summaries.planned_chunks(chunks), scratch)
-    prompts = summaries.chunk_prompts(planned).repartition(F.xxhash64("video_id", "chunk_id"))
-    mapped = written(models.generate_column(prompts, "messages", generator).select("video_id", "chunk_id", "mode", F.col("output").alias("text"), "error"), scratch)
+    prompts = models.dealt_by_length(summaries.chunk_prompts(planned), "messages", ["video_id", "chunk_id"])
+    mapped = written(models.generate_column(prompts, "messages", generator, max_tokens=F.col("max_tokens")).select("video_id", "chunk_id", "mode", F.col("output").alias("text"), "error"), scratch)
     failed = mapped.filter("error IS NOT NULL").select("video_id").distinct()
     sections = planned.filter("mode = 'direct'").select("video_id", "chunk_id", "mode", "text").unionByName(mapped.drop("error").join(failed, "video_id", "left_anti"))
 
     def attempt(p: DataFrame) -> DataFrame:
-        out = models.generate_column(p, "messages", generator).filter("output IS NOT NULL")
+        out = models.generate_column(p, "messages", generator, max_tokens=F.lit(P.FINAL_TOKENS)).filter("output IS NOT NULL")
         return written(out.withColumn("summary", J.final_summary(F.col("output"))).select("video_id", "messages", "summary"), scratch)
 
     first = attempt(summaries.final_prompts(summaries.combine_sections(sections)))

@@ -7,6 +7,10 @@ TOP_K, SIMILARITY, DIGITS = 3, 0.25, 4
 CANDIDATES, QUESTIONS, MERGE_GAP, DEDUPE, GROUNDING = 60, 12, 2.0, 0.80, 0.5
 SUMMARY_BATCH, VALIDATION_BATCH, EMBEDDING_BATCH = 16, 20, 32
 SUMMARY_LINES, SUMMARY_VERSION, DIMENSION = 15, 3, 384
+#: A model call: padded characters of a batch at most, and how many of them a call costs beside its rows.
+BATCH_CHARS, CALL_CHARS = 96_000, 400
+#: Tokens that a reply may have, by what is asked; those of a chunk's summary are in LENGTH_RULES.
+FINAL_TOKENS, VALIDATION_TOKENS, ANSWER_TOKENS, REWRITE_TOKENS = 800, 40, 300, 60
 #: Chunks of a video from which on a rule holds: (least chunks, token cap, wording).
 LENGTH_RULES = (
     (8, 120, "2 to 3 sentences, below about 70 words"),

@@ -731,33 +731,93 @@ _WHOLE_OUTPUTS = """WITH l AS (
 ), b AS (
   SELECT *, '{"summary_lines": ["' || array_to_string(lines, '",' || chr(10) || '"') || '"], "main_topics": ["a", " b "], "key_points": [], "conclusions": ["c"]}' AS body FROM l
 ), o AS (
-  SELECT doc_id, k, k < 3 AND len(lines) > 0 AS parsed, len(lines) AS n, array_to_string(list_transform(lines, lambda x: trim(x)), chr(10)) AS summary,
+  SELECT doc_id, k, lines, k < 3 AND len(lines) > 0 AS parsed, len(lines) AS n, array_to_string(list_transform(lines, lambda x: trim(x)), chr(10)) AS summary,
          CASE k WHEN 0 THEN body WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 2 THEN left(body, length(body) - 2) ELSE text END AS raw
   FROM b
 )"""
 
 
-@register("parse_summary", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN summary END AS summary, CASE WHEN parsed THEN 'a,b' END AS topics FROM o""")
-@register("parse_summary_whole", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN summary END AS summary, CASE WHEN parsed THEN 'a,b' END AS topics FROM o""")
-def parse_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _whole_outputs(spark, sf_dir).withColumn("p", J.parse_summary(F.col("raw")))
+_PARSED = "SELECT doc_id, CASE WHEN parsed THEN summary END AS summary, CASE WHEN parsed THEN {topics} END AS topics FROM o"
+_FINAL = "SELECT doc_id, CASE WHEN parsed THEN summary ELSE raw END AS summary, raw IS NOT NULL AND NOT parsed AS raw FROM o"
+
+
+def _parse(outputs: DataFrame) -> DataFrame:
+    p = outputs.withColumn("p", J.parse_summary(F.col("raw")))
     return p.select("doc_id", F.col("p.summary").alias("summary"), F.array_join("p.main_topics", ",").alias("topics"))
 
 
-@register("final_summary", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN summary ELSE raw END AS summary, raw IS NOT NULL AND NOT parsed AS raw FROM o""")
-@register("final_summary_whole", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN summary ELSE raw END AS summary, raw IS NOT NULL AND NOT parsed AS raw FROM o""")
-def final_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document, those that nothing can be read of too."""
-    f = _whole_outputs(spark, sf_dir).withColumn("f", J.final_summary(F.col("raw")))
+def _finish(outputs: DataFrame) -> DataFrame:
+    f = outputs.withColumn("f", J.final_summary(F.col("raw")))
     return f.select("doc_id", F.col("f.summary").alias("summary"), F.col("f.raw_output").isNotNull().alias("raw"))
 
 
-@register("salvage_lines", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN greatest(n - CASE k WHEN 2 THEN 1 ELSE 2 END, 0) ELSE 0 END::BIGINT AS n FROM o""")
-@register("salvage_lines_whole", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN greatest(n - CASE k WHEN 2 THEN 1 ELSE 2 END, 0) ELSE 0 END::BIGINT AS n FROM o""")
-def salvage_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _salvage(outputs: DataFrame) -> DataFrame:
+    return outputs.select("doc_id", F.array_join(J.salvage_lines(F.col("raw")), "\n").alias("lines"))
+
+
+@register("parse_summary", f"{_WHOLE_OUTPUTS} {_PARSED.format(topics="'a,b'")}")
+def parse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parse(_whole_outputs(spark, sf_dir))
+
+
+@register("final_summary", f"{_WHOLE_OUTPUTS} {_FINAL}")
+def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document, those that nothing can be read of too."""
+    return _finish(_whole_outputs(spark, sf_dir))
+
+
+_TAIL = '"], "main_topics": ["a", " b "], "key_points": [], "conclusions": ["c'
+
+
+@register(
+    "salvage_lines",
+    f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed AND len(s) > 0 THEN array_to_string(s, chr(10)) END AS lines
+FROM (SELECT *, list_transform(list_concat(lines[2:-2], CASE WHEN k = 2 AND n > 1 THEN [lines[n] || '{_TAIL}'] ELSE [] END), lambda x: trim(x)) AS s FROM o)""",
+)
+def salvage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole rows between the first and the last of JSON, plain or fenced; cut JSON ends in a quote, so its last row counts too. Prose has none."""
-    lines = J.salvage_lines(F.col("raw"))
-    return _whole_outputs(spark, sf_dir).select("doc_id", F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n"))
+    return _salvage(_whole_outputs(spark, sf_dir))
+
+
+def _damaged_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as JSON that a model spoiled: quotes within quotes, an end that is missing, a comma before it, an invalid escape."""
+    k = F.col("doc_id") % 4
+    clean = F.filter(F.split(F.translate("text", '"\\', ""), "\n"), lambda x: F.trim(x) != "")
+    odd = F.transform(clean, lambda x: F.concat(F.trim(x), F.when(k == 0, ' the "odd" one').when(k == 3, "\\_x").otherwise("")))
+    rows = F.concat(F.lit('{"summary_lines": ["'), F.array_join(odd, '",\n"'), F.lit('"'))
+    end = F.when(k == 1, "").when(k == 2, ",\n ").otherwise('], "main_topics": ["a"]}')
+    return D.documents(spark, sf_dir).select("doc_id", F.concat(rows, end).alias("raw"))
+
+
+_DAMAGED_OUTPUTS = """WITH l AS (
+  SELECT doc_id, doc_id % 4 AS k, list_transform(list_filter(string_split(replace(replace(text, '"', ''), chr(92), ''), chr(10)), lambda x: trim(x) <> ''), lambda x: trim(x)) AS rows FROM documents
+), b AS (
+  SELECT *, len(rows) AS n, CASE k WHEN 0 THEN ' the "odd" one' WHEN 3 THEN '_x' ELSE '' END AS more, CASE k WHEN 0 THEN ' the "odd" one' WHEN 3 THEN chr(92) || '_x' ELSE '' END AS spoiled,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN ',' || chr(10) || ' ' ELSE '], "main_topics": ["a"]}' END AS finish FROM l
+), o AS (
+  SELECT *, n > 0 AS parsed, array_to_string(list_transform(rows, lambda x: x || more), chr(10)) AS summary, CASE WHEN k IN (0, 3) THEN 'a' ELSE '' END AS topics,
+         '{"summary_lines": ["' || array_to_string(list_transform(rows, lambda x: x || spoiled), '",' || chr(10) || '"') || '"' || finish AS raw FROM b
+)"""
+
+
+@register("parse_summary_whole", f"{_DAMAGED_OUTPUTS} {_PARSED.format(topics='topics')}")
+def parse_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parse(_damaged_outputs(spark, sf_dir))
+
+
+@register("final_summary_whole", f"{_DAMAGED_OUTPUTS} {_FINAL}")
+def finish_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _finish(_damaged_outputs(spark, sf_dir))
+
+
+@register(
+    "salvage_lines_whole",
+    f"""{_DAMAGED_OUTPUTS} SELECT doc_id, CASE WHEN len(s) > 0 THEN array_to_string(s, chr(10)) END AS lines
+FROM (SELECT *, list_transform(rows[2 : n - CASE WHEN k IN (0, 3) THEN 1 ELSE 0 END], lambda x: x || spoiled) AS s FROM o)""",
+)
+def salvage_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows but the first; the last one only where nothing but a comma follows."""
+    return _salvage(_damaged_outputs(spark, sf_dir))
 
 
 @register("summary_stats", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS n_lines, " + _of(_WORDS, "text") + "::BIGINT AS n_words FROM documents")
@@ -892,6 +952,12 @@ def transcript_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("usable_chunks", """SELECT doc_id FROM documents WHERE regexp_replace(text, '\\s', '', 'g') <> ''""")
-@register("usable_chunks_whole", """SELECT doc_id FROM documents WHERE regexp_replace(text, '\\s', '', 'g') <> ''""")
-def usable_chunks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def usable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.usable_chunks(D.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id")
+
+
+@register("usable_chunks_whole", """SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND regexp_replace(text, '\\s', '', 'g') <> ''""")
+def usable_among_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third text with all but its white space taken out."""
+    blank = F.regexp_replace("text", r"(?U)\S", "")
+    return summaries.usable_chunks(D.documents(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, blank).otherwise(F.col("text")).alias("text"))).select("doc_id")
