@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from transcript_jobs import params as P
 from transcript_jobs import queries as Q
 from transcript_jobs.jobs import flows
-from transcript_jobs.operators import models, segments, summaries
+from transcript_jobs.operators import long_videos, models, segments, summaries, vector_index
 from transcript_jobs.queries import REGISTERED, register
 from transcript_jobs.sources import tables
 from transcript_jobs.sources import testdata as D
@@ -256,3 +256,38 @@ def chat_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.join(m, "session_id", "left").join(new, "session_id", "left").select(
         "question_id", "success", "error", "answer", "session_id", F.coalesce("messages", F.lit(0)).cast("long").alias("messages"), F.coalesce("new_session", F.lit(False)).alias("new_session")
     )
+
+
+# --- videos of any length: the rows of the operators that see a video in one task --------------------------------
+
+
+@register("clean_segments_ranged", REGISTERED["clean_segments"][1])
+def clean_segments_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_videos.clean_segments(D.segments(spark, sf_dir))
+
+
+def _stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark)
+    tables.save_table(Q._clean(spark, sf_dir), folder, "segments", buckets=8)
+    return tables.load_table(spark, folder, "segments")
+
+
+@register("question_windows_ranged", REGISTERED["question_windows"][1])
+def question_windows_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of 64 segments, so that many windows lie on a border."""
+    return long_videos.question_windows(_stored_segments(spark, sf_dir), block=64)
+
+
+@register("chunk_segments_ranged", REGISTERED["chunk_segments_500"][1])
+def chunk_segments_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of 64 segments, so that many chunks lie on a border."""
+    return long_videos.chunk_segments(_stored_segments(spark, sf_dir), block=64)
+
+
+@register("retrieve_chunks_indexed", REGISTERED["retrieve_chunks"][1])
+def retrieve_chunks_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors are indexed, stored and loaded, and questions look at some of their cells."""
+    folder, chunks = _folder(spark), D.vectors(spark, sf_dir)
+    vector_index.save_vectors(chunks, folder)
+    vectors, cells = (tables.load_table(spark, folder, t) for t in ("vectors", "cells"))
+    return vector_index.retrieve_indexed(D.asked(spark, sf_dir), vectors, cells, chunks).select(*Q._RETRIEVED)

@@ -13,7 +13,7 @@ from transcript_jobs import params as P
 from transcript_jobs.functions import citations as C
 from transcript_jobs.functions import summary_json as J
 from transcript_jobs.functions.text import looks_like_follow_up, strip
-from transcript_jobs.operators import chat, chunking, index, models, questions, retrieval, segments, summaries
+from transcript_jobs.operators import chat, chunking, index, long_videos, models, questions, retrieval, segments, summaries
 from transcript_jobs.sources import tables
 from transcript_jobs.sources.written import Scratch, written
 
@@ -33,20 +33,27 @@ def ingest(raw: DataFrame, max_words: int = P.CHUNK_WORDS) -> dict[str, DataFram
     }
 
 
-def index_videos(raw: DataFrame, embedder=None, max_words: int = P.CHUNK_WORDS, store: str | None = None, scratch: Scratch | None = None) -> DataFrame:
+def embed_chunks(chunks: DataFrame, embedder=None, store: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Chunks with vectors, dealt out evenly by row before the model, so that a long video makes no slow task.
 
     ``store``: a folder where vectors are kept by the content of their texts, so that no text is embedded twice.
     """
-    chunks = chunking.chunk_segments(segments.clean_segments(raw), max_words)
     if store:
         return models.embed_stored(chunks, "text", store, embedder, scratch=scratch)
     return models.embed_column(chunks.repartition(F.xxhash64("video_id", "chunk_id")), "text", embedder)
 
 
-def mine_questions(clean: DataFrame, generator=None, embedder=None, scratch: Scratch | None = None) -> DataFrame:
-    """(video_id, question, start, end, segment_index): the questions asked in cleaned segments. The model is called once per window."""
-    windows = questions.cap_candidates(questions.question_windows(clean))
+def index_videos(raw: DataFrame, embedder=None, max_words: int = P.CHUNK_WORDS, store: str | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Chunks with vectors of raw segments; see embed_chunks."""
+    return embed_chunks(chunking.chunk_segments(segments.clean_segments(raw), max_words), embedder, store, scratch)
+
+
+def mine_questions(clean: DataFrame, generator=None, embedder=None, scratch: Scratch | None = None, block: int | None = None) -> DataFrame:
+    """(video_id, question, start, end, segment_index): the questions asked in cleaned segments. The model is called once per window.
+
+    ``block``: so many segments of a video in a task at a time (see long_videos).
+    """
+    windows = questions.cap_candidates(long_videos.question_windows(clean, block=block) if block else questions.question_windows(clean))
     prompts = models.dealt_by_length(written(questions.question_prompts(windows), scratch), "messages", ["video_id", "segment_index"])
     generator = generator or models.FirstQuestionGenerator()
     asked = written(models.generate_column(prompts, "messages", generator, batch_size=P.VALIDATION_BATCH, max_tokens=F.lit(P.VALIDATION_TOKENS)), scratch)

@@ -15,7 +15,7 @@ from transcript_jobs import params as P
 CHUNK = "video_id string, chunk_id int, start double, end double, text string, word_count int"
 
 
-def _pack(texts: list[str], start: np.ndarray, end: np.ndarray, most: int) -> list[tuple]:
+def pack(texts: list[str], start: np.ndarray, end: np.ndarray, most: int) -> list[tuple]:
     """(start, end, text, words) of the chunks of one video: a search per chunk in the running word counts."""
     counts = np.array([t.count(" ") + 1 if t else 0 for t in texts])
     total = np.concatenate([[0], np.cumsum(counts)])
@@ -70,19 +70,19 @@ def chunk_segments(segments: DataFrame, max_words: int = P.CHUNK_WORDS) -> DataF
     """(video_id, chunk_id from 1, start, end, text, word_count): segments kept whole where they fit.
 
     A segment of more than ``max_words`` closes the open chunk and is cut at words, its time shared by word
-    position. Packing is sequential within a video (a day of speech is about 10^5 segments); a split's videos
-    are packed one after the other, so many short ones cost no call each. Rows without a video are dropped.
+    position. Packing is sequential within a video (a day of speech is about 10^5 segments; long_videos has videos
+    of any length); a split's videos are packed one after the other, so many short ones cost no call each. Rows without a video are dropped.
     """
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
         ids, texts = rows["video_id"].to_numpy(), rows["text"].tolist()
         start, end = rows["start"].to_numpy(float), rows["end"].to_numpy(float)
         edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
         out = []
         for a, b in itertools.pairwise(edges):
-            own = _pack(texts[a:b], start[a:b], end[a:b], max_words)
+            own = pack(texts[a:b], start[a:b], end[a:b], max_words)
             out += [(ids[a], i, *c) for i, c in enumerate(own, 1)]
         return pd.DataFrame(out, columns=["video_id", "chunk_id", "start", "end", "text", "word_count"])
 
     rows = segments.filter("video_id IS NOT NULL").select("video_id", "seg_idx", "start", "end", "text")
-    return by_video(rows, ["seg_idx"], pack, CHUNK)
+    return by_video(rows, ["seg_idx"], packed, CHUNK)

@@ -90,10 +90,31 @@ def accept_questions(answered: DataFrame) -> DataFrame:
     return found.filter(grounding_overlap(F.col("question"), F.col("text")) >= P.GROUNDING).drop("output")
 
 
+#: Questions that are compared at once.
+DEDUPE_BLOCK = 1024
+
+
+def _distinct(v: np.ndarray, threshold: float) -> list[int]:
+    """Rows of v, in order, whose product with every kept row before is below the threshold."""
+    kept = np.array([], int)
+    for x in range(0, len(v), DEDUPE_BLOCK):
+        block = v[x : x + DEDUPE_BLOCK]
+        fresh = np.ones(len(block), bool)
+        for y in range(0, len(kept), DEDUPE_BLOCK):
+            fresh[fresh] = ~(block[fresh] @ v[kept[y : y + DEDUPE_BLOCK]].T >= threshold).any(axis=1)
+        near, own = block[fresh] @ block[fresh].T >= threshold, []
+        for i in range(len(near)):
+            if not near[i, own].any():
+                own.append(i)
+        kept = np.append(kept, x + np.flatnonzero(fresh)[own])
+    return kept.tolist()
+
+
 def dedupe_questions(questions: DataFrame, threshold: float = P.DEDUPE, embedder=None) -> DataFrame:
     """Questions without those whose cosine to an earlier kept one of the video reaches ``threshold`` (but for rounding).
 
-    cap_candidates bounds a video's questions, so a group is small.
+    A video's questions are gone through in blocks of DEDUPE_BLOCK: a block is compared with the kept ones in matrix parts, then
+    within itself; so memory grows with the questions, not with their pairs.
     """
     fields = [f for f in questions.schema.fields if f.name != "_v"]
 
@@ -102,11 +123,7 @@ def dedupe_questions(questions: DataFrame, threshold: float = P.DEDUPE, embedder
         edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
         kept: list[int] = []
         for a, b in itertools.pairwise(edges):
-            near, own = v[a:b] @ v[a:b].T >= threshold - 1e-6, []
-            for i in range(b - a):
-                if not near[i, own].any():
-                    own.append(i)
-            kept += [a + i for i in own]
+            kept += [a + i for i in _distinct(v[a:b], threshold - 1e-6)]
         return rows.loc[kept, [f.name for f in fields]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)

@@ -30,15 +30,16 @@ def question_chunk_pairs(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return q.join(c, "video_id").select("question_id", "video_id", "chunk_id", cosine(F.col("_q"), F.col("_c")).alias("similarity"))
 
 
-def _best(pairs: DataFrame, k: int) -> DataFrame:
+def best(pairs: DataFrame, k: int) -> DataFrame:
+    """Each question's k nearest with their ``rank``, ties by chunk_id; similarities are rounded after that."""
     order = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "chunk_id")
     ranked = pairs.filter("similarity IS NOT NULL").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.withColumn("similarity", F.round("similarity", P.DIGITS))
 
 
-def _with_chunks(best: DataFrame, chunks: DataFrame) -> DataFrame:
+def with_chunks(found: DataFrame, chunks: DataFrame) -> DataFrame:
     """Texts and times join the winners only."""
-    return best.join(chunks.select("video_id", "chunk_id", "start", "end", "text"), ["video_id", "chunk_id"])
+    return found.join(chunks.select("video_id", "chunk_id", "start", "end", "text"), ["video_id", "chunk_id"])
 
 
 def retrieve_chunks(questions: DataFrame, chunks: DataFrame, k: int = P.TOP_K) -> DataFrame:
@@ -46,15 +47,14 @@ def retrieve_chunks(questions: DataFrame, chunks: DataFrame, k: int = P.TOP_K) -
 
     Built-in expressions; right for few chunks a video. Vectors stay out of the ranking shuffle.
     """
-    return _with_chunks(_best(question_chunk_pairs(questions, chunks), k), chunks)
+    return with_chunks(best(question_chunk_pairs(questions, chunks), k), chunks)
 
 
-def retrieve_chunks_blocked(questions: DataFrame, chunks: DataFrame, k: int = P.TOP_K) -> DataFrame:
-    """As retrieve_chunks, by matrix products of blocks: a popular video's questions and chunks go to many tasks.
+def best_of_blocks(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(question_id, video_id, chunk_id, similarity): of each block of chunks the k nearest to a question of their video.
 
     Only chunks of videos that are asked about are looked at. Both sides are dealt into blocks of BLOCK rows by
-    their counts, and each block of questions meets each of chunks. A block gives its k best; vectors stay out
-    of the ranking shuffle.
+    their counts, and each block of questions meets each of chunks.
     """
 
     def top(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -85,7 +85,12 @@ def retrieve_chunks_blocked(questions: DataFrame, chunks: DataFrame, k: int = P.
     by = ["video_id", "_cb", "_qb"]
     pairs = asked.select(*by, "question_id", "embedding").groupBy(*by).cogroup(own.select(*by, "chunk_id", "embedding").groupBy(*by))
     kind = dict(questions.dtypes)["question_id"]
-    return _with_chunks(_best(pairs.applyInPandas(top, f"question_id {kind}, video_id string, chunk_id int, similarity double"), k), chunks)
+    return pairs.applyInPandas(top, f"question_id {kind}, video_id string, chunk_id int, similarity double")
+
+
+def retrieve_chunks_blocked(questions: DataFrame, chunks: DataFrame, k: int = P.TOP_K) -> DataFrame:
+    """As retrieve_chunks, by matrix products of blocks: a popular video's questions and chunks go to many tasks; vectors stay out of the ranking shuffle."""
+    return with_chunks(best(best_of_blocks(questions, chunks, k), k), chunks)
 
 
 def relevant_chunks(retrieved: DataFrame, threshold: float = P.SIMILARITY) -> DataFrame:

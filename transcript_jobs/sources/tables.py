@@ -17,6 +17,8 @@ SCHEMAS = {
     "transcripts": "video_id string, language string, duration double, full_text string",
     "segments": "video_id string, seg_idx int, start double, end double, text string",
     "chunks": "video_id string, chunk_id int, start double, end double, text string, word_count int, embedding array<float>",
+    "vectors": "video_id string, chunk_id int, cell int, distance double, embedding array<float>",
+    "cells": "video_id string, cell int, n long, nearest double, farthest double, pivot array<double>",
     "questions": "video_id string, question string, start double, end double, segment_index int",
     "sessions": "session_id string, video_id string, created_at timestamp",
     "messages": "session_id string, msg_id long, role string, message string, sources array<struct<chunk_id: int, start: double, "

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from transcript_jobs import params as P
 from transcript_jobs.jobs import flows
-from transcript_jobs.operators import index, segments
+from transcript_jobs.operators import index, long_videos, segments
 from transcript_jobs.sources import tables
 from transcript_jobs.sources.written import Scratch, publish
 
@@ -123,8 +123,8 @@ def _store(scratch: Scratch, rows: DataFrame, folder: str, embedder, name: str,
     spark, ids = rows.sparkSession, rows.select("video_id").distinct()
     put = lambda df, table: tables.replace_buckets(df, folder, table, ids, scratch, buckets)
     raw = scratch(tables.explode_segments(rows))
-    clean = scratch(segments.clean_segments(raw))
-    chunks = scratch(flows.index_videos(raw, embedder))
+    clean = scratch(long_videos.clean_segments(raw))
+    chunks = scratch(flows.embed_chunks(long_videos.chunk_segments(clean), embedder, scratch=scratch))
     put(clean, "segments")
     put(chunks, "chunks")
     field = {c: F.get_json_object("raw", f"$.{c}") for c in _FIELDS}
@@ -147,7 +147,7 @@ def question_batch(batch: DataFrame, folder: str, generator=None, embedder=None,
         ids = batch.select("video_id").distinct()
         put = lambda df: tables.replace_buckets(df, folder, "questions", ids, scratch, buckets)
         try:
-            put(flows.mine_questions(batch, generator, embedder, scratch))
+            put(flows.mine_questions(batch, generator, embedder, scratch, long_videos.BLOCK))
         except Exception as e:  # whatever the user's model does, later batches go on
             put(spark.createDataFrame([], tables.SCHEMAS["questions"]))
             rows = ids.withColumn("error", F.lit(f"{type(e).__name__}: {str(e)[:500]}"))
