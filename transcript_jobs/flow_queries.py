@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from transcript_jobs import params as P
 from transcript_jobs import queries as Q
 from transcript_jobs.jobs import flows
-from transcript_jobs.operators import long_videos, models, segments, summaries, vector_index
+from transcript_jobs.operators import long_videos, models, questions, segments, summaries, vector_index
 from transcript_jobs.queries import REGISTERED, register
-from transcript_jobs.sources import tables
+from transcript_jobs.sources import bucketed, tables
 from transcript_jobs.sources import testdata as D
 from transcript_jobs.sources.written import shared_dir
 from transcript_jobs.streaming import arrivals
@@ -291,3 +291,17 @@ def retrieve_chunks_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector_index.save_vectors(chunks, folder)
     vectors, cells = (tables.load_table(spark, folder, t) for t in ("vectors", "cells"))
     return vector_index.retrieve_indexed(D.asked(spark, sf_dir), vectors, cells, chunks).select(*Q._RETRIEVED)
+
+
+# --- tables laid out by Spark's buckets ---------------------------------------------------------------------------
+
+
+@register("bucketed_windows", REGISTERED["question_windows"][1])
+def bucketed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw segments in a bucketed table, some videos of which were wrong and are replaced: cleaned and put in windows without an exchange."""
+    folder, raw = _folder(spark), D.segments(spark, sf_dir)
+    wrong = raw.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("why? "), "text")).otherwise(F.col("text")))
+    bucketed.save(wrong, folder, "raw_segments", buckets=8, groups=4)
+    again = raw.filter("doc_id % 3 = 0")
+    bucketed.replace(again, folder, "raw_segments", again)
+    return questions.question_windows(segments.clean_segments(bucketed.load(spark, folder, "raw_segments")))

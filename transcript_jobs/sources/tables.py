@@ -15,6 +15,7 @@ SCHEMAS = {
     "summary struct<summary: string, main_topics: array<string>, key_points: array<string>, conclusions: array<string>, "
     "raw_output: string, version: int>, created_at timestamp, updated_at timestamp",
     "transcripts": "video_id string, language string, duration double, full_text string",
+    "raw_segments": "video_id string, pos long, start double, end double, text string",
     "segments": "video_id string, seg_idx int, start double, end double, text string",
     "chunks": "video_id string, chunk_id int, start double, end double, text string, word_count int, embedding array<float>",
     "vectors": "video_id string, chunk_id int, cell int, distance double, embedding array<float>",
