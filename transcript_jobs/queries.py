@@ -680,9 +680,24 @@ def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.batch_stats(summaries.length_batches(_chunks(spark, sf_dir, SMALL_CHUNK)))
 
 
-@register("chunk_prompts", f"""{_C50}, {_PLAN} SELECT video_id, chunk_id, 'Transcript excerpt:' || chr(10) || chr(10) || text AS user_message FROM chunks JOIN plan USING (video_id) WHERE total_words > 700""")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _two_messages(prompts: DataFrame, *keys: str) -> DataFrame:
+    content = lambda i, name: F.col("messages")[i]["content"].alias(name)
+    return prompts.select(*keys, content(0, "system_message"), content(1, "user_message"))
+
+
+@register(
+    "chunk_prompts",
+    f"""{_C50}, {_PLAN} SELECT video_id, chunk_id, 'Transcript excerpt:' || chr(10) || chr(10) || text AS user_message,
+       replace({_quoted(summaries.CHUNK_SYSTEM)}, '{{rule}}', CASE WHEN n_chunks >= 8 THEN '{P.LENGTH_RULES[0][2]}' WHEN n_chunks >= 4 THEN '{P.LENGTH_RULES[1][2]}' ELSE '{P.LENGTH_RULES[2][2]}' END) AS system_message
+FROM chunks JOIN plan USING (video_id) WHERE total_words > 700""",
+)
 def chunk_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.chunk_prompts(summaries.planned_chunks(_chunks(spark, sf_dir, SMALL_CHUNK))).select("video_id", "chunk_id", F.col("messages")[1]["content"].alias("user_message"))
+    """With the rule of length by the number of chunks."""
+    return _two_messages(summaries.chunk_prompts(summaries.planned_chunks(_chunks(spark, sf_dir, SMALL_CHUNK))), "video_id", "chunk_id")
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -709,12 +724,13 @@ def combine_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "final_prompts",
-    f"{_C50}, {_PLAN}, {_COMBINED} SELECT video_id, CASE WHEN mode = 'direct' THEN 'Transcript:' ELSE 'Section summaries:' END || chr(10) || chr(10) || combined || '{summaries.FINAL_END}' AS user_message FROM combined".replace(
+    f"{_C50}, {_PLAN}, {_COMBINED} SELECT video_id, CASE WHEN mode = 'direct' THEN 'Transcript:' ELSE 'Section summaries:' END || chr(10) || chr(10) || combined || '{summaries.FINAL_END}' AS user_message, ".replace(
         "\n\nNow", "' || chr(10) || chr(10) || 'Now"
-    ),
+    )
+    + f"replace({_quoted(summaries.FINAL_SYSTEM)}, '{{source}}', CASE WHEN mode = 'direct' THEN 'its transcript' ELSE 'summaries of its sections, in order' END) AS system_message FROM combined",
 )
 def final_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.final_prompts(_sections(spark, sf_dir)).select("video_id", F.col("messages")[1]["content"].alias("user_message"))
+    return _two_messages(summaries.final_prompts(_sections(spark, sf_dir)), "video_id")
 
 
 def _whole_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
