@@ -111,7 +111,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _arrive(spark: SparkSession, folder: str, lines: DataFrame) -> None:
     """``lines`` (of JSON) come as more files, and the stream goes on."""
     lines.write.mode("append").text(f"{folder}/incoming")
-    arrivals.stream_index(spark, f"{folder}/incoming", folder, f"{folder}/stream-index").awaitTermination()
+    arrivals.stream_index(spark, f"{folder}/incoming", folder, f"{folder}/stream-index", buckets=8).awaitTermination()
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> str:
