@@ -1,5 +1,6 @@
 """Arrivals: two streams on one folder, retries in mid-batch, videos in several files and lines that can't be read end with the tables of one clean run."""
 
+import datetime
 import json
 import pathlib
 
@@ -129,6 +130,18 @@ def test_videos_in_several_files(spark, tmp_path, clean):
     assert v["v1"] == ("first", "ready") and t["v1"] == "en" and t["v4"] is None
 
 
+def test_parts_are_not_waited_for_for_ever(spark, tmp_path):
+    """What is there of a video goes to the quarantine in time; when it comes again, whole, it is indexed."""
+    index(spark, (put(tmp_path / "in", "1.json", halves("v1")[0], line("v4")), tmp_path / "in")[1], tmp_path / "out", tmp_path / "c", wait=datetime.timedelta(0))
+    put(tmp_path / "in", "2.json", line("v5"))
+    index(spark, tmp_path / "in", tmp_path / "out", tmp_path / "c", wait=datetime.timedelta(0))
+    assert contents_of_quarantine(spark, tmp_path / "out") == ["parts are missing"]
+    put(tmp_path / "in", "3.json", *halves("v1"))
+    index(spark, tmp_path / "in", tmp_path / "out", tmp_path / "c")
+    assert sorted(contents_of(spark, tmp_path / "out", "videos", "video_id")) == ["v1", "v4", "v5"]
+    assert contents_of_quarantine(spark, tmp_path / "out") == ["parts are missing"]
+
+
 BAD = {
     "": "blank", "   ": "blank", "not json": "not JSON", '{"video_id": "v9", "segments": [': "not JSON", "[1, 2]": "not an object", "7": "not an object",
     '{"segments": []}': "no video_id", '{"video_id": null}': "no video_id", '{"video_id": " "}': "bad video_id", '{"video_id": {"a": 1}}': "bad video_id", '{"video_id": true}': "bad video_id",

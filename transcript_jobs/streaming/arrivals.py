@@ -10,6 +10,7 @@ read, with their file and the reason. Any number of streams may log to one folde
 
 from __future__ import annotations
 
+import datetime
 import os
 from collections.abc import Iterator
 
@@ -29,46 +30,74 @@ QUARANTINE = "file string, line string, reason string"
 _FIELDS = ("url", "title", "channel", "duration", "thumbnail", "language")
 #: A line with its order among deliveries: when its file was written, its name and the place of the split; within a split the greater text counts.
 _LINE = "file string, line string, video_id string, part int, parts int, reason string, at struct<modified: timestamp, file: string, n: long>"
-_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: How long a video's parts are waited for after the last of them came.
+WAIT = datetime.timedelta(days=7)
+#: A state of several values needs RocksDB; batches without data would follow each other for ever, as time passes in each.
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 class Parts(StatefulProcessor):
     """The lines of a video that comes in parts: they are kept until all are there, then they go on together, and the state is empty.
 
-    Of two deliveries of a part the later counts. Lines with another number of parts than those kept begin anew.
+    Of two deliveries of a part the later counts. Lines with another number of parts than those kept begin anew. ``wait``
+    milliseconds after the last line came, what is there goes on with a reason, so no state stays for ever.
     """
 
+    names = ("file", "line", "video_id", "part", "parts", "reason", "at")
+
+    def __init__(self, wait: int) -> None:
+        self.wait = wait
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.kept = handle.getMapState("parts", "part int", _LINE)
 
+    @staticmethod
+    def when(line: tuple) -> tuple:
+        return tuple(line[6].values()) if isinstance(line[6], dict) else tuple(line[6])
+
+    def _go_on(self, lines: dict[int, tuple], reason: str | None) -> pd.DataFrame:
+        self.kept.clear()
+        rows = [(*r[:3], int(r[3]), int(r[4]), reason, dict(zip(("modified", "file", "n"), self.when(r), strict=True))) for _, r in sorted(lines.items())]
+        return pd.DataFrame(rows, columns=list(self.names))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = ["file", "line", "video_id", "part", "parts", "reason", "at"]
         got = {k[0]: tuple(v) for k, v in self.kept.iterator()}
-        new = [tuple(r) for b in rows for r in b[names].itertuples(index=False)]
-        when = lambda r: tuple(r[6].values()) if isinstance(r[6], dict) else tuple(r[6])
-        order = lambda r: (*when(r), r[1])
-        for r in sorted(new, key=order):
+        order = lambda r: (*self.when(r), r[1])
+        for r in sorted((tuple(r) for b in rows for r in b[list(self.names)].itertuples(index=False)), key=order):
             if any(o[4] != r[4] for o in got.values()):
                 got.clear()
                 self.kept.clear()
             if r[3] not in got or order(got[r[3]]) <= order(r):
                 got[r[3]] = r
-                self.kept.updateValue((int(r[3]),), (r[0], r[1], r[2], int(r[3]), int(r[4]), None, when(r)))
+                self.kept.updateValue((int(r[3]),), (*r[:3], int(r[3]), int(r[4]), None, self.when(r)))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if got and len(got) == next(iter(got.values()))[4]:
-            self.kept.clear()
-            out = [(r[0], r[1], r[2], int(r[3]), int(r[4]), None, dict(zip(("modified", "file", "n"), when(r), strict=True))) for _, r in sorted(got.items())]
-            yield pd.DataFrame(out, columns=names)
+            yield self._go_on(got, None)
+        else:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        got = {k[0]: tuple(v) for k, v in self.kept.iterator()}
+        if got:
+            yield self._go_on(got, "parts are missing")
 
     def close(self) -> None:
         pass
 
 
-def whole_videos(lines: DataFrame) -> DataFrame:
-    """A stream of told-apart lines with ``at``, those of videos in parts held back in a state per video until all are there; only these pass through the state."""
+def whole_videos(lines: DataFrame, wait: datetime.timedelta = WAIT) -> DataFrame:
+    """A stream of told-apart lines with ``at``, those of videos in parts held back in a state per video until all are there; only these pass through the state.
+
+    A video whose parts don't all come within ``wait`` gives its lines a reason.
+    """
     lines = lines.select("file", "line", "video_id", "part", "parts", "reason", "at")
     is_part = F.col("reason").isNull() & (F.col("parts") > 1)
-    held = lines.filter(is_part).groupBy("video_id").transformWithStateInPandas(Parts(), _LINE, "append", "none")
+    held = lines.filter(is_part).groupBy("video_id").transformWithStateInPandas(Parts(int(wait.total_seconds() * 1000)), _LINE, "append", "processingTime")
     return lines.filter(~is_part).unionByName(held)
 
 
@@ -154,7 +183,7 @@ def question_batch(batch: DataFrame, folder: str, generator=None, embedder=None,
             rows.write.mode("append").parquet(f"{folder}/question_failures")
 
 
-def stream_index(spark: SparkSession, source: str, folder: str, checkpoint: str, embedder=None, refresh: bool = False, buckets: int | None = None):
+def stream_index(spark: SparkSession, source: str, folder: str, checkpoint: str, embedder=None, refresh: bool = False, buckets: int | None = None, wait: datetime.timedelta = WAIT):
     """Starts a query that indexes what is in ``source`` (JSON lines with video_id, segments and metadata) and then ends.
 
     What it logs is named by the query's id, which its checkpoint keeps, and the batch's number.
@@ -168,12 +197,14 @@ def stream_index(spark: SparkSession, source: str, folder: str, checkpoint: str,
         own = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         index_batch(batch, folder, embedder, n, own, refresh, buckets)
 
-    before = spark.conf.get(_STATE_STORE, None)
-    spark.conf.set(_STATE_STORE, _ROCKSDB)  # a query takes its settings when it starts
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():  # a query takes its settings when it starts
+        spark.conf.set(k, v)
     try:
-        return whole_videos(lines).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return whole_videos(lines, wait).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(_STATE_STORE, before) if before else spark.conf.unset(_STATE_STORE)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stream_questions(spark: SparkSession, folder: str, checkpoint: str, generator=None, embedder=None, buckets: int | None = None):
