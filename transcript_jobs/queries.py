@@ -767,32 +767,22 @@ def _finish(outputs: DataFrame) -> DataFrame:
     return f.select("doc_id", F.col("f.summary").alias("summary"), F.col("f.raw_output").isNotNull().alias("raw"))
 
 
-def _salvage(outputs: DataFrame) -> DataFrame:
-    return outputs.select("doc_id", F.array_join(J.salvage_lines(F.col("raw")), "\n").alias("lines"))
-
-
-@register("parse_summary", f"{_WHOLE_OUTPUTS} {_PARSED.format(topics="'a,b'")}")
-def parse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("parse_summary_whole", f"{_WHOLE_OUTPUTS} {_PARSED.format(topics="'a,b'")}")
+def parse_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parse(_whole_outputs(spark, sf_dir))
 
 
-@register("final_summary", f"{_WHOLE_OUTPUTS} {_FINAL}")
-def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("final_summary_whole", f"{_WHOLE_OUTPUTS} {_FINAL}")
+def final_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document, those that nothing can be read of too."""
     return _finish(_whole_outputs(spark, sf_dir))
 
 
-_TAIL = '"], "main_topics": ["a", " b "], "key_points": [], "conclusions": ["c'
-
-
-@register(
-    "salvage_lines",
-    f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed AND len(s) > 0 THEN array_to_string(s, chr(10)) END AS lines
-FROM (SELECT *, list_transform(list_concat(lines[2:-2], CASE WHEN k = 2 AND n > 1 THEN [lines[n] || '{_TAIL}'] ELSE [] END), lambda x: trim(x)) AS s FROM o)""",
-)
-def salvage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("salvage_lines_whole", f"""{_WHOLE_OUTPUTS} SELECT doc_id, CASE WHEN parsed THEN greatest(n - CASE k WHEN 2 THEN 1 ELSE 2 END, 0) ELSE 0 END::BIGINT AS n FROM o""")
+def salvage_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole rows between the first and the last of JSON, plain or fenced; cut JSON ends in a quote, so its last row counts too. Prose has none."""
-    return _salvage(_whole_outputs(spark, sf_dir))
+    lines = J.salvage_lines(F.col("raw"))
+    return _whole_outputs(spark, sf_dir).select("doc_id", F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n"))
 
 
 def _damaged_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -816,24 +806,24 @@ _DAMAGED_OUTPUTS = """WITH l AS (
 )"""
 
 
-@register("parse_summary_whole", f"{_DAMAGED_OUTPUTS} {_PARSED.format(topics='topics')}")
+@register("parse_summary", f"{_DAMAGED_OUTPUTS} {_PARSED.format(topics='topics')}")
 def parse_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parse(_damaged_outputs(spark, sf_dir))
 
 
-@register("final_summary_whole", f"{_DAMAGED_OUTPUTS} {_FINAL}")
+@register("final_summary", f"{_DAMAGED_OUTPUTS} {_FINAL}")
 def finish_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finish(_damaged_outputs(spark, sf_dir))
 
 
 @register(
-    "salvage_lines_whole",
+    "salvage_lines",
     f"""{_DAMAGED_OUTPUTS} SELECT doc_id, CASE WHEN len(s) > 0 THEN array_to_string(s, chr(10)) END AS lines
 FROM (SELECT *, list_transform(rows[2 : n - CASE WHEN k IN (0, 3) THEN 1 ELSE 0 END], lambda x: x || spoiled) AS s FROM o)""",
 )
 def salvage_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows but the first; the last one only where nothing but a comma follows."""
-    return _salvage(_damaged_outputs(spark, sf_dir))
+    return _damaged_outputs(spark, sf_dir).select("doc_id", F.array_join(J.salvage_lines(F.col("raw")), "\n").alias("lines"))
 
 
 @register("summary_stats", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS n_lines, " + _of(_WORDS, "text") + "::BIGINT AS n_words FROM documents")
@@ -967,12 +957,12 @@ def transcript_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.sliced_agreement(whole("thin").withColumn("run", F.lit("thinned")), whole("text"))
 
 
-@register("usable_chunks", """SELECT doc_id FROM documents WHERE regexp_replace(text, '\\s', '', 'g') <> ''""")
-def usable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("usable_chunks_whole", """SELECT doc_id FROM documents WHERE regexp_replace(text, '\\s', '', 'g') <> ''""")
+def usable_chunks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.usable_chunks(D.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id")
 
 
-@register("usable_chunks_whole", """SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND regexp_replace(text, '\\s', '', 'g') <> ''""")
+@register("usable_chunks", """SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND regexp_replace(text, '\\s', '', 'g') <> ''""")
 def usable_among_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third text with all but its white space taken out."""
     blank = F.regexp_replace("text", r"(?U)\S", "")
