@@ -269,6 +269,30 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[90] == 0 and got[100] == got[200] == got[150] == 100
 
 
+def test_components_of_hubs(spark):
+    """Stars whose hub has a third of all edges, their hub the least or the greatest of their ids, beside a long chain and pairs."""
+    star = [(0, i) for i in range(1, 3000)] + [(9999, i) for i in range(3000, 6000)]
+    chain = [(i, i + 1) for i in range(20000, 20300)]
+    rest = [(i, i + 1) for i in range(30000, 36000, 2)]
+    got = dict(near_dups.components(spark.createDataFrame(star + chain + rest, "a long, b long"), near_dups.Scratch(spark, "test"), "c").collect())
+    want = {i: 0 for i in range(3000)} | {i: 3000 for i in [*range(3000, 6000), 9999]} | {i: 20000 for i in range(20000, 20301)}
+    assert got == want | {i: i - i % 2 for i in range(30000, 36000)}
+
+
+def test_join_spread(spark):
+    """The rows of an inner join, nulls dropped; rows of hot keys come by broadcast, so no shuffled task holds them."""
+    from transcript_jobs.llm.common import HOT_SHARE, hot_keys, join_spread
+
+    rows = spark.range(20000).select(F.expr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN id WHEN id < 100 THEN NULL ELSE 8 END").alias("k"), "id")
+    facts = rows.select("k").distinct().withColumn("f", F.coalesce("k", F.lit(0)) * 2)
+    hot = hot_keys(rows, ["k"], 20000)
+    assert {r["k"] for r in hot.collect()} >= {7, 8} and hot.count() < HOT_SHARE
+    got = join_spread(rows, facts, ["k"], hot)
+    assert got.columns == ["k", "id", "f"] and rows_of(got) == rows_of(rows.join(facts, "k").select("k", "id", "f"))
+    assert rows_of(join_spread(rows, facts, ["k"], hot.limit(0))) == rows_of(got)
+    assert join_spread(rows.limit(0), facts, ["k"], hot_keys(rows.limit(0), ["k"], 0)).count() == 0
+
+
 # --- html
 
 

@@ -1,4 +1,4 @@
-"""What the operators share: reading a table, tables written on the way, a filter by bitmap, the word class."""
+"""What the operators share: reading a table, tables written on the way, a filter by bitmap, a join that spreads hot keys, the word class."""
 
 from __future__ import annotations
 
@@ -89,6 +89,28 @@ def among(rows: DataFrame, column: str, ids: DataFrame, how: str = "left_semi")
     return exact if how == "left_semi" else exact.unionByName(marked.filter("NOT _maybe").drop("_maybe"))
 
 
+#: A key is hot if more than one in so many of all rows have it; so there are fewer hot keys than that, however large the table.
+HOT_SHARE = 4096
+
+
+def hot_keys(rows: DataFrame, by: list[str], total: int) -> DataFrame:
+    """The hot keys of ``rows``, of which there are ``total``: fewer than HOT_SHARE, so they and a row for each may be broadcast."""
+    return rows.groupBy(*by).count().filter(F.col("count") * HOT_SHARE > total).select(*by)
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, by: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join with ``facts``, which has one row for each key of ``rows``: all columns of rows, then the others of facts.
+
+    Rows of hot keys stay where they are and are given their facts by broadcast; only the rest are shuffled by key, so
+    no task is sent more of one key than a HOT_SHARE of all rows. Rows with a null in their key are dropped.
+    """
+    few = facts.join(F.broadcast(hot), by, "left_semi").withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(few), by, "left")
+    columns = [*rows.columns, *(c for c in facts.columns if c not in by)]
+    rest = marked.filter("_hot IS NULL").select(*rows.columns).join(facts, by)
+    return marked.filter("_hot").select(*columns).unionByName(rest.select(*columns))
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
 

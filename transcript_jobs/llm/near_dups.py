@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transcript_jobs.llm.common import Scratch, among, table, text_or_empty
+from transcript_jobs.llm.common import HOT_SHARE, Scratch, among, hot_keys, join_spread, table, text_or_empty
 
 SHINGLE = 5
 #: A pair is linked if 100 * |intersection| >= percent * |union|; PERCENT is that of op2.
@@ -238,20 +238,24 @@ def components(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
 
     Each turn takes the least label among the neighbours' and then the label's own label, so long chains shorten
     by doubling; the turns are written to the shared folder, and only whether a label moved reaches the driver.
+    Edges of a hub and ids of a giant component are not brought together in a task.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = work.put(both, f"{name}-edges")
+    hubs = work.put(hot_keys(both, ["b"], both.count()), f"{name}-hubs")
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("comp"))
     turn = 0
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "comp", F.lit(None).cast("long").alias("old"))
+        near = join_spread(both, labels.withColumnRenamed("id", "b"), ["b"], hubs).select(F.col("a").alias("id"), "comp", F.lit(None).cast("long").alias("old"))
         own = near.union(labels.select("id", "comp", F.col("comp").alias("old"))).groupBy("id").agg(F.min("comp").alias("comp"), F.max("old").alias("old"))
+        own = work.put(own, f"{name}-own-{turn}")
         up = own.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        new = work.put(own.join(up, "comp").select("id", F.least("comp", "up").alias("comp"), (F.least("comp", "up") != F.col("old")).alias("moved")), f"{name}-{turn}")
-        work.drop(f"{name}-{turn - 1}")
+        new = join_spread(own, up, ["comp"], hot_keys(own, ["comp"], own.count()))
+        new = work.put(new.select("id", F.least("comp", "up").alias("comp"), (F.least("comp", "up") != F.col("old")).alias("moved")), f"{name}-{turn}")
+        work.drop(f"{name}-{turn - 1}", f"{name}-own-{turn}")
         labels, turn = new.select("id", "comp"), turn + 1
         if new.filter("moved").isEmpty():
-            work.drop(f"{name}-edges")
+            work.drop(f"{name}-edges", f"{name}-hubs")
             return labels
 
 
@@ -334,22 +338,24 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _blocks(company: DataFrame, comps: DataFrame) -> DataFrame:
+def _blocks(company: DataFrame, comps: DataFrame, work: Scratch) -> DataFrame:
     """(tree, region, q, d, asks, id, v, n, comp): the entries of regions of more than one component, dealt into pairs of blocks.
 
     Entries outside a region's largest component ask; they are dealt into as many blocks q as they need, all
     entries into blocks d, and each asking block meets each other. A region's counts are summed before they are
-    shuffled.
+    shuffled, and come to the entries of a dense region by broadcast, wherever these are.
     """
     e = company.drop("part").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     by = ["tree", "region"]
     sums = e.groupBy(*by, "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     of = sums.groupBy(*by).agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("k"), F.max(F.struct("c", "comp", "s")).alias("m"))
     blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
-    of = of.filter("k > 1").select(
-        *by, F.col("m.comp").alias("main"), blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("nq"), blocks(F.col("c"), F.col("s")).alias("nd")
+    of = of.select(
+        *by, "c", "k", F.col("m.comp").alias("main"), blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("nq"), blocks(F.col("c"), F.col("s")).alias("nd")
     )
-    e = e.join(of, by)
+    of = work.put(of, "regions")
+    hot = of.filter(F.col("c") * HOT_SHARE > company.count()).select(*by)
+    e = join_spread(e, of.drop("c"), by, hot).filter("k > 1")
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     met = F.transform(every("nq"), lambda q: F.struct(q.alias("q"), deal("nd").alias("d"), F.lit(False).alias("asks")))
@@ -494,8 +500,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     twice = _one_key(usable, reps)
     links = work.put(links if twice is None else links.union(twice), "links")
     comps = components(links, work, "first")
-    rows = work.put(_candidates(_blocks(company, comps), sigs, percent), "candidates")
-    work.drop("company", "links")
+    rows = work.put(_candidates(_blocks(company, comps, work), sigs, percent), "candidates")
+    work.drop("company", "links", "regions")
     more = work.put(_links(rows, sets, percent), "more")
     work.drop("candidates", "sets")
     if not more.isEmpty():
