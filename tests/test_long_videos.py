@@ -116,3 +116,16 @@ def test_many_questions_of_one_video(spark):
     v = models.HashEmbedder(64).load()([f"q{i}" for i in range(25_000)])
     places = {tuple(np.flatnonzero(x)) + (float(x.sum()),) for x in v}  # one word: one place and sign
     assert len(got) == len(places) and got.max() < 25_000
+
+
+def test_no_call_for_each_block(spark):
+    """Many short videos: a split's blocks are gone through in one call, and what is open is followed by a search per chunk."""
+    clean = spark.createDataFrame([("v", i, float(i), i + 1.0, "why is it so?") for i in range(3)], "video_id string, seg_idx int, start double, end double, text string")
+    plan = long_videos.chunk_segments(clean)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMap" not in plan, plan
+    rng = random.Random(5)
+    for most in (1, 3, 10):
+        for _ in range(100):
+            counts = np.array([rng.choice([0, 1, 2, 7, most, most + 1, 3 * most]) for _ in range(rng.randint(0, 12))], np.int64)
+            left, opened = long_videos.exits(counts, most)
+            assert all(long_videos.passed(counts, most, e) == (left[e], opened[e]) for e in range(most + 1))
