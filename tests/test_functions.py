@@ -136,3 +136,13 @@ def test_rewrite(spark):
     f = lambda text, n=2, follows=True: one(spark, text, lambda c: C.accept_rewrite(F.lit("q"), c, F.lit(n), F.lit(follows)))
     assert f('"What is x?"\nmore') == "What is x?"
     assert f("") == f(None) == f("x" * 301) == f("new", 0) == f("new", 2, False) == "q"
+
+
+def test_capital_is_one_letter(spark, duck):
+    """Every code point's capital, as SQL has it; ß is not spelled out."""
+    every = [chr(i) for i in range(1, 0x1E944) if not 0xD800 <= i <= 0xDFFF and chr(i).isalpha()]
+    got = {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in every], "x string").select("x", T.capital(F.col("x"))).collect()}
+    want = duck.sql("SELECT chr(i::INT) AS x, upper(chr(i::INT)) AS y FROM range(1, 125252) t(i) WHERE NOT i BETWEEN 55296 AND 57343").fetchall()
+    assert {x: y for x, y in want if len(x.upper()) > 1 and x.isalpha()} == {x: y for x, y in got.items() if len(x.upper()) > 1}
+    rows = spark.createDataFrame([("ßungber ist das",), ("über was",), ("ŉ so",)], "q string")
+    assert [r[0] for r in rows.select(T.normalize_question(F.col("q"))).collect()] == ["ẞungber ist das?", "Über was?", "ŉ so?"]
