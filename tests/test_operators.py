@@ -314,3 +314,24 @@ def test_blocked_retrieval_is_exact(spark, monkeypatch, block):
     q = spark.createDataFrame([(i, v, vec()) for i, v in enumerate(["a"] * 8 + ["b"] * 2 + ["z"])], "question_id long, video_id string, embedding array<double>")
     key = lambda df: sorted((r["question_id"], r["rank"], r["chunk_id"], r["similarity"]) for r in df.collect())
     assert key(retrieval.retrieve_chunks_blocked(q, c)) == key(retrieval.retrieve_chunks(q, c))
+
+
+@pytest.mark.parametrize("block", [5, 1024])
+def test_blocks_are_as_exact_as_expressions(spark, monkeypatch, block):
+    """Copies, null vectors, null places, NaN and other sizes: similarities bit for bit as sums in the order of the vectors, by no join of pairs."""
+    monkeypatch.setattr(retrieval, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    own = [[float(x) for x in rng.normal(size=67)] for _ in range(3)]
+    odd = [None, [None, *own[0][1:]], [float("nan"), *own[0][1:]], own[0][:5], [], [0.0] * 67]
+    c = spark.createDataFrame([(v, i, 0.0, 1.0, "t", x) for v in ("a", "b") for i, x in enumerate((own * 40 + odd)[::-1])], "video_id string, chunk_id int, start double, end double, text string, embedding array<float>")
+    q = spark.createDataFrame([(i, "ab"[i % 2], x) for i, x in enumerate(own * 3 + odd)], "question_id long, video_id string, embedding array<float>")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda s, t: s.cast("double") * t), F.lit(0.0), lambda s, t: s + t)
+    x, y = F.col("x"), F.col("embedding")
+    every = q.withColumnRenamed("embedding", "x").join(c, "video_id").withColumn("similarity", F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))))
+    rows = lambda df: sorted(map(str, df.select("question_id", "video_id", "chunk_id", "similarity").collect()))
+    got = retrieval.question_chunk_pairs(q, c)
+    assert rows(got) == rows(every)
+    for k in (1, 4, 50):
+        assert rows(retrieval.retrieve_chunks(q, c, k)) == rows(retrieval.best(every, k))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
