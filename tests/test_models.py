@@ -194,3 +194,14 @@ def test_index_with_a_store(spark, tmp_path):
     plain = sorted(map(str, flows.index_videos(raw).collect()))
     assert sorted(map(str, flows.index_videos(raw, store=str(tmp_path)).select("video_id", "chunk_id", "start", "end", "text", "word_count", "embedding").collect())) == plain
     assert flows.index_videos(raw, Never(), store=str(tmp_path)).count() == len(plain)
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    """A task of many distinct words: the same vectors, and no more words remembered than the bound."""
+    texts = [" ".join(f"w{i}" for i in range(n, n + 50)) for n in range(0, 2000, 25)]
+    want = models.HashEmbedder().load()(texts)
+    monkeypatch.setattr(models, "REMEMBERED", 100)
+    run = models.HashEmbedder().load()
+    assert (run(texts) == want).all()
+    place = next(c.cell_contents for c in run.__closure__ if callable(c.cell_contents))
+    assert max(len(c.cell_contents) for c in place.__closure__ if isinstance(c.cell_contents, dict)) <= 100
