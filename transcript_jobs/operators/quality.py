@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,52 @@ def pipeline_outcomes(results: DataFrame) -> DataFrame:
     return g.select("video_id", ok.alias("success"), F.col("f.stage").alias("failed_stage"), F.col("f.error").alias("error"), (ok & ~F.coalesce("no_chat", F.lit(False))).alias("chat_available"))
 
 
-def _matching(a: str | None, b: str | None) -> tuple[SequenceMatcher, int]:
-    """The matcher of two texts' lower-cased words, and how many words they have together."""
+#: Pairs of equal words that are held in arrays at once; texts with more of them are walked through by difflib.
+PAIRS = 1 << 20
+
+
+def _runs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where runs of equal words begin in x and in y, and how long they are: each as long as can be."""
+    order = np.argsort(y, kind="stable")
+    first, last = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+    n = last - first
+    i = np.repeat(np.arange(len(x)), n)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+    by = np.lexsort((i, j - i))
+    i, j = i[by], j[by]
+    begins = np.flatnonzero(np.append(True, (np.diff(j - i) != 0) | (np.diff(i) != 1))) if len(i) else np.zeros(0, int)
+    return i[begins], j[begins], np.diff(np.append(begins, len(i)))
+
+
+def _matches(x: np.ndarray, y: np.ndarray) -> int:
+    """Words in the matching blocks of SequenceMatcher: the longest run, the earliest in x and then in y, and so on to its left and right."""
+    todo, total = [_runs(x, y)], 0
+    while todo:
+        i, j, n = todo.pop()
+        if not len(n):
+            continue
+        best = np.flatnonzero(n == n.max())
+        best = best[np.lexsort((j[best], i[best]))[0]]
+        bi, bj, k = i[best], j[best], n[best]
+        total += int(k)
+        left = np.minimum(n, np.minimum(bi - i, bj - j))
+        own = left > 0
+        todo.append((i[own], j[own], left[own]))
+        cut = np.maximum(0, np.maximum(bi + k - i, bj + k - j))
+        own = n > cut
+        todo.append((i[own] + cut[own], j[own] + cut[own], n[own] - cut[own]))
+    return total
+
+
+def _matching(a: str | None, b: str | None) -> tuple[int, int]:
+    """How many of two texts' lower-cased words match, as difflib's SequenceMatcher finds it, and how many words they have together."""
     x, y = (a or "").lower().split(), (b or "").lower().split()
-    return SequenceMatcher(None, x, y, autojunk=False), len(x) + len(y)
+    _, ids = np.unique(np.array([*x, *y], dtype=object), return_inverse=True)
+    own, other = ids[: len(x)], ids[len(x) :]
+    pairs = np.bincount(own, minlength=len(ids)) @ np.bincount(other, minlength=len(ids))
+    if pairs <= PAIRS:
+        return _matches(own, other), len(ids)
+    return sum(block.size for block in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()), len(ids)
 
 
 def transcript_agreement(runs: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -38,7 +81,7 @@ def transcript_agreement(runs: DataFrame, baseline: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_matching(x, y)[0].ratio() for x, y in zip(a, b, strict=True)])
+        return pd.Series([2.0 * m / n if n else 1.0 for m, n in (_matching(x, y) for x, y in zip(a, b, strict=True))], dtype="float64")
 
     b = baseline.select("video_id", F.col("text").alias("_b"))
     return runs.join(b, "video_id").select("video_id", "run", ratio(F.col("_b"), F.col("text")).alias("agreement"))
@@ -53,8 +96,7 @@ def sliced_agreement(runs: DataFrame, baseline: DataFrame) -> DataFrame:
 
     @F.pandas_udf("matches long, words long")
     def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = [_matching(x, y) for x, y in zip(a, b, strict=True)]
-        return pd.DataFrame({"matches": [sum(block.size for block in m.get_matching_blocks()) for m, _ in found], "words": [n for _, n in found]}, dtype="int64")
+        return pd.DataFrame([_matching(x, y) for x, y in zip(a, b, strict=True)], columns=["matches", "words"], dtype="int64")
 
     b = baseline.select("video_id", "n", F.col("text").alias("_b"))
     every = runs.select("video_id", "run").distinct().join(b, "video_id")
