@@ -23,7 +23,11 @@ FINAL_END = "\n\nNow write the JSON object: 15 or more summary_lines, 4 main_top
 
 def usable_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks with a text that isn't blank."""
-    return chunks.filter(strip(F.coalesce("text", F.lit(""))) != "")
+    return chunks.filter(_usable())
+
+
+def _usable() -> Column:
+    return strip(F.coalesce("text", F.lit(""))) != ""
 
 
 def _rule(i: int) -> Column:
@@ -51,6 +55,13 @@ def planned_chunks(chunks: DataFrame) -> DataFrame:
     return rows.select("*", *_plan())
 
 
+def planned_with_unusable(chunks: DataFrame) -> DataFrame:
+    """planned_chunks and the unusable chunks beside them, told apart by ``usable``; a plan counts usable ones alone."""
+    by, own = Window.partitionBy("video_id"), F.col("usable")
+    rows = chunks.withColumn("usable", _usable()).withColumn("n_chunks", F.count(F.when(own, 1)).over(by))
+    return rows.withColumn("total_words", F.sum(F.when(own, word_count(F.col("text")))).over(by)).select("*", *_plan())
+
+
 def length_batches(chunks: DataFrame, size: int = P.SUMMARY_BATCH) -> DataFrame:
     """Chunks with ``batch_id``: a video's texts by falling length, in batches of ``size``."""
     order = Window.partitionBy("video_id").orderBy(F.desc(F.length("text")), "chunk_id")
@@ -90,9 +101,14 @@ def final_prompts(combined: DataFrame) -> DataFrame:
     return combined.withColumn("messages", messages(system, user))
 
 
+def is_short() -> Column:
+    """Whether a first attempt (…, summary struct) was parsed and has fewer lines than asked for."""
+    return F.col("summary.raw_output").isNull() & (summary_line_count(F.col("summary.summary")) < P.SUMMARY_LINES)
+
+
 def needs_retry(first: DataFrame) -> DataFrame:
     """First attempts (…, summary struct) with fewer lines than asked for; unparsed ones aren't tried again."""
-    return first.filter(F.col("summary.raw_output").isNull() & (summary_line_count(F.col("summary.summary")) < P.SUMMARY_LINES))
+    return first.filter(is_short())
 
 
 def retry_prompts(short: DataFrame) -> DataFrame:
