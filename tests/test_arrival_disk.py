@@ -6,12 +6,14 @@ import random
 import time
 
 import pytest
+from conftest import SF
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from transcript_jobs.jobs import flows
 from transcript_jobs.operators import chunking, long_videos, segments
 from transcript_jobs.sources import tables
+from transcript_jobs.sources import testdata as D
 from transcript_jobs.sources.written import Scratch
 from transcript_jobs.streaming import arrivals
 
@@ -52,6 +54,29 @@ def test_texts_are_written_once_for_a_batch_and_once_for_a_table(spark, tmp_path
     assert not list((tmp_path / "_publishing").iterdir())
 
 
+def test_parts_are_numbered_where_they_stand(spark, tmp_path, writes):
+    """Videos of many parts, which come in any order, and whole ones: nothing more is written than for whole lines."""
+    rng, lines, want = random.Random(4), [line("whole", ["a", "b"])], [("whole", 0, "a"), ("whole", 1, "b")]
+    for v in ("x", "y", "z"):
+        own = [[rng.choice(["", f"{v} {i} {k}", " what? "]) for k in range(rng.randrange(6))] for i in range(12)]
+        lines += [line(v, t, part=i, parts=12) for i, t in enumerate(own)]
+        want += [(v, i, t) for i, t in enumerate(t.strip() for part in own for t in part if t)]
+    rng.shuffle(lines)
+    arrivals.index_batch(lines_of(spark, *lines).repartition(5), str(tmp_path), buckets=2)
+    assert sorted(map(tuple, tables.load_table(spark, str(tmp_path), "segments").select("video_id", "seg_idx", "text").collect())) == sorted(want)
+    texts = [c for c in writes if {"line", "raw", "text", "full_text"} & {*c}]
+    assert len(texts) == 5, texts
+
+
+def test_arriving_lines_are_made_without_a_shuffle(spark):
+    rows = D.whole_videos(spark, SF)
+    parts = F.array_sort(F.collect_list(F.struct("pos", F.struct("start", "end", "text").alias("s"))))
+    collected = D.segments(spark, SF).groupBy("video_id").agg(F.transform(parts, lambda x: x["s"]).alias("segments"))
+    text = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct("video_id", "segments"))).collect())
+    assert text(rows) == text(collected)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_that_count_are_not_ordered(spark, tmp_path, monkeypatch):
     """Only keys tell that every line counts; where one doesn't, they are put in order as before."""
     order, called = arrivals._latest, []
