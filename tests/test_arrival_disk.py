@@ -11,10 +11,10 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from transcript_jobs.jobs import flows
-from transcript_jobs.operators import chunking, long_videos, segments
+from transcript_jobs.operators import chunking, long_videos, questions, segments
 from transcript_jobs.sources import tables
 from transcript_jobs.sources import testdata as D
-from transcript_jobs.sources.written import Scratch
+from transcript_jobs.sources.written import Scratch, shared_dir
 from transcript_jobs.streaming import arrivals
 
 
@@ -168,3 +168,34 @@ def test_a_model_that_fails_for_the_first_table(spark, tmp_path):
     assert not tables.exists(spark, str(tmp_path), "segments")
     arrivals.index_batch(batch, str(tmp_path), buckets=2)
     assert column(spark, tmp_path, "chunks", "text") == ["x", "y"] and column(spark, tmp_path, "videos", "status") == ["ready"] * 2
+
+
+@pytest.mark.parametrize("batch", [2, 5, 10_000])
+def test_segments_far_from_questions_are_not_shuffled(spark, batch):
+    rng = random.Random(batch)
+    rows = [(v, i, float(3 * i), 3 * i + rng.choice([1.0, 3.0]), "what is it?" if rng.random() < 0.2 else f"words {i}.") for v in ("a", "b", None, "c") for i in range(rng.randrange(40))]
+    clean = spark.createDataFrame(rows, "video_id string, seg_idx int, start double, end double, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for block in (1, 4, 4096):
+            got = long_videos.question_windows(clean, block=block)
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, questions.question_windows(clean).collect()), key=str)
+        left = long_videos._near_flagged(clean.withColumn("flag", F.col("text").contains("?"))).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    near = sum(any(w[0] == v and abs(w[1] - i) <= 1 and "?" in w[4] for w in rows) for v, i, *_ in rows)
+    assert near <= left < len(rows) if batch > 2 else near <= left
+
+
+def test_lines_are_deleted_before_the_tables(spark, tmp_path, monkeypatch):
+    """What a batch read stands on disk until its segments do."""
+    folder, put, seen = pathlib.Path(shared_dir(spark).removeprefix("file:")), tables.replace_buckets, []
+
+    def noted(df, where, name, *more):
+        seen.append((name, sum("line" in spark.read.parquet(str(p)).columns for p in folder.glob("written-*/*"))))
+        put(df, where, name, *more)
+
+    monkeypatch.setattr(tables, "replace_buckets", noted)
+    arrivals.index_batch(lines_of(spark, line("a", ["x"])), str(tmp_path), buckets=2)
+    assert seen == [(t, 0) for t in ("chunks", "segments", "transcripts", "videos")]
